@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, pii, quality_rules, secret_scan
+from . import chat_format, packing, pii, quality_classifier, quality_rules, secret_scan
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,12 +35,22 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.scan(_documents(spark, sf_dir)))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.score(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
         "op2_quality_rules": op2_quality_rules,
         "op3_pii": op3_pii,
         "op6_secret_scan": op6_secret_scan,
+        "op9_packing": op9_packing,
+        "op10_quality_classifier": op10_quality_classifier,
     }
 
 
