@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, packing, pii, quality_classifier, quality_rules, secret_scan
+from . import chat_format, minhash_dedup, packing, pii, quality_classifier, quality_rules, secret_scan
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.scan(_documents(spark, sf_dir)))
 
 
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.groups(_documents(spark, sf_dir), width=3, percent=85)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -49,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality_rules": op2_quality_rules,
         "op3_pii": op3_pii,
         "op6_secret_scan": op6_secret_scan,
+        "op8_minhash_dedup": op8_minhash_dedup,
         "op9_packing": op9_packing,
         "op10_quality_classifier": op10_quality_classifier,
     }
