@@ -35,17 +35,19 @@ SENTENCE_CUT, WORD_CUT = 8.0, 48.0
 SEPARATOR = 2
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Words whose ids a task remembers; the memory is emptied when full.
-REMEMBERED = 600_000
+REMEMBERED = 1_200_000
 #: Characters that Python's split takes for blanks and the tokenizer does not.
 CONTROLS = re.compile("[\x1c-\x1f]")
 BLANK = re.compile("[^\\S\x1c-\x1f]+")
+#: Marks that may follow the letters of a word; a run of them is one pre-token.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^`{|}~"
 
 
 class WordTokenizer:
     """A public tokenizer whose pre-tokens never cross blanks, word by word, with the ids of words remembered.
 
-    Words of letters only are single pre-tokens: new ones are encoded many at a time and told apart
-    by the tokens that end a word.
+    Words of Latin letters are single pre-tokens, and so are the marks after them: new ones are
+    encoded many at a time and told apart by the tokens that end a word.
     """
 
     def __init__(self, path: str):
@@ -62,45 +64,55 @@ class WordTokenizer:
             self.ends[i] = token.endswith("</w>")
             self.sentence_ends[i] = bool(re.fullmatch(r"[\"')\]]*[.!?]+[\"')\]]*(</w>)?", token))
         self.memory: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
     def _encode(self, word: str) -> bytes:
         return np.array(self.inner.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, words: set[str]) -> None:
-        if len(self.memory) + len(words) > REMEMBERED:
-            self.memory.clear()
-        plain, rest = [], []
+        memory = self.memory
+        by_core: dict[str, list[str]] = {}
         for w in words:
-            core = w.rstrip(".,!?;:")
-            (plain if core and core.isascii() and core.isalpha() else rest).append((w, core))
-        cores = list({core for _, core in plain})
-        ids: dict[str, bytes] = {}
+            core = w.rstrip(MARKS)
+            # Latin letters only, of which none becomes two characters in lower case: one pre-token.
+            if core.isalpha() and (core.isascii() or (max(core) < "\u0250" and "\u0130" not in core)):
+                low = core.lower() if core.isascii() else core
+                known = memory.get(low)
+                if known is None:
+                    by_core.setdefault(low, []).append(w)
+                else:
+                    memory[w] = known if len(w) == len(core) else known + self._tail(w[len(core) :])
+            else:
+                memory[w] = self._encode(w)
+        cores = list(by_core)
         for a in range(0, len(cores), 2000):
             block = cores[a : a + 2000]
             flat = np.array(self.inner.encode(" ".join(block), add_special_tokens=False).ids, "<u4")
-            stops = np.flatnonzero(self.ends[flat]) + 1
+            stops = (4 * (np.flatnonzero(self.ends[flat]) + 1)).tolist()
             assert len(stops) == len(block)
-            ids |= {w: flat[b:e].tobytes() for w, b, e in zip(block, [0, *stops[:-1]], stops, strict=True)}
-        tails: dict[str, bytes] = {"": b""}
-        for w, core in plain:
-            tail = w[len(core) :]
-            if tail not in tails:
-                tails[tail] = self._encode(tail)
-            self.memory[w] = ids[core] + tails[tail]
-        for w, _ in rest:
-            self.memory[w] = self._encode(w)
-
-    def ids(self, text: str) -> np.ndarray:
-        words = [w for w in BLANK.split(text) if w] if CONTROLS.search(text) else text.split()
-        found = list(map(self.memory.get, words))
-        if None in found:
-            new = {w for w, x in zip(words, found, strict=True) if x is None}
-            self._learn(new)
-            if all(w in self.memory for w in words):
-                found = list(map(self.memory.get, words))
-            else:  # the memory was emptied; what was found before is still at hand
-                found = [self.memory[w] if x is None else x for w, x in zip(words, found, strict=True)]
-        return np.frombuffer(b"".join(found), "<u4")
+            raw, begin = flat.tobytes(), 0
+            for core, end in zip(block, stops, strict=True):
+                memory[core] = ids = raw[begin:end]
+                begin = end
+                for w in by_core[core]:
+                    memory[w] = ids if len(w) == len(core) else ids + self._tail(w[len(core) :])
+
+    def _tail(self, marks: str) -> bytes:
+        if marks not in self.tails:
+            if len(self.tails) > 10_000:
+                self.tails.clear()
+            self.tails[marks] = self._encode(marks)
+        return self.tails[marks]
+
+    def ids_of(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        split = [[w for w in BLANK.split(t) if w] if CONTROLS.search(t) else t.split() for t in texts]
+        new = set().union(*split) - self.memory.keys()
+        if len(self.memory) + len(new) > REMEMBERED:
+            self.memory, new = {}, set().union(*split)
+        self._learn(new)
+        known = self.memory.__getitem__
+        return [np.frombuffer(b"".join(map(known, words)), "<u4") for words in split]
 
 
 def choose_cuts(points: np.ndarray, penalty: np.ndarray, size: int = WINDOW) -> list[int]:
@@ -190,11 +202,13 @@ def pack(docs: DataFrame, tokenizer: str, size: int = WINDOW, chunk_tokens: int
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pieces, strict=True)], names)
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                chunk.append((doc, np.concatenate([words.ids(text.as_py() or ""), separator])))
-                held += len(chunk[-1][1])
-                if held >= chunk_tokens:
-                    yield flush()
+            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                for doc, ids in zip(part.column(0).to_pylist(), words.ids_of(texts), strict=True):
+                    chunk.append((doc, np.concatenate([ids, separator])))
+                    held += len(ids) + 1
+                    if held >= chunk_tokens:
+                        yield flush()
         if chunk:
             yield flush()
 
