@@ -62,3 +62,12 @@ def words_of(text: Column) -> Column:
 def double_table(values) -> Column:
     """A foldable array<double> literal, for tables of constants inside expressions."""
     return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
+
+
+#: Sides of a join up to this many bytes are broadcast; larger ones are shuffled.
+SMALL_BYTES = 32 << 20
+
+
+def small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """A written table marked for broadcast if its rows are few enough now, else as it is."""
+    return F.broadcast(df) if df.count() * row_bytes <= SMALL_BYTES else df

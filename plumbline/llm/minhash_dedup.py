@@ -35,13 +35,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, id_and_text, materialise
+from .common import fresh, id_and_text, materialise, small
 from .graph import components
 
 PER_KEY = 2
 MISSED = 1e-4
-#: Sides of a join up to this many bytes are broadcast; larger ones are shuffled.
-SMALL_BYTES = 32 << 20
 BLOCK_DOCS, BLOCK_SHINGLES = 256, 1_000_000
 REMEMBERED = 500_000
 U = np.uint64
@@ -118,11 +116,6 @@ def _features(width: int, m: int):
     return run
 
 
-def _small(df: DataFrame, row_bytes: int) -> DataFrame:
-    """``df`` marked for broadcast if it is small enough now, else as it is."""
-    return F.broadcast(df) if df.count() * row_bytes <= SMALL_BYTES else df
-
-
 def _clusters(classes: DataFrame, m: int) -> DataFrame:
     """(node, label): classes that share buckets and a quarter of their sub-keys with a bucket's least member."""
     tables = F.flatten(
@@ -225,7 +218,7 @@ def _confirmed(rows: DataFrame, classes: DataFrame, clusters: DataFrame, width:
     sizes = members.groupBy("label").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_shingles").alias("shingles"))
     blocks = F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     members = materialise(members.join(sizes.select("label", blocks.alias("blocks")), "label").select("node", "label", "blocks", "rep"), "cluster-members")
-    texts = rows.join(_small(members, 100), rows["doc_id"].eqNullSafe(members["rep"])).select("text", "node", "label", "blocks")
+    texts = rows.join(small(members, 100), rows["doc_id"].eqNullSafe(members["rep"])).select("text", "node", "label", "blocks")
     arrays = texts.mapInArrow(_shingles(width), "node binary, label binary, blocks int, shingles array<long>")
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     paired = arrays.select("*", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
@@ -266,4 +259,4 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "
     Rows with a null id stay. The ids to drop are broadcast while they are few and shuffled otherwise.
     """
     gone = materialise(groups(docs, width, percent, id_col=id_col, text_col=text_col).where("not kept and doc_id is not null").select("doc_id").distinct(), "dropped")
-    return docs.join(_small(gone.select(F.col("doc_id").alias(key := fresh(docs, "gone"))), 16), F.col(id_col).cast("long") == F.col(key), "left_anti")
+    return docs.join(small(gone.select(F.col("doc_id").alias(key := fresh(docs, "gone"))), 16), F.col(id_col).cast("long") == F.col(key), "left_anti")
