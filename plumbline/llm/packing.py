@@ -22,6 +22,8 @@ import re
 import zlib
 from collections import deque
 from collections.abc import Iterable, Iterator
+from struct import pack as to_bytes
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +48,8 @@ MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^`{|}~"
 class WordTokenizer:
     """A public tokenizer whose pre-tokens never cross blanks, word by word, with the ids of words remembered.
 
-    Words of Latin letters are single pre-tokens, and so are the marks after them: new ones are
-    encoded many at a time and told apart by the tokens that end a word.
+    Words of Latin letters are single pre-tokens, and so are the marks after them: new ones go to the
+    tokenizer's model without its normalizer and pre-tokenizer.
     """
 
     def __init__(self, path: str):
@@ -55,13 +57,13 @@ class WordTokenizer:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
+        self.byte_level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.inner = Tokenizer.from_file(path)
         vocab = self.inner.get_vocab()
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        self.sentence_ends = np.zeros(len(self.ends), bool)
+        self.sentence_ends = np.zeros(max(vocab.values()) + 1, bool)
         for token, i in vocab.items():
-            self.ends[i] = token.endswith("</w>")
             self.sentence_ends[i] = bool(re.fullmatch(r"[\"')\]]*[.!?]+[\"')\]]*(</w>)?", token))
         self.memory: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
@@ -84,18 +86,14 @@ class WordTokenizer:
                     memory[w] = known if len(w) == len(core) else known + self._tail(w[len(core) :])
             else:
                 memory[w] = self._encode(w)
-        cores = list(by_core)
-        for a in range(0, len(cores), 2000):
-            block = cores[a : a + 2000]
-            flat = np.array(self.inner.encode(" ".join(block), add_special_tokens=False).ids, "<u4")
-            stops = (4 * (np.flatnonzero(self.ends[flat]) + 1)).tolist()
-            assert len(stops) == len(block)
-            raw, begin = flat.tobytes(), 0
-            for core, end in zip(block, stops, strict=True):
-                memory[core] = ids = raw[begin:end]
-                begin = end
-                for w in by_core[core]:
-                    memory[w] = ids if len(w) == len(core) else ids + self._tail(w[len(core) :])
+        tokenize, as_bytes = self.inner.model.tokenize, self.byte_level.pre_tokenize_str
+        for core, own in by_core.items():
+            # One pre-token in normal form needs no more than the model itself.
+            word = core if core.isascii() else as_bytes(normalize("NFC", core).lower())[0][0]
+            memory[core] = ids = to_bytes(f"<{len(found := tokenize(word))}I", *[t.id for t in found])
+            for w in own:
+                marks = w[len(core) :]
+                memory[w] = ids + self._tail(marks) if marks else ids
 
     def _tail(self, marks: str) -> bytes:
         if marks not in self.tails:
