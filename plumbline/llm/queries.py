@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontamination, minhash_dedup, packing, pii, quality_classifier, quality_rules, secret_scan
+from . import chat_format, decontamination, license_scan, minhash_dedup, packing, pii, quality_classifier, quality_rules, secret_scan
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.matches(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_documents(spark, sf_dir))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.scan(_documents(spark, sf_dir)))
 
@@ -57,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality_rules": op2_quality_rules,
         "op3_pii": op3_pii,
         "op4_decontamination": op4_decontamination,
+        "op5_license_scan": op5_license_scan,
         "op6_secret_scan": op6_secret_scan,
         "op8_minhash_dedup": op8_minhash_dedup,
         "op9_packing": op9_packing,
