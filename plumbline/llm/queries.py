@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontamination, license_scan, minhash_dedup, packing, pii, quality_classifier, quality_rules, secret_scan
+from . import chat_format, decontamination, license_scan, lm_score, minhash_dedup, packing, pii, quality_classifier, quality_rules, secret_scan
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +44,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.scan(_documents(spark, sf_dir)))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(_documents(spark, sf_dir))
+
+
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.groups(_documents(spark, sf_dir), width=3, percent=85)
 
@@ -63,9 +68,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_decontamination": op4_decontamination,
         "op5_license_scan": op5_license_scan,
         "op6_secret_scan": op6_secret_scan,
+        "op7_lm_score": op7_lm_score,
         "op8_minhash_dedup": op8_minhash_dedup,
         "op9_packing": op9_packing,
         "op10_quality_classifier": op10_quality_classifier,
+        "pipeline": corpus_pipeline.run,
     }
 
 
