@@ -82,8 +82,11 @@ class Index:
         coded = [self.encode(w) for _, w in self.items]
         self.pairs = np.unique(np.concatenate([self._pairs(c) for c in coded])) if coded else np.empty(0, np.int64)
         self.tables: dict[int, list[dict[int, list[int]]]] = {}
+        #: For each length, which pairs the items of that length have.
+        self.has_pair: dict[int, np.ndarray] = {}
         for n in self.lengths:
             mine = [k for k, (_, w) in enumerate(self.items) if len(w) == n]
+            self.has_pair[n] = np.isin(self.pairs, np.concatenate([self._pairs(coded[k]) for k in mine]))
             tables = self.tables[n] = [{} for _ in range(repeats)]
             for table, keys in zip(tables, self.keys(np.array([coded[k] for k in mine]), n).tolist(), strict=True):
                 for k, key in zip(mine, keys, strict=True):
@@ -121,7 +124,8 @@ class Index:
         """(text number, item number, start, length, distance): for each text and item the nearest window, the first of equals.
 
         A window at k edits from an item of n words has n - k of its words and n - 1 - 2k of its
-        neighbouring pairs, so windows with fewer words or pairs of the benchmark are not walked.
+        neighbouring pairs, so windows with fewer words of the benchmark, or fewer pairs of its
+        items of n words, are not walked.
         """
         if not self.items or not texts:
             return []
@@ -131,21 +135,30 @@ class Index:
         sizes = np.array([len(p) for p in parts])
         begin = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
         known = (codes > 0) & (codes < self.other)
-        pair = np.zeros(len(codes), np.int64)
         both = np.flatnonzero(known[:-1] & known[1:])
+        value = codes[both] * (self.other + 1) + codes[both + 1]
+        number = np.searchsorted(self.pairs, value)
         if len(self.pairs):
-            value = codes[both] * (self.other + 1) + codes[both + 1]
-            pair[both] = self.pairs[np.minimum(np.searchsorted(self.pairs, value), len(self.pairs) - 1)] == value
+            there = self.pairs[np.minimum(number, len(self.pairs) - 1)] == value
+            both, number = both[there], number[there]
         # A gap between texts outweighs any number of words, so no window crosses it.
         words_to = np.concatenate([[0], np.cumsum(np.where(codes == 0, -(10**7), known))])
-        pairs_to = np.concatenate([[0], np.cumsum(pair)])
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for n in self.lengths:
-            k = self.allowed[n]
+            k, stop = self.allowed[n], len(codes) - n + 1
+            need = n - 1 - 2 * k
             at = np.empty(0, np.int64)
-            if len(codes) >= n:
-                stop = len(codes) - n + 1
-                at = np.flatnonzero((words_to[n : n + stop] - words_to[:stop] >= n - k) & (pairs_to[n - 1 : n - 1 + stop] - pairs_to[:stop] >= n - 1 - 2 * k))
+            if stop > 0 and need > 0:
+                mine = both[self.has_pair[n][number]]
+                if len(mine) >= need:
+                    # The last of ``need`` pairs lies at most n - 2 places after the first: only windows around such runs.
+                    near = np.flatnonzero(mine[need - 1 :] - mine[: len(mine) - need + 1] <= n - 2)
+                    if len(near):
+                        reach = mine[near + need - 1][:, None] - np.arange(n - 1)[None, :]
+                        at = np.unique(reach[(reach <= mine[near][:, None]) & (reach >= 0) & (reach < stop)])
+            elif stop > 0:
+                at = np.arange(stop)
+            at = at[words_to[at + n] - words_to[at] >= n - k]
             short = begin[(sizes < n) & (sizes >= n - k) & (sizes > 0)]
             self._look(n, codes, at, texts, begin, best)
             self._look(n, codes, short, texts, begin, best)
