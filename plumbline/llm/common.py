@@ -59,6 +59,15 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), BLANK_RUN, -1), lambda w: w != "")
 
 
+def computed(df: DataFrame, name: str, expression: Column) -> DataFrame:
+    """``df`` with a column that later filters read but don't compute again.
+
+    A filter on a plain projection moves below it with the expression written out, also inside
+    lambdas, where it then runs for every element. Nothing moves below a generator whose output it reads.
+    """
+    return df.select("*", F.explode(F.array(expression)).alias(name))
+
+
 def double_table(values) -> Column:
     """A foldable array<double> literal, for tables of constants inside expressions."""
     return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")

@@ -21,7 +21,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import computed, id_and_text
 
 PERCENT = 80
 _CONDITIONS = (
@@ -122,8 +122,9 @@ def scan(docs: DataFrame, percent: int = PERCENT, templates=TEMPLATES, id_col: s
     lines = F.transform(F.split(text, "\n", -1), lambda x, i: F.struct((i + 1).alias("unit"), x.alias("part")))
     units = F.concat(F.array(F.struct(F.lit(0).alias("unit"), text.alias("part"))), F.when(F.size(lines) > 1, lines).otherwise(F.slice(lines, 1, 0)))
     units = F.filter(units, lambda u: F.regexp_like(F.lower(u["part"]), F.lit(signal)))
-    each = rows.select("doc_id", F.explode(units).alias("u")).select("doc_id", "u.unit", normal_words(F.col("u.part")).alias("words"))
-    each = each.select("doc_id", "unit", bigrams(F.col("words")).alias("own"))
+    each = rows.select("doc_id", F.explode(units).alias("u")).select("doc_id", "u.unit", "u.part")
+    each = computed(each, "words", normal_words(F.col("part")))
+    each = computed(each, "own", bigrams(F.col("words"))).select("doc_id", "unit", "own")
     size = F.size("own")
     can = lambda n: F.least(size, F.lit(n)) * 200 >= (size + n) * percent  # noqa: E731  the bound on the coefficient, in integers
     each = each.where((size > 0) & (can(low) | can(high) | size.between(low, high)))
@@ -132,7 +133,7 @@ def scan(docs: DataFrame, percent: int = PERCENT, templates=TEMPLATES, id_col: s
         common = F.size(F.array_intersect("own", F.split(F.lit("\n".join(pairs)), "\n")))
         dice = F.when(can(len(pairs)), common * 2.0 / (size + len(pairs))).otherwise(0.0)
         scores.append(F.struct(dice.alias("dice"), F.lit(-k).alias("order"), F.lit(name).alias("license")))
-    best = each.select("doc_id", "unit", F.size("own").cast("long").alias("n_bigrams"), F.array_max(F.array(*scores)).alias("best")).where(F.col("best.dice") * 100 >= percent)
+    best = computed(each, "best", F.array_max(F.array(*scores))).select("doc_id", "unit", F.size("own").cast("long").alias("n_bigrams"), "best").where(F.col("best.dice") * 100 >= percent)
     return best.select(
         "doc_id", F.col("unit").cast("long").alias("unit"), F.col("best.license").alias("license"), (-F.col("best.order")).cast("long").alias("template"), F.round("best.dice", 9).alias("dice"), "n_bigrams"
     )

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, fresh, id_and_text, materialise, words_of
+from .common import BLANKS, computed, fresh, id_and_text, materialise, words_of
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -62,28 +62,25 @@ def with_stats(docs: DataFrame, text_col: str, out: str) -> DataFrame:
     names = {n: fresh(docs, n) for n in ("text", "words", "hashes", "lines")}
     text, words, hashes, lines = (F.col(names[n]) for n in ("text", "words", "hashes", "lines"))
     third = F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
-    return (
+    rows = (
         docs.withColumn(names["text"], F.coalesce(F.col(text_col).cast("string"), F.lit("")))
         .withColumn(names["words"], words_of(text))
         .withColumn(names["lines"], F.filter(F.split(text, "\n", -1), lambda x: F.translate(x, BLANKS, "") != ""))
         .withColumn(names["hashes"], F.when(F.size(words) < 3, F.array().cast("array<bigint>")).otherwise(F.slice(third, 1, F.greatest(F.lit(1), F.size(words) - 2))))
-        .withColumn(
-            out,
-            F.struct(
-                F.size(words).cast("long").alias("n_words"),
-                F.length(F.translate(text, BLANKS, "")).cast("long").alias("word_chars"),
-                _n_in(text, SYMBOLS).cast("long").alias("n_symbols"),
-                (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
-                _repeat_words(hashes).cast("long").alias("n_repeat_words"),
-                F.size(lines).cast("long").alias("n_lines"),
-                _n_in(text, "0123456789").cast("long").alias("n_digits"),
-                _n_in(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ").cast("long").alias("n_capitals"),
-                _n_in(text, "!").cast("long").alias("n_shouts"),
-                _n_in(text, ".,;:?").cast("long").alias("n_stops"),
-            ),
-        )
-        .drop(*names.values())
     )
+    stats = F.struct(
+        F.size(words).cast("long").alias("n_words"),
+        F.length(F.translate(text, BLANKS, "")).cast("long").alias("word_chars"),
+        _n_in(text, SYMBOLS).cast("long").alias("n_symbols"),
+        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+        _repeat_words(hashes).cast("long").alias("n_repeat_words"),
+        F.size(lines).cast("long").alias("n_lines"),
+        _n_in(text, "0123456789").cast("long").alias("n_digits"),
+        _n_in(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ").cast("long").alias("n_capitals"),
+        _n_in(text, "!").cast("long").alias("n_shouts"),
+        _n_in(text, ".,;:?").cast("long").alias("n_stops"),
+    )
+    return computed(rows, out, stats).drop(*names.values())
 
 
 @dataclass(frozen=True)

@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chat_format, decontamination, license_scan, lm_score, minhash_dedup, packing, pii, quality_classifier, quality_rules, secret_scan
+from .oracles import oracle_sql as oracle_sql  # noqa: PLC0414
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +75,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_quality_classifier": op10_quality_classifier,
         "pipeline": corpus_pipeline.run,
     }
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}

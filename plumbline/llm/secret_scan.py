@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import double_table, fresh, id_and_text
+from .common import computed, double_table, fresh, id_and_text
 from .spans import SPAN, find_spans, joined, n_of, overlaps_none
 
 BASE = ("assign", "access", "hex")
@@ -133,8 +133,8 @@ def redact(docs: DataFrame, table: Sequence[float] | None = None, text_col: str
     table = train(samples(docs.sparkSession)) if table is None else table
     base, spans = fresh(docs, "base"), fresh(docs, "spans")
     text, found = F.col(text_col), F.col(spans)
-    rows = docs.withColumn(base, base_spans(text))
-    rows = rows.withColumn(spans, _sorted(F.concat(F.col(base), F.filter(random_spans(text, table), lambda s: overlaps_none(s, F.col(base))))))
+    rows = computed(docs, base, base_spans(text))
+    rows = computed(rows, spans, _sorted(F.concat(F.col(base), F.filter(random_spans(text, table), lambda s: overlaps_none(s, F.col(base))))))
     out = F.aggregate(
         found,
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
