@@ -88,3 +88,21 @@ def test_components_of_cycles_chains_and_loops(spark):
     edges = [(1, 2), (2, 3), (3, 1), (9, 8), (8, 7), (7, 6), (4, 4)]
     got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {1: 1, 2: 1, 3: 1, 6: 6, 7: 6, 8: 6, 9: 6, 4: 4}
+
+
+def test_greedy_cover_matches_a_plain_loop(spark):
+    import random
+
+    from plumbline.operators.cover import greedy_cover
+
+    rng = random.Random(6)
+    tags = [(rng.randrange(12), rng.randrange(40)) for _ in range(90)]
+    left, want = {i: {t for j, t in tags if j == i} for i in range(12)}, []
+    for rank in range(1, 9):
+        item = min(left, key=lambda i: (-len(left[i]), i))
+        if not left[item]:
+            break
+        want.append((rank, item, len(left[item])))
+        gone = left[item]
+        left = {i: s - gone for i, s in left.items()}
+    assert [tuple(r) for r in greedy_cover(spark.createDataFrame(tags, "item long, tag long"), 8).orderBy("rank").collect()] == want
