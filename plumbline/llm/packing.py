@@ -105,9 +105,10 @@ class WordTokenizer:
     def ids_of(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         split = [[w for w in BLANK.split(t) if w] if CONTROLS.search(t) else t.split() for t in texts]
-        new = set().union(*split) - self.memory.keys()
+        seen = set().union(*split)
+        new = seen.difference(self.memory)  # looks the batch's words up; minus keys() would walk the whole memory
         if len(self.memory) + len(new) > REMEMBERED:
-            self.memory, new = {}, set().union(*split)
+            self.memory, new = {}, seen
         self._learn(new)
         known = self.memory.__getitem__
         return [np.frombuffer(b"".join(map(known, words)), "<u4") for words in split]
