@@ -22,6 +22,7 @@ import re
 import zlib
 from collections import deque
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from struct import pack as to_bytes
 from unicodedata import normalize
 
@@ -36,7 +37,7 @@ CHUNK_TOKENS = 1_000_000
 SENTENCE_CUT, WORD_CUT = 8.0, 48.0
 SEPARATOR = 2
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: Words whose ids a task remembers; the memory is emptied when full.
+#: Words whose ids a Python worker remembers; the memory is emptied when full.
 REMEMBERED = 1_200_000
 #: Characters that Python's split takes for blanks and the tokenizer does not.
 CONTROLS = re.compile("[\x1c-\x1f]")
@@ -114,6 +115,12 @@ class WordTokenizer:
         return [np.frombuffer(b"".join(map(known, words)), "<u4") for words in split]
 
 
+@lru_cache(maxsize=1)
+def tokenizer_at(path: str) -> WordTokenizer:
+    """One tokenizer per Python worker: tasks that follow each other there share the words remembered."""
+    return WordTokenizer(path)
+
+
 def choose_cuts(points: np.ndarray, penalty: np.ndarray, size: int = WINDOW) -> list[int]:
     """Indices into ``points`` (rising, from 0, at most ``size`` apart) where windows end, of least cost.
 
@@ -188,7 +195,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = WINDOW, chunk_tokens: int
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words, sequence = WordTokenizer(tokenizer), TaskContext.get().partitionId() << 32
+        words, sequence = tokenizer_at(tokenizer), TaskContext.get().partitionId() << 32
         separator = np.array([SEPARATOR], "<u4")
         chunk: list[tuple[object, np.ndarray]] = []
         held = 0
