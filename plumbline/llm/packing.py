@@ -19,6 +19,7 @@ are ignored. A document longer than a chunk is a chunk of its own.
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections import deque
 from collections.abc import Iterable, Iterator
@@ -116,8 +117,8 @@ class WordTokenizer:
 
 
 @lru_cache(maxsize=1)
-def tokenizer_at(path: str) -> WordTokenizer:
-    """One tokenizer per Python worker: tasks that follow each other there share the words remembered."""
+def tokenizer_of(call: str, path: str) -> WordTokenizer:
+    """One tokenizer per Python worker and call of ``pack``: tasks that follow each other there share the words remembered."""
     return WordTokenizer(path)
 
 
@@ -191,11 +192,12 @@ def pack_chunk(docs: list[tuple[object, np.ndarray]], sentence_ends: np.ndarray,
 
 def pack(docs: DataFrame, tokenizer: str, size: int = WINDOW, chunk_tokens: int = CHUNK_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The pieces of all documents, in ``SCHEMA``. ``tokenizer``: path of a tokenizer file that every executor has."""
+    call = uuid.uuid4().hex
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words, sequence = tokenizer_at(tokenizer), TaskContext.get().partitionId() << 32
+        words, sequence = tokenizer_of(call, tokenizer), TaskContext.get().partitionId() << 32
         separator = np.array([SEPARATOR], "<u4")
         chunk: list[tuple[object, np.ndarray]] = []
         held = 0
