@@ -1,16 +1,20 @@
 """Masked pseudo-likelihood: a window network predicts every token from both sides.
 
-Tokens are words hashed to ``SIDE * SIDE`` numbers. The network reads ``REACH`` embeddings from
-either side of the masked token, mixes them in one hidden layer and predicts the number in two steps,
-its high digit and then its low digit given the high one, so a prediction costs two softmaxes of
-``SIDE`` and is still a proper distribution. The log-probabilities of all tokens of a document are
-summed; per token they compare documents of different lengths.
-
-Training is data-parallel: in every round each task starts from the current weights, runs stochastic
-gradient descent over all its documents (one target in ``STRIDE`` positions, starting at a place
-that shifts with the document) and returns its weights, which Spark averages entry by entry, weighted by targets. The driver holds
-one set of weights, whose size no corpus changes. What is gathered grows with the number of tasks,
-that is with the input.
+Words are hashed to classes and predicted as class, then word of the class. The network reads
+``REACH`` class embeddings from either side of the masked token, mixes them in one hidden layer and
+predicts the class in two steps, its high digit and then its low digit given the high one, so a
+prediction costs two softmaxes of ``side``. A word's probability inside its class is its share of the class's
+tokens in the corpus; so all words are told apart, and the whole is a proper distribution over
+the corpus's vocabulary. The log-probabilities of all tokens of a document are summed; per token they
+compare documents of different lengths.
+
+Words are counted over all documents by Spark; ``side`` is the cube root of the vocabulary, ``SIDE``
+at least, so classes grow with its power 2/3. The counts stay a table: the few words that make up
+most tokens are broadcast, the others are joined by shuffle.
+
+Training is data-parallel: each task starts from the same weights, runs stochastic
+gradient descent over all its documents, every position being a target, and returns its weights,
+which Spark averages entry by entry, weighted by targets. The driver holds one set of weights.
 
 Defined results: null, empty and blank texts have no tokens and a score of 0, per token too; repeated rows
 are scored row by row; an empty table gives an empty result (and untrained weights); other columns are ignored.
@@ -26,32 +30,39 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import id_and_text, materialise, small
 
 SIDE, REACH, WIDTH, HIDDEN = 64, 2, 24, 64
-STRIDE, ROUNDS, BATCH, RATE, SEED = 6, 1, 256, 0.15, 11
-EDGE = SIDE * SIDE  # stands before the first and after the last token
+STRIDE, ROUNDS, BATCH, RATE, SEED = 1, 1, 256, 0.15, 11
+EDGE = SIDE * SIDE  # stands before the first and after the last token; side * side for other sides
+#: Words with at least this fraction of all tokens are broadcast: 20,000 at most.
+FREQUENT = 1 / 20_000
 REMEMBERED = 500_000
 CHUNK = 4096
 Weights = dict[str, np.ndarray]
 
 
-def fresh_weights() -> Weights:
+def side_of(vocabulary: int) -> int:
+    """Digits of a class number, for so many words."""
+    return max(SIDE, round(vocabulary ** (1 / 3)))
+
+
+def fresh_weights(side: int = SIDE) -> Weights:
     rng = np.random.default_rng(SEED)
     draw = lambda *shape: (rng.normal(0, 1, shape) / np.sqrt(shape[0])).astype(np.float32)
     return {
-        "embed": (rng.normal(0, 0.3, (EDGE + 1, WIDTH))).astype(np.float32),
+        "embed": (rng.normal(0, 0.3, (side * side + 1, WIDTH))).astype(np.float32),
         "mix": draw(2 * REACH * WIDTH, HIDDEN),
         "bias": np.zeros(HIDDEN, np.float32),
-        "high": np.zeros((HIDDEN, SIDE), np.float32),
-        "high_bias": np.zeros(SIDE, np.float32),
-        "low": np.zeros((HIDDEN, SIDE), np.float32),
-        "low_given": np.zeros((SIDE, SIDE), np.float32),
+        "high": np.zeros((HIDDEN, side), np.float32),
+        "high_bias": np.zeros(side, np.float32),
+        "low": np.zeros((HIDDEN, side), np.float32),
+        "low_given": np.zeros((side, side), np.float32),
     }
 
 
 class Words:
-    """Token numbers of a text; hashes of words are remembered."""
+    """63-bit hashes of a text's words; they are remembered. A word's class is the remainder by ``side * side``."""
 
     def __init__(self):
         self.memory: dict[bytes, int] = {}
@@ -64,16 +75,16 @@ class Words:
                 self.memory.clear()
             for i, x in enumerate(found):
                 if x is None:
-                    found[i] = self.memory[words[i]] = xxhash.xxh3_64_intdigest(words[i]) % EDGE
+                    found[i] = self.memory[words[i]] = xxhash.xxh3_64_intdigest(words[i]) >> 1
         return np.array(found, np.int64)
 
 
 OFFSETS = np.array([k for k in range(-REACH, REACH + 1) if k])
 
 
-def windows(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The tokens on both sides of these positions; EDGE beyond the ends."""
-    padded = np.concatenate([np.full(REACH, EDGE), tokens, np.full(REACH, EDGE)])
+def windows(tokens: np.ndarray, at: np.ndarray, edge: int = EDGE) -> np.ndarray:
+    """The tokens on both sides of these positions; ``edge`` beyond the ends."""
+    padded = np.concatenate([np.full(REACH, edge), tokens, np.full(REACH, edge)])
     return padded[at[:, None] + REACH + OFFSETS[None, :]]
 
 
@@ -89,16 +100,16 @@ def predict(w: Weights, context: np.ndarray, target: np.ndarray):
     x = w["embed"][context].reshape(len(context), -1)
     h = np.maximum(x @ w["mix"] + w["bias"], 0)
     high = _softmax(h @ w["high"] + w["high_bias"])
-    low = _softmax(h @ w["low"] + w["low_given"][target // SIDE])
+    low = _softmax(h @ w["low"] + w["low_given"][target // len(w["high_bias"])])
     return x, h, high, low
 
 
 def step(w: Weights, context: np.ndarray, target: np.ndarray, rate: float) -> None:
     """One step of gradient descent on the mean negative log-probability, in place."""
-    n, row = len(target), np.arange(len(target))
+    n, row, side = len(target), np.arange(len(target)), len(w["high_bias"])
     x, h, high, low = predict(w, context, target)
-    high[row, target // SIDE] -= 1
-    low[row, target % SIDE] -= 1
+    high[row, target // side] -= 1
+    low[row, target % side] -= 1
     high /= n
     low /= n
     back = (high @ w["high"].T + low @ w["low"].T) * (h > 0)
@@ -106,15 +117,15 @@ def step(w: Weights, context: np.ndarray, target: np.ndarray, rate: float) -> No
     w["high"] -= rate * (h.T @ high)
     w["high_bias"] -= rate * high.sum(0)
     w["low"] -= rate * (h.T @ low)
-    np.subtract.at(w["low_given"], target // SIDE, rate * low)
+    np.subtract.at(w["low_given"], target // side, rate * low)
     w["mix"] -= rate * (x.T @ back)
     w["bias"] -= rate * back.sum(0)
     np.subtract.at(w["embed"], context.reshape(-1), rate * dx)
 
 
-def train(rows: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE) -> Weights:
+def train(rows: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE, side: int = SIDE) -> Weights:
     """Weights after local descent over all documents of (doc_id, text) and averaging, round by round."""
-    weights = fresh_weights()
+    weights = fresh_weights(side)
     shapes = [(k, v.shape, v.size) for k, v in weights.items()]
     for _ in range(rounds):
         flat = np.concatenate([v.reshape(-1) for v in weights.values()])
@@ -139,10 +150,10 @@ def train(rows: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE) -> Weight
 
             for batch in batches:
                 for raw in batch.column(1).cast(pa.binary()):
-                    tokens = number(raw.as_py())
+                    tokens = number(raw.as_py()) % (side * side)
                     if len(tokens):
                         places = np.arange(len(tokens) % stride % len(tokens), len(tokens), stride)
-                        held.append((windows(tokens, places), tokens[places]))
+                        held.append((windows(tokens, places, side * side), tokens[places]))
                         count += len(places)
                         if count >= 64 * BATCH:
                             flush()
@@ -165,39 +176,84 @@ def train(rows: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE) -> Weight
     return weights
 
 
+def _key(raw: bytes) -> bytes:
+    return xxhash.xxh3_128_digest(raw)
+
+
+def _words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, word, times): the words of each text with any, which its hash stands for."""
+    number = Words()
+    for batch in batches:
+        keys, words, times = [], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for raw in batch.column(1).cast(pa.binary()):
+            if len(hashes := number(raw.as_py())):
+                own, n = np.unique(hashes, return_counts=True)
+                keys += [_key(raw.as_py())] * len(own)
+                words.append(own)
+                times.append(n)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(np.concatenate(words)), pa.array(np.concatenate(times))], ["key", "word", "times"])
+
+
+def _shares(words: DataFrame, counts: DataFrame, side: int) -> DataFrame:
+    """(key, share): mean log-share that a text's words have in their classes; equal texts have one mean."""
+    own = F.col("word") % (side * side)
+    classes = materialise(counts.groupBy(own.alias("class")).agg(F.sum("n").alias("all")), "lm-classes")
+    shares = counts.join(small(classes, 16), own == F.col("class")).select("word", "n", F.log(F.col("n") / F.col("all")).alias("share"))
+    shares = materialise(shares, "lm-shares")
+    total = classes.agg(F.sum("all")).first()[0] or 0
+    often = F.col("n") >= total * FREQUENT
+    frequent, rare = F.broadcast(shares.where(often).select("word", "share")), shares.where(~often).select("word", "share")
+    each = words.join(frequent, "word").unionByName(words.join(frequent.select("word"), "word", "left_anti").join(rare, "word"))
+    return each.groupBy("key").agg((F.sum(F.col("times") * F.col("share")) / F.sum("times")).alias("share"))
+
+
 def score(docs: DataFrame, weights: Weights | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, pll (summed log-probability) and pll_per_token, one row per row of ``docs``."""
+    """doc_id, n_tokens, pll (summed log-probability) and pll_per_token, one row per row of ``docs``.
+
+    Words are counted over ``docs``, also where trained weights are given.
+    """
     rows = id_and_text(docs, id_col, text_col)
-    sent = docs.sparkSession.sparkContext.broadcast(train(rows) if weights is None else weights)
+    words = materialise(rows.mapInArrow(_words, "key binary, word long, times long"), "lm-words")
+    counts = materialise(words.groupBy("word").agg(F.sum("times").alias("n")), "lm-counts")
+    if weights is None:
+        weights = train(rows, side=side_of(counts.count()))
+    side = len(weights["high_bias"])
+    sent = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = Words()
         for batch in batches:
-            counts: list[int] = []
+            sizes: list[int] = []
             sums: list[float] = []
+            keys: list[bytes | None] = []
             # Short documents go through the network together.
             for part in (batch.slice(i, 64) for i in range(0, batch.num_rows, 64)):
-                tokens = [number(raw.as_py()) for raw in part.column(1).cast(pa.binary())]
-                counts += map(len, tokens)
+                raws = part.column(1).cast(pa.binary()).to_pylist()
+                tokens = [number(raw) % (side * side) for raw in raws]
+                sizes += map(len, tokens)
+                keys += [_key(raw) if len(t) else None for raw, t in zip(raws, tokens, strict=True)]
                 sums += log_sums(sent.value, tokens)
-            mean = [s / n if n else 0.0 for s, n in zip(sums, counts, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(sums, pa.float64()), pa.array(mean, pa.float64())], ["doc_id", "n_tokens", "pll", "pll_per_token"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), pa.array(keys, pa.binary())], ["doc_id", "n_tokens", "classes", "key"])
 
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, pll double, pll_per_token double")
+    found = rows.mapInArrow(run, "doc_id long, n_tokens long, classes double, key binary").join(_shares(words, counts, side), "key", "left")
+    pll = F.when(F.col("n_tokens") > 0, F.col("classes") + F.col("n_tokens") * F.col("share")).otherwise(0.0)
+    return found.select("doc_id", "n_tokens", pll.alias("pll")).select("*", F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens")).otherwise(0.0).alias("pll_per_token"))
 
 
 def log_sums(w: Weights, texts: list[np.ndarray]) -> list[float]:
-    """Summed log-probabilities of each text; REACH edges between texts keep them apart."""
-    gap = np.full(REACH, EDGE)
+    """Summed log-probabilities of each text's classes; REACH edges between texts keep them apart."""
+    side = len(w["high_bias"])
+    edge = side * side
+    gap = np.full(REACH, edge)
     joined = np.concatenate([x for t in texts for x in (t, gap)] or [gap])
-    real = np.flatnonzero(joined != EDGE)
+    real = np.flatnonzero(joined != edge)
     out = np.zeros(len(joined))
     for a in range(0, len(real), CHUNK):
         at = real[a : a + CHUNK]
         target = joined[at]
-        _, _, high, low = predict(w, windows(joined, at), target)
+        _, _, high, low = predict(w, windows(joined, at, edge), target)
         row = np.arange(len(at))
-        out[at] = np.log(np.maximum(high[row, target // SIDE], 1e-12)) + np.log(np.maximum(low[row, target % SIDE], 1e-12))
+        out[at] = np.log(np.maximum(high[row, target // side], 1e-12)) + np.log(np.maximum(low[row, target % side], 1e-12))
     ends = np.cumsum([len(t) + REACH for t in texts])
     total = np.concatenate([[0.0], np.cumsum(out)])
     return [float(total[e - REACH] - total[e - REACH - len(t)]) for e, t in zip(ends, texts, strict=True)]

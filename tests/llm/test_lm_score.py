@@ -67,3 +67,35 @@ def test_awkward_and_empty(spark):
     rows = lm.score(df).collect()
     assert len(rows) == df.count() and all(r.pll <= 0 for r in rows) and all(r.pll == 0 for r in rows if r.doc_id in (2, 3, 4))
     assert lm.score(df.limit(0)).count() == 0
+
+
+def test_production_setting_trains_every_position(spark):
+    """Six-word sentences: every sixth position alone would train the first word of a sentence only."""
+    rng = np.random.default_rng(6)
+    parts = [[f"{kind}{i}" for i in range(3)] for kind in ("the", "adj", "noun", "verb", "adverb", "stop")]
+    sentence = lambda n: [str(rng.choice(p)) for _ in range(n) for p in parts]
+    corpus = [(i, " ".join(sentence(50))) for i in range(500)]
+    weights = lm.train(spark.createDataFrame(corpus, "doc_id long, text string").coalesce(1))
+    number, words = lm.Words(), " ".join(sentence(20)).encode()
+    tokens = number(words) % lm.EDGE
+    _, _, high, low = lm.predict(weights, lm.windows(tokens, np.arange(len(tokens))), tokens)
+    row = np.arange(len(tokens))
+    p = (high[row, tokens // lm.SIDE] * low[row, tokens % lm.SIDE]).reshape(-1, 6)
+    assert (np.median(p, 0) > 0.1).all()  # a third is the best, 1 / 4096 untrained
+
+
+def test_words_of_one_class_are_told_apart(spark):
+    """A frequent word and a rare one of the same 12 bits; one-word texts sum to a probability."""
+    number, first = lm.Words(), {}
+    for i in range(10**5):
+        word = f"w{i}"
+        if (other := first.setdefault(int(number(word.encode())[0]) % lm.EDGE, word)) != word:
+            break
+    docs = [(1, other), (2, word), (3, other), (4, other), (5, "else")]
+    got = {r.doc_id: r.pll for r in lm.score(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert np.isclose(got[1] - got[2], np.log(3)) and got[1] == got[3] == got[4]
+    assert np.exp(got[1]) + np.exp(got[2]) + np.exp(got[5]) <= 1
+
+
+def test_classes_grow_with_the_vocabulary():
+    assert lm.side_of(10) == lm.SIDE < lm.side_of(10**6) < lm.side_of(10**7)
