@@ -8,7 +8,9 @@ similarity.
 1. Documents with equal sets collapse into classes, so exact copies cost nothing further.
 2. In every table bucket each class is compared with one member, the bucket's least: if a quarter of
    their sub-keys agree (at the similarity itself three quarters are expected), they belong to one
-   cluster. That leaves clusters of near copies without emitting the pairs of a bucket.
+   cluster. Where that member rejects some, a task carries on with the bucket: the rejected are compared with
+   the accepted, then the least of the rejected with the others, until none is left. So each pair of
+   a bucket is compared or joined by way of a third, without emitting the pairs of a bucket.
 3. Inside a cluster all pairs are compared on full sets: clusters are dealt into blocks of bounded
    size, and each pair of blocks is one small group of rows, however large the cluster.
 4. Confirmed links make components.
@@ -116,8 +118,59 @@ def _features(width: int, m: int):
     return run
 
 
+def _carry_on(m: int):
+    """Streams rows (bucket, ok, node, keys), sorted by bucket, into (a, b): links in buckets whose least member rejected some (not ok)."""
+
+    def agree(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+        return (one == many).sum(1) * 4 >= 2 * m
+
+    def links(nodes: list[bytes], keys: np.ndarray, ok: np.ndarray) -> list[tuple[bytes, bytes]]:
+        accepted, rejected, out = np.flatnonzero(ok), np.flatnonzero(~ok), []
+        while len(rejected):
+            if len(accepted):  # these are one cluster already, so one link to any of them is enough
+                for x in rejected:
+                    if (like := agree(keys[x], keys[accepted])).any():
+                        out.append((nodes[x], nodes[accepted[like.argmax()]]))
+            hub, others = rejected[0], rejected[1:]
+            like = agree(keys[hub], keys[others])
+            accepted, rejected = others[like], others[~like]
+            out += [(nodes[x], nodes[hub]) for x in accepted]
+        return out
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, nodes, keys, ok, out = None, [], [], [], []
+
+        def close() -> None:
+            nonlocal nodes, keys, ok
+            out.extend(links(nodes, np.array(keys), np.array(ok)))
+            nodes, keys, ok = [], [], []
+
+        def ready() -> pa.RecordBatch:
+            a, b = zip(*set(out), strict=True)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+        for batch in batches:
+            for i, (own, fine, node) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)):
+                if own != bucket:
+                    if nodes:
+                        close()
+                    bucket = own
+                nodes.append(node)
+                ok.append(fine)
+                keys.append(batch.column(3)[i].values.to_numpy())
+            if out:
+                yield ready()
+        if nodes:
+            close()
+        if out:
+            yield ready()
+
+    return run
+
+
 def _clusters(classes: DataFrame, m: int) -> DataFrame:
-    """(node, label): classes that share buckets and a quarter of their sub-keys with a bucket's least member."""
+    """(node, label): classes that share buckets and a quarter of their sub-keys, directly or by way of others."""
     tables = F.flatten(
         F.transform(
             F.slice("keys", 1, m),
@@ -125,17 +178,22 @@ def _clusters(classes: DataFrame, m: int) -> DataFrame:
         )
     )
     rows = classes.select("node", F.explode(tables).alias("bucket"))
-    least = rows.groupBy("bucket").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "hub")
-    pairs = rows.join(least, "bucket").where("node <> hub").select("node", "hub").distinct()
+    least = rows.groupBy("bucket").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "hub", "n")
+    met = materialise(rows.join(least, "bucket").where("node <> hub").select("bucket", "node", "hub", "n"), "bucket-members")
+    pairs = met.select("node", "hub").distinct()
     keys = classes.select("node", "keys")
     agreeing = F.size(F.filter(F.arrays_zip(F.col("keys").alias("x"), F.col("hub_keys").alias("y")), lambda z: z["x"] == z["y"]))
-    near = (
+    tried = materialise(
         pairs.join(keys, "node")
         .join(keys.select(F.col("node").alias("hub"), F.col("keys").alias("hub_keys")), "hub")
-        .where(agreeing * 4 >= 2 * m)
-        .select(F.col("node").alias("a"), F.col("hub").alias("b"))
+        .select("node", "hub", (agreeing * 4 >= 2 * m).alias("ok")),
+        "hubs-tried",
     )
-    return components(near)
+    near = tried.where("ok").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    more = met.where("n > 2").join(tried.where("not ok").select("node", "hub"), ["node", "hub"], "left_semi").select("bucket").distinct()
+    left = met.join(materialise(more, "open-buckets"), "bucket").join(tried, ["node", "hub"]).select("bucket", "ok", "node").join(keys, "node").select("bucket", "ok", "node", "keys")
+    further = left.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_carry_on(m), "a binary, b binary")
+    return components(materialise(near.unionByName(further).distinct(), "near"))
 
 
 def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:

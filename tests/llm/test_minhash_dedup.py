@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from plumbline.llm import graph, minhash_dedup
@@ -94,3 +95,28 @@ def test_subkeys_reach_the_recall():
     for s in (0.8, 0.85):
         m = minhash_dedup.subkeys(s)
         assert 1 - (1 - (1 - s**2) ** m) ** 2 <= minhash_dedup.MISSED
+
+
+def test_a_bucket_goes_on_after_its_least_member(spark):
+    """Two alike classes that meet only in buckets whose least member, always another, is unlike both."""
+    m, rng = 8, np.random.default_rng(1)
+    draw = lambda: rng.integers(0, 2**62, 2 * m).tolist()
+    x, y, rows = draw(), draw(), []
+    y[0], y[m:] = x[0], x[m:]
+    for j in range(m):
+        stranger = draw()
+        stranger[0], stranger[m + j] = x[0], x[m + j]
+        rows.append((b"a%d" % j, stranger))
+    rows += [(b"x", x), (b"y", y)]
+    got = minhash_dedup._clusters(spark.createDataFrame(rows, "node binary, keys array<long>"), m).collect()
+    assert {bytes(r.node) for r in got} == {b"x", b"y"} and len({bytes(r.label) for r in got}) == 1
+
+
+def test_rejected_members_meet_the_accepted_and_each_other():
+    """Rows 0 and 1 were accepted; 2 is like 1, 3 and 4 are like each other, 5 is like none."""
+    m, keys = 4, np.arange(48).reshape(6, 8)
+    keys[2, :2], keys[4, 2:5] = keys[1, :2], keys[3, 2:5]
+    ids = [bytes([i]) for i in range(6)]
+    batch = pa.RecordBatch.from_arrays([pa.array([7] * 6), pa.array([True, True, *[False] * 4]), pa.array(ids, pa.binary()), pa.array(keys.tolist(), pa.list_(pa.int64()))], ["bucket", "ok", "node", "keys"])
+    got = {tuple(r.values()) for b in minhash_dedup._carry_on(m)([batch]) for r in b.to_pylist()}
+    assert got == {(ids[2], ids[1]), (ids[4], ids[3])}
