@@ -214,7 +214,7 @@ plan.add(
     f"WITH {_scores}, r AS (SELECT model, round(score,9) AS score, CAST(rank() OVER (ORDER BY round(score,9) DESC) AS BIGINT) AS rank FROM s) SELECT * FROM r WHERE model <> 'm3'",
 )
 
-REPLICATES, SEED = 200, 2027
+REPLICATES, SEED = 2000, 2027
 
 
 def a19_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:

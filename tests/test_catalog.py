@@ -38,3 +38,8 @@ def test_query_matches_its_twin(spark, duck, name):
 def test_the_rest_runs(spark):
     for name in catalog.queries().keys() - catalog.oracle_sql().keys():
         assert catalog.queries()[name](spark, SF).count() >= 0
+
+
+def test_bootstrap_draws_as_often_as_the_reference(spark):
+    rows = catalog.queries()["a19_bootstrap_hash"](spark, SF).collect()
+    assert rows and all(r["valid"] + r["undefined"] == 2000 for r in rows)
