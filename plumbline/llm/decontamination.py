@@ -1,18 +1,24 @@
 """Benchmark decontamination: CGK embeddings, bit-sampling LSH over item-sized windows, exact edit verification.
 
-Texts are sequences of lower-cased words. The CGK walk reads a sequence with a pointer that a random
-bit per (step, word) either moves on or leaves; what it reads at ``3 * n`` steps is the embedding,
-and sequences at edit distance k get embeddings at a Hamming distance of about k**2 at most. One
-repetition samples ``SAMPLED`` steps of one walk and looks the words read there up in a table of
-the items; ``REPEATS`` independent repetitions reach the target recall. What collides is compared by
-edit distance over words, exactly; a window matches an item of n words if the distance is at most
-``n * (100 - percent) // 100``.
-
-Windows have an item's length and start at every word. Before walking, a window must hold as many
-words and neighbouring pairs of the benchmark as a match leaves in place; that loses no match.
-
-Documents are read once per block of ``BLOCK_ITEMS`` items and never shuffled; only a block of
-items, of bounded size, is sent to the executors.
+Texts are sequences of lower-cased words. An item of n words matches a document if some span of the
+document's words is within ``n * (100 - percent) // 100`` word edits of it, whatever the span's length.
+
+An item is cut into equal pieces of at most ``PIECE`` words; one piece at least has no more than its
+share of the edits, so recall does not fall with the item's length. The CGK walk reads a sequence with
+a pointer that a random bit per (step, word) either moves on or leaves; what it reads at ``2 * m - 1``
+steps is the embedding of a window of m words, and sequences at edit distance e get embeddings at a
+Hamming distance of about e**2 at most. One repetition samples ``SAMPLED`` steps of one walk and looks
+the words read there up in a table of the pieces; ``REPEATS`` independent repetitions bring at least
+``RECALL`` of the items at exactly the greatest distance allowed, by tests at 15 to 500 words. What collides is
+compared exactly: the whole item against the words around, free at both ends, by Myers' bit vectors.
+
+Windows have a piece's length and start at every word. Before walking, a window must hold as many
+words and neighbouring pairs of the benchmark as a match that starts there leaves in place; that
+loses no match.
+
+Documents are never shuffled and meet the stated set of items in blocks of bounded size: one read
+of the documents while the benchmark is below ``BLOCK_CHARS``, one more for each further block, whose
+rows are written before the next block is sent.
 
 Defined results: null texts have no words and match nothing, as do items without words; repeated
 documents and items each give their own rows; empty tables give no rows; other columns are ignored
@@ -23,6 +29,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,77 +39,108 @@ from pyspark.sql import functions as F
 
 from .common import fresh, id_and_text, materialise, small
 
-PERCENT, SAMPLED, REPEATS, SEED = 80, 3, 40, 77
-BLOCK_ITEMS = 5000
-#: Words of documents that a task looks through together.
-AT_ONCE = 500_000
+PERCENT, PIECE, SAMPLED, REPEATS, SEED = 80, 40, 3, 40, 77
+RECALL = 0.97
+#: Characters of items that are sent to the executors together, at most (an item alone may have more).
+BLOCK_CHARS = 8 << 20
+#: Words of documents that a task looks through together, held as 32-bit numbers.
+AT_ONCE = 4_000_000
 SCHEMA = "doc_id long, item_id long, start_word long, n_words long, distance long"
 WORD = re.compile(r"\w+")
 U = np.uint64
 #: A walk reads this where the sequence has ended.
 PAST = 0
+#: Latin-1 bytes: blanks for all that no word holds.
+_LATIN = bytes(i if WORD.match(chr(i)) else 32 for i in range(256))
 
 
 def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
-def distance(a: list, b: list, most: int) -> int:
-    """Edit distance of two sequences if it is at most ``most``, else ``most + 1``; only a band is computed."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    far = most + 1
-    row = [j if j <= most else far for j in range(len(b) + 1)]
-    for i, x in enumerate(a, 1):
-        lo, hi = max(1, i - most), min(len(b), i + most)
-        new = [far] * (len(b) + 1)
-        if i <= most:
-            new[0] = i
-        for j in range(lo, hi + 1):
-            new[j] = min(row[j - 1] + (x != b[j - 1]), row[j] + 1, new[j - 1] + 1, far)
-        row = new
-        if min(row[lo - 1 : hi + 1]) > most:
-            return far
-    return row[len(b)]
+def nearest(item: list[int], words: list[int], most: int) -> tuple[int, int, int] | None:
+    """(start, length, distance) of the span of ``words`` nearest to the item if it is at most ``most`` edits away.
+
+    Of equals the one that ends first, and of those the shortest. Rows of the edit matrix are bit
+    vectors of their differences (Myers); a second run back from the end finds the start.
+    """
+    n = len(item)
+    mask, high = (1 << n) - 1, 1 << (n - 1)
+
+    def run(pattern: list[int], text: Iterable[int], anchored: int) -> Iterator[int]:
+        at: dict[int, int] = {}
+        for i, x in enumerate(pattern):
+            at[x] = at.get(x, 0) | 1 << i
+        up, down, score = mask, 0, n
+        for x in text:
+            same = at.get(x, 0) | down
+            flat = ((up + (same & up)) ^ up) | same
+            left_down, left_up = up & flat, down | (mask & ~(up | flat))
+            score += bool(left_up & high) - bool(left_down & high)
+            left_up = left_up << 1 | anchored
+            down = left_up & flat & mask
+            up = (left_down << 1 | ~(left_up | flat)) & mask
+            yield score
+
+    best, end = n, 0
+    for j, d in enumerate(run(item, words, 0), 1):
+        if d < best:
+            best, end = d, j
+    if best > most:
+        return None
+    if best == n:
+        return (0, 0, n)
+    back = run(item[::-1], reversed(words[:end]), 1)
+    length = next(j for j, d in enumerate(back, 1) if d == best)
+    return end - length, length, best
 
 
 class Index:
-    """LSH tables of a block of items, by item length."""
+    """LSH tables of a block of items, by the length of their pieces and the edits that a piece may have."""
 
     def __init__(self, items: list[tuple[int, str]], percent: int = PERCENT, repeats: int = REPEATS, sampled: int = SAMPLED):
         self.items = [(i, w) for i, t in items if (w := words_of(t))]
-        self.vocabulary = {w: k for k, w in enumerate(sorted({w for _, ws in self.items for w in ws}), 1)}
-        self.other = len(self.vocabulary) + 1
-        self.lengths = sorted({len(w) for _, w in self.items})
-        self.allowed = {n: n * (100 - percent) // 100 for n in self.lengths}
+        vocabulary = {w: k for k, w in enumerate(sorted({w for _, ws in self.items for w in ws}), 1)}
+        self.other = len(vocabulary) + 1
+        self.by_word = vocabulary
+        self.by_bytes = {raw: k for w, k in vocabulary.items() if (raw := _latin(w)) is not None}
         rng = np.random.default_rng(SEED)
         self.code = np.concatenate([[PAST], rng.integers(1, 2**62, self.other)]).astype(U)
-        self.hashed = np.array([xxhash.xxh3_64_intdigest(w) for w in ["", *self.vocabulary, "\0"]], U)
+        self.hashed = np.array([xxhash.xxh3_64_intdigest(w) for w in ["", *vocabulary, "\0"]], U)
         self.sampled, self.repeats = sampled, repeats
-        coded = [self.encode(w) for _, w in self.items]
-        self.pairs = np.unique(np.concatenate([self._pairs(c) for c in coded])) if coded else np.empty(0, np.int64)
-        self.tables: dict[int, list[dict[int, list[int]]]] = {}
-        #: For each length, which pairs the items of that length have.
-        self.has_pair: dict[int, np.ndarray] = {}
-        for n in self.lengths:
-            mine = [k for k, (_, w) in enumerate(self.items) if len(w) == n]
-            self.has_pair[n] = np.isin(self.pairs, np.concatenate([self._pairs(coded[k]) for k in mine]))
-            tables = self.tables[n] = [{} for _ in range(repeats)]
-            for table, keys in zip(tables, self.keys(np.array([coded[k] for k in mine]), n).tolist(), strict=True):
-                for k, key in zip(mine, keys, strict=True):
-                    table.setdefault(key, []).append(k)
-
-    def encode(self, words: list[str]) -> np.ndarray:
-        """Numbers of words: 1 up in the vocabulary, one more number for all other words."""
-        get, other = self.vocabulary.get, self.other
-        return np.array([get(w, other) for w in words], np.int64)
+        self.coded = [np.array([vocabulary[w] for w in words], np.int64) for _, words in self.items]
+        self.allowed = [len(w) * (100 - percent) // 100 for _, w in self.items]
+        self.pairs = np.unique(np.concatenate([self._pairs(c) for c in self.coded])) if self.coded else np.empty(0, np.int64)
+        #: (words, edits) -> pieces as (item, first word).
+        groups: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for k, c in enumerate(self.coded):
+            count = -(-len(c) // PIECE)
+            cuts = [len(c) * i // count for i in range(count + 1)]
+            for a, b in zip(cuts, cuts[1:]):  # noqa: B905
+                groups.setdefault((b - a, self.allowed[k] // count), []).append((k, a))
+        #: By group: which pairs its pieces have, the sorted table keys of all repetitions, and the piece of each.
+        self.groups: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        for (m, e), pieces in sorted(groups.items()):
+            rows = np.array([self.coded[k][a : a + m] for k, a in pieces])
+            own = np.isin(self.pairs, np.concatenate([self._pairs(r) for r in rows]))
+            keys = self.keys(rows, m)
+            order = np.argsort(keys, axis=None, kind="stable")
+            self.groups[m, e] = own, keys.reshape(-1)[order], order % len(pieces), np.array(pieces)
+
+    def encode(self, text: str | None) -> np.ndarray:
+        """Numbers of a text's words: 1 up in the vocabulary, one more number for all other words."""
+        if (raw := _latin((text or "").lower())) is not None:
+            words, get = raw.translate(_LATIN).split(), self.by_bytes.get
+        else:
+            words, get = words_of(text), self.by_word.get
+        return np.fromiter(map(get, words, repeat(self.other)), np.int32, len(words))
 
     def _pairs(self, codes: np.ndarray) -> np.ndarray:
         return codes[:-1] * (self.other + 1) + codes[1:]
 
-    def keys(self, windows: np.ndarray, n: int) -> np.ndarray:
-        """(repeats, windows) table keys of windows of n words, given as rows of word numbers; all walks go side by side."""
-        rng, last = np.random.default_rng(SEED + n), max(1, 2 * n - 1)  # steps past 2n mostly read the end
+    def keys(self, windows: np.ndarray, m: int) -> np.ndarray:
+        """(repeats, windows) table keys of windows of m words, given as rows of word numbers; all walks go side by side."""
+        rng, last = np.random.default_rng(SEED + m), max(1, 2 * m - 1)  # later steps mostly read the end
         count = min(self.sampled, last)
         chosen = np.zeros((self.repeats, last), bool)
         for r in range(self.repeats):
@@ -117,23 +155,20 @@ class Index:
             if len(take := np.flatnonzero(chosen[:, j])):
                 x = (key[take] * U(0x9E3779B97F4A7C15)) ^ self.code[read[take]]
                 key[take] = x ^ (x >> U(29))
-            at = np.minimum(at + ((self.hashed[read] * move[j][:, None]) >> U(63)).astype(np.int64), n)
+            at = np.minimum(at + ((self.hashed[read] * move[j][:, None]) >> U(63)).astype(np.int64), m)
         return key
 
-    def find(self, texts: list[list[str]]) -> list[tuple[int, int, int, int, int]]:
-        """(text number, item number, start, length, distance): for each text and item the nearest window, the first of equals.
+    def find(self, texts: list[np.ndarray]) -> list[tuple[int, int, int, int, int]]:
+        """(text number, item number, start, length, distance) for encoded texts: for each text and item the nearest span.
 
-        A window at k edits from an item of n words has n - k of its words and n - 1 - 2k of its
-        neighbouring pairs, so windows with fewer words of the benchmark, or fewer pairs of its
-        items of n words, are not walked.
+        The m words from the start of a span at e edits from a piece of m words hold m - e of its words
+        and m - 1 - 2e of its neighbouring pairs, so windows with fewer are not walked. Where the
+        text ends sooner, the window does.
         """
         if not self.items or not texts:
             return []
-        gap = np.array([0])
-        parts = [self.encode(w) for w in texts]
-        codes = np.concatenate([x for part in parts for x in (part, gap)])
-        sizes = np.array([len(p) for p in parts])
-        begin = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
+        codes = np.concatenate([x for part in texts for x in (part, np.zeros(1, np.int32))]).astype(np.int64)
+        begin = np.concatenate([[0], np.cumsum([len(p) + 1 for p in texts])])
         known = (codes > 0) & (codes < self.other)
         both = np.flatnonzero(known[:-1] & known[1:])
         value = codes[both] * (self.other + 1) + codes[both + 1]
@@ -141,94 +176,124 @@ class Index:
         if len(self.pairs):
             there = self.pairs[np.minimum(number, len(self.pairs) - 1)] == value
             both, number = both[there], number[there]
-        # A gap between texts outweighs any number of words, so no window crosses it.
-        words_to = np.concatenate([[0], np.cumsum(np.where(codes == 0, -(10**7), known))])
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for n in self.lengths:
-            k, stop = self.allowed[n], len(codes) - n + 1
-            need = n - 1 - 2 * k
-            at = np.empty(0, np.int64)
-            if stop > 0 and need > 0:
-                mine = both[self.has_pair[n][number]]
-                if len(mine) >= need:
-                    # The last of ``need`` pairs lies at most n - 2 places after the first: only windows around such runs.
-                    near = np.flatnonzero(mine[need - 1 :] - mine[: len(mine) - need + 1] <= n - 2)
-                    if len(near):
-                        reach = mine[near + need - 1][:, None] - np.arange(n - 1)[None, :]
-                        at = np.unique(reach[(reach <= mine[near][:, None]) & (reach >= 0) & (reach < stop)])
-            elif stop > 0:
-                at = np.arange(stop)
-            at = at[words_to[at + n] - words_to[at] >= n - k]
-            short = begin[(sizes < n) & (sizes >= n - k) & (sizes > 0)]
-            self._look(n, codes, at, texts, begin, best)
-            self._look(n, codes, short, texts, begin, best)
-        return [(t, i, *x) for (t, i), x in sorted(best.items())]
-
-    def _look(self, n: int, codes: np.ndarray, at: np.ndarray, texts, begin: np.ndarray, best: dict) -> None:
-        """Looks up the windows of n words at these places; what a short text lacks is read as its end."""
-        allowed = self.allowed[n]
+        words_to = np.concatenate([[0], np.cumsum(known)])
+        places: dict[tuple[int, int], list[int]] = {}
+        for (m, e), group in self.groups.items():
+            need = m - 1 - 2 * e
+            mine = both[group[0][number]]
+            if need <= 0:
+                at = np.flatnonzero(codes)
+            elif len(mine) < need:
+                continue
+            else:
+                # The last of ``need`` pairs lies at most m - 2 places after the first: only windows around such runs.
+                near = np.flatnonzero(mine[need - 1 :] - mine[: len(mine) - need + 1] <= m - 2)
+                reach = mine[near + need - 1][:, None] - np.arange(m - 1)[None, :]
+                at = np.unique(reach[(reach <= mine[near][:, None]) & (reach >= 0)])
+            at = at[codes[at] != 0]
+            end = np.minimum(at + m, begin[np.searchsorted(begin, at, "right")] - 1)
+            fine = words_to[end] - words_to[at] >= m - e
+            if need > 0:
+                fine &= np.searchsorted(mine, end - 1) - np.searchsorted(mine, at) >= need
+            self._look(m, codes, at[fine], end[fine], group, begin, places)
+        return self._verified(texts, places)
+
+    def _look(self, m: int, codes: np.ndarray, at: np.ndarray, end: np.ndarray, group, begin: np.ndarray, places: dict) -> None:
+        """Adds to ``places`` where items would start, by (text, item), as the tables say for these windows."""
+        _, keys, owner, pieces = group
         for first in range(0, len(at), 2048):
-            places = at[first : first + 2048]
-            windows = codes[np.minimum(places[:, None] + np.arange(n), len(codes) - 1)]
-            windows = np.where(np.logical_or.accumulate(windows == 0, 1), 0, windows)
-            owner = np.searchsorted(begin, places, "right") - 1
-            keys, seen = self.keys(windows, n), set()
-            for r, table in enumerate(self.tables[n]):
-                for w in np.flatnonzero(np.isin(keys[r], np.fromiter(table, U, len(table)))).tolist():
-                    for i in table[int(keys[r][w])]:
-                        if (w, i) in seen:
-                            continue
-                        seen.add((w, i))
-                        t = int(owner[w])
-                        start = int(places[w] - begin[t])
-                        there = texts[t][start : start + n]
-                        d = distance(self.items[i][1], there, allowed)
-                        if d <= allowed and ((t, i) not in best or (d, start) < (best[t, i][2], best[t, i][0])):
-                            best[t, i] = (start, len(there), d)
-
-
-def matches(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """One row for each document and item where a window of the document matches: the nearest window.
-
-    The stated set of items meets all documents in blocks of ``block_items``.
+            spot, stop = at[first : first + 2048], end[first : first + 2048]
+            where = spot[:, None] + np.arange(m)
+            windows = np.where(where < stop[:, None], codes[np.minimum(where, len(codes) - 1)], PAST)
+            own = self.keys(windows, m).reshape(-1)
+            low, high = np.searchsorted(keys, own), np.searchsorted(keys, own, "right")
+            hit = np.flatnonzero(high > low)
+            times = (high - low)[hit]
+            entry = np.repeat(low[hit], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            for w, piece in np.unique(np.stack([np.repeat(hit % len(spot), times), owner[entry]], 1), axis=0).tolist():
+                t = int(np.searchsorted(begin, spot[w], "right")) - 1
+                item, offset = pieces[piece].tolist()
+                places.setdefault((t, item), []).append(int(spot[w] - begin[t]) - offset)
+
+    def _verified(self, texts: list[np.ndarray], places: dict) -> list[tuple[int, int, int, int, int]]:
+        """Each item against the words around the places where it may start; stretches that meet are one."""
+        out = []
+        for (t, k), starts in sorted(places.items()):
+            item, most = self.coded[k].tolist(), self.allowed[k]
+            reach, best = len(item) + 2 * most, None
+            stretches: list[list[int]] = []
+            for s in sorted(set(starts)):
+                low, high = max(0, s - most), min(len(texts[t]), s + reach)
+                if stretches and low <= stretches[-1][1]:
+                    stretches[-1][1] = high
+                else:
+                    stretches.append([low, high])
+            for low, high in stretches:
+                found = nearest(item, texts[t][low:high].tolist(), most)
+                if found and (best is None or found[2] < best[2]):
+                    best = (low + found[0], *found[1:])
+            if best:
+                out.append((t, k, *best))
+        return out
+
+
+def _latin(text: str) -> bytes | None:
+    try:
+        return text.encode("latin-1")
+    except UnicodeEncodeError:
+        return None
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """One row for each document and item where a span of the document matches: the nearest span.
+
+    The stated set of items meets all documents in blocks of ``block_chars``; the driver holds one block.
     """
     rows = id_and_text(docs, id_col, text_col)
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    out = docs.sparkSession.createDataFrame([], SCHEMA)
+    out: DataFrame | None = None
     block: list[tuple[int, str]] = []
+    held = 0
     for item in items.toLocalIterator():
+        size = len(item["text"] or "")
+        if block and held + size > block_chars:
+            found, sent = _against(rows, block, percent)
+            found = materialise(found, "matches-of-block")
+            sent.destroy()
+            out, block, held = (found if out is None else out.unionByName(found)), [], 0
         block.append((item["item_id"], item["text"]))
-        if len(block) == block_items:
-            out, block = out.unionByName(_against(rows, block, percent)), []
-    return out.unionByName(_against(rows, block, percent)) if block else out
+        held += size
+    last, _ = _against(rows, block, percent)
+    return last if out is None else out.unionByName(last)
 
 
-def _against(rows: DataFrame, block: list[tuple[int, str]], percent: int) -> DataFrame:
+def _against(rows: DataFrame, block: list[tuple[int, str]], percent: int):
     sent = rows.sparkSession.sparkContext.broadcast(list(block))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(sent.value, percent)
         names, docs, texts, held = [x.split()[0] for x in SCHEMA.split(", ")], [], [], 0
 
-        def flush() -> list[pa.RecordBatch]:
+        def flush() -> Iterator[pa.RecordBatch]:
             nonlocal held
             found = [(docs[t], index.items[i][0], *rest) for t, i, *rest in index.find(texts)]
             docs.clear()
             texts.clear()
             held = 0
-            return [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names)] if found else []
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names)
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 docs.append(doc)
-                texts.append(words_of(text.as_py()))
+                texts.append(index.encode(text.as_py()))
                 held += len(texts[-1])
                 if held >= AT_ONCE:
                     yield from flush()
         if docs:
             yield from flush()
 
-    return rows.mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(run, SCHEMA), sent
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

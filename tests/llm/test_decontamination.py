@@ -20,46 +20,71 @@ def edit(a, b):
     return row[-1]
 
 
+def free_edit(item, words):
+    """Least edit distance of the item to any span of the words, by the plain matrix."""
+    row = [0] * (len(words) + 1)
+    for i, x in enumerate(item, 1):
+        new = [i]
+        for j, y in enumerate(words, 1):
+            new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
+        row = new
+    return min(row)
+
+
 def brute(docs, items, percent=80):
-    """Every window of an item's length, every item; texts that lack more words than edits allow can't match."""
+    """Every span, every item; texts that lack more words than edits allow can't match."""
     out = set()
     for doc, text in docs:
         words = dc.words_of(text)
         for item, passage in items:
             want = dc.words_of(passage)
-            n, most = len(want), len(want) * (100 - percent) // 100
-            if sum((Counter(want) & Counter(words)).values()) < n - most or not want:
-                continue
-            if any(edit(want, words[s : s + n]) <= most for s in range(max(1, len(words) - n + 1))):
+            most = len(want) * (100 - percent) // 100
+            if want and sum((Counter(want) & Counter(words)).values()) >= len(want) - most and free_edit(want, words) <= most:
                 out.add((doc, item))
     return out
 
 
-def test_distance_is_exact_within_the_band():
+def test_nearest_span_is_exact():
     rng = np.random.default_rng(2)
-    for _ in range(200):
-        a, b = rng.integers(0, 4, rng.integers(0, 9)).tolist(), rng.integers(0, 4, rng.integers(0, 9)).tolist()
+    for _ in range(400):
+        item, words = rng.integers(0, 4, rng.integers(1, 9)).tolist(), rng.integers(0, 4, rng.integers(0, 14)).tolist()
+        d = free_edit(item, words)
         for most in (0, 1, 3, 9):
-            assert dc.distance(a, b, most) == min(edit(a, b), most + 1)
+            found = dc.nearest(item, words, most)
+            assert (found is None) == (d > most)
+            if found:
+                assert found[2] == d and edit(item, words[found[0] : found[0] + found[1]]) == d
+
+
+def edited(rng, words, times, kinds, word):
+    """So many edits of these kinds at different places: 0 substitutes, 1 deletes, 2 inserts."""
+    out = []
+    places = set(rng.sample(range(len(words)), times))
+    for i, w in enumerate(words):
+        out += [[word()], [], [w, word()]][rng.choice(kinds)] if i in places else [w]
+    return out
+
+
+@pytest.mark.parametrize("size", [15, 30, 59, 100, 250, 500])
+@pytest.mark.parametrize("kinds", [(0,), (1,), (2,), (0, 1, 2)])
+def test_recall_at_the_greatest_distance(size, kinds):
+    rng = random.Random(size)
+    word = lambda: "w" + str(rng.randrange(20000))
+    items = [(i, " ".join(word() for _ in range(size))) for i in range(60 if size <= 100 else 20)]
+    index = dc.Index(items)
+    texts = [[word() for _ in range(60)] + edited(rng, p.split(), size // 5, kinds, word) + [word() for _ in range(60)] for _, p in items]
+    distances = [free_edit(p.split(), t) for (_, p), t in zip(items, texts, strict=True)]
+    assert max(distances) == size // 5 and sum(distances) >= 0.85 * len(items) * (size // 5)
+    found = {(t, k) for t, k, *_ in index.find([index.encode(" ".join(t)) for t in texts])}
+    assert len(found & {(k, k) for k in range(len(items))}) >= dc.RECALL * len(items)
 
 
-def test_recall_on_edited_passages_and_silence_on_clean_text():
+def test_clean_text_and_foreign_alphabets_give_nothing():
     rng = random.Random(4)
-    word = lambda: "w" + str(rng.randrange(3000))
-    items = [(i, " ".join(word() for _ in range(rng.randrange(8, 90)))) for i in range(120)]
-    index, found, total = dc.Index(items), 0, 0
-    for k, (_, passage) in enumerate(items):
-        words = passage.split()
-        for _ in range(rng.randrange(0, len(words) // 6 + 1)):
-            at, kind = rng.randrange(len(words)), rng.randrange(3)
-            words[at : at + 1] = [[word()], [], [words[at], word()]][kind]
-        text = [word() for _ in range(60)] + words + [word() for _ in range(60)]
-        want = passage.split()
-        if any(edit(want, text[s : s + len(want)]) <= len(want) // 5 for s in range(len(text) - len(want) + 1)):
-            total += 1
-            found += k in {x[1] for x in index.find([text])}
-    assert total > 90 and found >= 0.97 * total
-    assert not index.find([[word() for _ in range(20000)]])
+    index = dc.Index([(1, "Größe über alles, Ωmega point here and there"), (2, " ".join(f"w{rng.randrange(3000)}" for _ in range(50)))])
+    assert not index.find([index.encode(" ".join(f"w{rng.randrange(3000)}" for _ in range(20000)))])
+    texts = ["x GRÖSSE größe ÜBER alles; ωmega point here and there", "größe über alles ωmega point here and there…", "Größe über alles"]
+    assert [(t, i, d) for t, i, _, _, d in index.find([index.encode(x) for x in texts])] == [(0, 0, 0), (1, 0, 0)]
 
 
 @pytest.mark.parametrize("awkward_docs", [False, True])
@@ -82,4 +107,4 @@ def test_tables_match_brute_force(spark, awkward_docs):
 def test_blocks_of_items_give_the_same(spark):
     docs, benchmark = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/benchmark.parquet")
     key = lambda df: sorted(map(tuple, df.collect()))
-    assert key(dc.matches(docs, benchmark, block_items=7)) == key(dc.matches(docs, benchmark))
+    assert key(dc.matches(docs, benchmark, block_chars=3000)) == key(dc.matches(docs, benchmark))
