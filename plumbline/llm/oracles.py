@@ -6,7 +6,7 @@ distance of all windows; tests hold those against brute-force versions.
 
 from __future__ import annotations
 
-from .license_scan import PERCENT, TEMPLATES, template_bigrams
+from .license_scan import PERCENT, TEMPLATES, template_bigrams, template_words
 
 _CONTROL = r"(<)(\||/?s>|</?SYS>>|</SYS>>)|(\[)(/?INST\])"
 
@@ -28,15 +28,23 @@ def _quoted(text: str) -> str:
 
 
 def license_sql() -> str:
-    rows = ",\n".join(f"({k}, {_quoted(name)}, [{', '.join(map(_quoted, template_bigrams(text)))}])" for k, (name, text) in enumerate(TEMPLATES))
-    return f"""WITH tp AS (SELECT * FROM (VALUES {rows}) v(k, license, pairs)),
+    rows = ",\n".join(f"({k}, {_quoted(name)}, {len(template_words(text))}, [{', '.join(map(_quoted, template_bigrams(text)))}])" for k, (name, text) in enumerate(TEMPLATES))
+    return f"""WITH tp AS (SELECT * FROM (VALUES {rows}) v(k, license, width, pairs)),
 d AS (SELECT doc_id, coalesce(text,'') AS text, string_split(coalesce(text,''), chr(10)) AS ls FROM documents),
 u AS (SELECT doc_id, 0 AS unit, text AS part FROM d UNION ALL SELECT doc_id, unnest(range(1, len(ls)+1)), unnest(ls) FROM d WHERE len(ls)>1),
 w AS (SELECT doc_id, unit, list_filter(string_split(regexp_replace(lower(part), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x<>'') AS ws FROM u),
 b AS (SELECT doc_id, unit, list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i]||' '||ws[i+1])) AS own FROM w WHERE len(ws)>1),
 s AS (SELECT doc_id, unit, license, k, len(own) AS n, 2.0*len(list_intersect(own, pairs))/(len(own)+len(pairs)) AS dice FROM b JOIN tp ON 200*least(len(own), len(pairs)) >= {PERCENT}*(len(own)+len(pairs))),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, unit ORDER BY dice DESC, k) AS rn FROM s WHERE dice*100 >= {PERCENT})
-SELECT doc_id, CAST(unit AS BIGINT) AS unit, license, CAST(k AS BIGINT) AS template, round(CAST(dice AS DOUBLE),9) AS dice, CAST(n AS BIGINT) AS n_bigrams FROM r WHERE rn=1"""
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, unit ORDER BY dice DESC, k) AS rn FROM s WHERE dice*100 >= {PERCENT}),
+dw AS (SELECT doc_id, ws, list_transform(range(1, len(ws)), lambda i: ws[i]||' '||ws[i+1]) AS ps FROM w WHERE unit=0 AND len(ws)>1),
+pp AS (SELECT doc_id, unnest(range(1, len(ps)+1)) AS spot, unnest(ps) AS pair FROM dw), tb AS (SELECT k, unnest(pairs) AS pair FROM tp),
+h AS (SELECT doc_id, k, spot, pair FROM pp JOIN tb USING (pair)),
+en AS (SELECT doc_id, k FROM h JOIN tp USING (k) GROUP BY doc_id, k HAVING count(DISTINCT pair)*{200 - PERCENT} >= {PERCENT}*any_value(len(pairs))),
+wi AS (SELECT h.doc_id, h.k, h.spot, tp.license, tp.pairs, list_distinct(dw.ps[h.spot : h.spot+tp.width-2]) AS own FROM h JOIN en USING (doc_id, k) JOIN tp USING (k) JOIN dw ON dw.doc_id=h.doc_id),
+wv AS (SELECT doc_id, k, spot, license, len(own) AS n, 2.0*len(list_intersect(own, pairs))/(len(own)+len(pairs)) AS dice FROM wi),
+wr AS (SELECT *, row_number() OVER (PARTITION BY doc_id, k ORDER BY dice DESC, spot) AS rn FROM wv WHERE dice*100 >= {PERCENT})
+SELECT doc_id, CASE WHEN unit=0 THEN 'text' ELSE 'line' END AS kind, CAST(unit AS BIGINT) AS unit, license, CAST(k AS BIGINT) AS template, round(CAST(dice AS DOUBLE),9) AS dice, CAST(n AS BIGINT) AS n_bigrams FROM r WHERE rn=1
+UNION ALL SELECT doc_id, 'window', CAST(spot-1 AS BIGINT), license, CAST(k AS BIGINT), round(CAST(dice AS DOUBLE),9), CAST(n AS BIGINT) FROM wr WHERE rn=1"""
 
 
 NEAR_DUPLICATES = r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'), '[ \x09-\x0D]+'), lambda x: x<>'') AS ws FROM documents),
