@@ -44,6 +44,8 @@ PER_KEY = 2
 MISSED = 1e-4
 BLOCK_DOCS, BLOCK_SHINGLES = 256, 1_000_000
 REMEMBERED = 500_000
+#: Classes of more copies than this, and than one row in HOT_CLASSES, meet their rows without a shuffle; there are fewer than HOT_CLASSES.
+HOT_COPIES, HOT_CLASSES = 1000, 500_000
 U = np.uint64
 
 
@@ -210,8 +212,8 @@ def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
         dense = np.zeros((n, min(8192, width - a)), np.float32)
         dense[row[lo:hi], col[lo:hi] - a] = 1
         common += dense @ dense.T
-    union = sizes[:, None] + sizes[None, :] - common
-    link = 100 * common >= percent * union
+    exact = common.astype(np.int64)  # counts are whole in float32; multiples of them might not be
+    link = 100 * exact >= percent * (sizes[:, None] + sizes[None, :] - exact)
     np.fill_diagonal(link, True)
     label = np.arange(n)
     while True:
@@ -300,15 +302,29 @@ def groups(docs: DataFrame, width: int = 3, percent: int = 85, missed: float = M
     m = subkeys(percent / 100, missed)
     rows = id_and_text(docs, id_col, text_col)
     table = materialise(rows.mapInArrow(_features(width, m), "doc_id long, n_shingles long, node binary, keys array<long>"), "minhash")
-    classes = materialise(table.where("node is not null").groupBy("node", "n_shingles", "keys").agg(F.min("doc_id").alias("rep")), "minhash-classes")
+    classes = materialise(table.where("node is not null").groupBy("node", "n_shingles", "keys").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "minhash-classes")
     clusters = materialise(_clusters(classes, m), "clusters")
     found = materialise(_confirmed(rows, classes, clusters, width, percent), "components")
     least = found.join(classes.select("node", "rep"), "node").groupBy("label").agg(F.min("rep").alias("component_id"))
     ids = found.join(least, "label").select("node", "component_id")
-    named = classes.select("node", "rep").join(ids, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
-    out = table.select("doc_id", "n_shingles", "node").join(named, "node", "left")
-    own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    named = materialise(classes.select("node", "rep", "copies").join(ids, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"), "copies"), "named-classes")
+    out = _of_rows(table.select("doc_id", "n_shingles", "node"), named)
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def _of_rows(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id): rows get their class's component, those without shingles their own id.
+
+    Rows of the largest classes find it in a broadcast table of fewer than HOT_CLASSES; the others by
+    a shuffle, in which no key has more rows than a class may have without being large.
+    """
+    total = named.agg(F.sum("copies")).first()[0] or 0
+    hot = F.broadcast(named.where(F.col("copies") > max(HOT_COPIES, total // HOT_CLASSES)).select("node", "component_id"))
+    blank, full = rows.where("node is null"), rows.where("node is not null")
+    often = full.join(hot, "node")
+    rest = full.join(hot.select("node"), "node", "left_anti").join(named.select("node", "component_id"), "node")
+    own = blank.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return own.unionByName(often.drop("node")).unionByName(rest.drop("node"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -68,6 +68,14 @@ def test_awkward_and_empty(spark):
     assert kept.columns == df.columns and kept.count() == df.count()
 
 
+def test_large_classes_and_blank_rows_match_brute_force(spark, monkeypatch):
+    """Classes of three copies and more go by the broadcast table, the others by the shuffle."""
+    monkeypatch.setattr(minhash_dedup, "HOT_COPIES", 2)
+    docs = [(i, f"copy of text number {i % 4} and so on for a while") for i in range(40)] + [(100, "alone here"), (101, ""), (102, None), (103, "Alone  here"), (None, "alone here")]
+    got = [tuple(r) for r in minhash_dedup.groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()]
+    same_rows(got, brute([(i, t or "") for i, t in docs]))
+
+
 def test_one_id_with_two_texts(spark):
     a, b = " ".join(map(str, range(50))), " ".join(map(str, range(100, 150)))
     docs = [(1, a), (1, b), (2, a), (3, b)]
