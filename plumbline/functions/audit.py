@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from math import comb
 
 import pandas as pd
@@ -13,22 +14,22 @@ ALPHA = (1, 40)
 
 
 def hypergeom_upper(population: int, sample: int, found: int) -> int:
-    """Largest number of defects K with P(at most ``found`` in the sample) > alpha."""
+    """Largest number of defects K for which at most ``found`` in the sample are not less likely than alpha; the level itself counts as likely enough.
+
+    Without a sample nothing is known, so K is the population. The chance falls as K grows, so the
+    bound is bisected; every comparison is one of whole numbers.
+    """
     if not 0 <= found <= sample <= population:
         raise ValueError("0 <= found <= sample <= population")
-    if sample == population:
-        return found
-    total = comb(population, sample)
-
-    def plausible(k: int) -> bool:
-        tail = sum(comb(k, i) * comb(population - k, sample - i) for i in range(found + 1) if i <= k and sample - i <= population - k)
-        return tail * ALPHA[1] > ALPHA[0] * total
-
-    low, high = found, population - (sample - found)
-    while low < high:
-        mid = (low + high + 1) // 2
-        low, high = (mid, high) if plausible(mid) else (low, mid - 1)
-    return low
+    if sample == 0:
+        return population
+    whole = comb(population, sample) * ALPHA[0]
+
+    def too_unlikely(defects: int) -> bool:
+        few = sum(comb(defects, i) * comb(population - defects, sample - i) for i in range(found + 1))
+        return few * ALPHA[1] < whole
+
+    return found + bisect_left(range(found + 1, population + 1), True, key=too_unlikely)
 
 
 @pandas_udf(T.LongType())

@@ -65,7 +65,7 @@ def cluster_bootstrap(probes: DataFrame, scores: dict[str, str], weights: dict[s
     if draws is None:
         clusters = numbered(moments)
         drawn = hash_draws(clusters.count(), moments, replicates, seed)
-        draws = drawn.join(clusters, "ix").groupBy("r", "cluster_id").agg(F.count(F.lit(1)).alias("c"))
+        draws = drawn.groupBy("r", "ix").agg(F.count(F.lit(1)).alias("c")).join(clusters, "ix").select("r", "cluster_id", "c")
     values = replicate_values(moments, draws, names, weights)
     whole = replicate_values(moments, moments.select(F.lit(0).alias("r"), "cluster_id", F.lit(1).alias("c")).distinct(), names, weights)
 

@@ -5,21 +5,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder that the cluster shares, and read again; this survives lost executors."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; only a local session without that setting gets one of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="plumbline-")
         spark.sparkContext.setCheckpointDir(folder)
-    df.write.parquet(path := f"{folder}/plumbline/components-{uuid.uuid4().hex}")
-    return spark.read.schema(df.schema).parquet(path)
+    return folder
+
+
+def _written(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again; this survives lost executors."""
+    df.write.parquet(path := f"{shared_folder(df.sparkSession)}/plumbline/components-{uuid.uuid4().hex}")
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

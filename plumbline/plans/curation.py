@@ -46,7 +46,6 @@ plan.sql("p22_overlay", "documents labels", """SELECT d.doc_id, coalesce(CASE WH
 plan.sql("p24_risk_tags", "part", """SELECT p_partkey, tag FROM {part} LATERAL VIEW explode(array(sha2(p_brand,256), sha2(p_type,256))) t AS tag""", """SELECT p_partkey, unnest([sha256(p_brand), sha256(p_type)]) AS tag FROM part""")
 plan.sql("p26_protocol_coalesce", "nation customer", """SELECT n_name, coalesce(max(c_mktsegment), 'none') AS protocol, count(c_custkey) AS runs FROM {nation} LEFT JOIN {customer} ON n_nationkey=c_nationkey AND c_acctbal>5000 GROUP BY 1""")
 plan.sql("f05_lenient_object", "responses", """SELECT probe_id, CASE WHEN instr(response,chr(123))>0 AND instr(response,chr(125))>0 THEN substr(response, instr(response,chr(123)), length(response)-instr(reverse(response),chr(125))+2-instr(response,chr(123))) END AS object FROM {responses}""")
-plan.sql("f08_statement_match", "conversations", """SELECT conv_id, turn, CASE WHEN text=trim(text) THEN 'exact' WHEN lower(text)=lower(trim(text)) THEN 'normalised' ELSE 'different' END AS match FROM {conversations}""")
 plan.sql("f12_context_view", "documents", """SELECT doc_id, substr(text, greatest(p-50,1), p-greatest(p-50,1)) AS prefix, substr(text, p, 5) AS selected, substr(text, p+5, 50) AS suffix FROM (SELECT doc_id, text, instr(text, ' the ') AS p FROM {documents}) x WHERE p>0""")
 plan.sql("f14_singleton_basis", "documents", """SELECT doc_id, CASE WHEN regexp_like(lower(text), '^(a|the|le|la|der|die|el) ') THEN 'article' WHEN regexp_like(lower(substr(text,1,20)), '(all|both|each) ') THEN 'plural' ELSE 'none' END AS basis FROM {documents}""",
          """SELECT doc_id, CASE WHEN regexp_matches(lower(text), '^(a|the|le|la|der|die|el) ') THEN 'article' WHEN regexp_matches(lower(substr(text,1,20)), '(all|both|each) ') THEN 'plural' ELSE 'none' END AS basis FROM documents""")
@@ -64,19 +63,17 @@ plan.sql("j16_stale_ledger", "documents labels", """SELECT l.doc_id FROM {labels
 plan.sql("j17_registry_swap", "lineitem", """SELECT l_orderkey, CASE WHEN swap THEN l_suppkey ELSE l_partkey END AS subject, CASE WHEN swap THEN l_partkey ELSE l_suppkey END AS object FROM {lineitem} JOIN (VALUES ('A', true), ('R', false)) AS r(flag, swap) ON l_returnflag=flag""")
 plan.sql("j18_all_or_nothing", "lineitem", """SELECT l_orderkey, count(*) AS anchors, count(CASE WHEN l_suppkey%17<>0 THEN 1 END)=count(*) AS resolved FROM {lineitem} GROUP BY 1""")
 plan.sql("j20_restore_unique", "lineitem", """SELECT l_orderkey, l_linenumber, CASE WHEN count(*)=1 THEN min(l_partkey) END AS restored, count(*) AS candidates FROM {lineitem} GROUP BY 1,2""")
-plan.sql("j21_grade_by_hash", "orders", """SELECT count(*) AS graded FROM (SELECT o_orderkey, sha2(o_orderpriority,256) AS h FROM {orders}) a JOIN (SELECT o_orderkey AS k, sha2(CASE WHEN o_custkey%3=0 THEN 'changed' ELSE o_orderpriority END,256) AS h FROM {orders}) g ON a.o_orderkey=g.k AND a.h=g.h""",
-         """SELECT count(*) AS graded FROM (SELECT o_orderkey, sha256(o_orderpriority) AS h FROM orders) a JOIN (SELECT o_orderkey AS k, sha256(CASE WHEN o_custkey%3=0 THEN 'changed' ELSE o_orderpriority END) AS h FROM orders) g ON a.o_orderkey=g.k AND a.h=g.h""")
 plan.sql("j24_ordered_tuples", "lineitem", """SELECT l_orderkey, array_join(transform(array_sort(collect_list(struct(l_linenumber, l_partkey, l_suppkey))), x -> cast(x.l_partkey as string)), ',') AS parts FROM {lineitem} GROUP BY 1""",
          """SELECT l_orderkey, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey, l_suppkey) AS parts FROM lineitem GROUP BY 1""")
 
 # Windows, repair and selection
 plan.sql("w06_neighbour_brackets", "attempts", """SELECT request_id, attempt, max(CASE WHEN kind='completed' THEN attempt END) OVER (PARTITION BY request_id ORDER BY attempt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before_at, min(CASE WHEN kind='completed' THEN attempt END) OVER (PARTITION BY request_id ORDER BY attempt ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after_at FROM {attempts}""")
-plan.sql("w11_panel_bounds", "boxes", """SELECT image, y0 AS top, lead(y0) OVER (PARTITION BY image ORDER BY y0) AS bottom FROM (SELECT DISTINCT image, y0 FROM {boxes} WHERE idx%10=0) x""")
+plan.sql("w11_panel_bounds", "boxes", """SELECT image, y0 AS top, lead(y0) OVER (PARTITION BY image ORDER BY y0) AS bottom FROM (SELECT DISTINCT image, y0 FROM {boxes}) x""")
 plan.sql("w14_first_response", "attempts", """SELECT request_id, min(attempt) AS attempt FROM {attempts} WHERE kind='completed' GROUP BY request_id""")
 
 
 def w13_greedy_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tags = tables.load(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 400).alias("item"), (F.col("l_partkey") % 997).alias("tag"))
+    tags = tables.load(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("item"), F.col("l_partkey").alias("tag"))
     return cover.greedy_cover(tags, budget=5)
 
 
@@ -104,15 +101,9 @@ SELECT value, id AS old_id, value||'-'||printf('%03d', row_number() OVER (PARTIT
 )
 plan.sql("v02_node_issues", "boxes", """SELECT image, code, count(*) AS n FROM (SELECT image, CASE WHEN x1>=940 THEN 'out_of_range' WHEN y1=y0 THEN 'degenerate' END AS code FROM {boxes}) x WHERE code IS NOT NULL GROUP BY 1,2""")
 plan.sql("v04_mention_order", "conversations", """SELECT conv_id, count(*) AS issues FROM (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM {conversations}) x WHERE prev IS NOT NULL AND turn<>prev+1 GROUP BY 1 UNION ALL SELECT -1, count(*) FROM {conversations} WHERE text IS NULL""")
-plan.sql("v05_binding_types", "lineitem", """SELECT l_returnflag AS type, count(*) AS bindings, count(CASE WHEN l_partkey<l_suppkey THEN 1 END) AS reversed FROM {lineitem} GROUP BY 1""")
 plan.sql("v06_duplicate_signatures", "lineitem", """SELECT l_partkey, l_suppkey, count(*) AS n FROM {lineitem} GROUP BY 1,2 HAVING count(*)>1""")
 plan.sql("v09_no_empty_regression", "orders lineitem", """SELECT o_orderkey, coalesce(n,0) AS before_n, coalesce(m,0) AS after_n FROM {orders} LEFT JOIN (SELECT l_orderkey, count(*) AS n, count(CASE WHEN l_returnflag='R' THEN 1 END) AS m FROM {lineitem} GROUP BY 1) x ON o_orderkey=l_orderkey WHERE coalesce(n,0)>0 AND coalesce(m,0)=0""")
-plan.sql("v11_mention_dedup", "documents", """SELECT source, lang, count(*) AS mentions, count(CASE WHEN n_chars>100 THEN 1 END) AS valid, CASE WHEN count(CASE WHEN n_chars>100 THEN 1 END)=1 THEN min(CASE WHEN n_chars>100 THEN doc_id END) END AS kept FROM {documents} GROUP BY 1,2""")
-plan.sql("v18_reaudit", "runs", """SELECT count(*) AS differing FROM ((SELECT model, sum(b) AS s FROM {runs} GROUP BY 1 EXCEPT SELECT model, count(CASE WHEN b=1 THEN 1 END) FROM {runs} GROUP BY 1)) x""")
 plan.sql("v19_board_issues", "runs", """SELECT model, CASE WHEN min(v)<0 OR max(v)>1 THEN 'domain' WHEN max(v)-min(v)>0.011 THEN 'uneven_types' ELSE 'ok' END AS code FROM (SELECT model, probe_type, avg(b) AS v FROM {runs} GROUP BY 1,2) x GROUP BY 1""")
-plan.sql("v20_retry_rule", "reviews", """SELECT mother, count(CASE WHEN severity='serious' THEN 1 END) AS known_bad, count(CASE WHEN severity='serious' THEN 1 END)>0 AS must_change FROM {reviews} GROUP BY 1""")
-plan.sql("h44_hash_chain", "attempts", """SELECT count(*) AS links, count(CASE WHEN prev IS NULL OR prev<=ts THEN 1 END) AS intact FROM (SELECT ts, lag(ts) OVER (PARTITION BY request_id ORDER BY attempt) AS prev FROM {attempts}) x""")
-plan.sql("h45_authorisation", "reviews", """SELECT status, CASE WHEN probe%2=0 AND status='approved' THEN 'individual' WHEN probe%3=0 THEN 'sampled' ELSE 'not_sampled' END AS evidence, count(*) AS n FROM {reviews} GROUP BY 1,2""")
 plan.sql("h55_latest_state", "events", """SELECT user_id, max_by(event_type, ts) AS state, count(*) AS changes FROM {events} GROUP BY 1""")
 plan.sql("h57_last_assistant", "conversations", """SELECT conv_id, max_by(text, turn) AS answer FROM {conversations} WHERE role='assistant' GROUP BY 1""")
 plan.sql("h38_batch_identity", "documents", """SELECT source, lang, count(*) AS n, count(DISTINCT doc_id)=count(*) AS is_unique FROM {documents} GROUP BY 1,2""")

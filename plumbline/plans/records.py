@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import audit, spans, strict_json
+from plumbline.operators import nearest
 from plumbline.operators.components import connected_components
 from plumbline.sources import tables
 
@@ -178,21 +179,36 @@ plan.sql("o04_hash_sample", "orders", """SELECT o_orderkey FROM {orders} ORDER B
 plan.sql("h21_token_budget", "documents", """SELECT lang, max(n_chars) AS worst, count(CASE WHEN n_chars<=8000 AND n_chars+2000<=12000 THEN 1 END) AS within, min(CASE WHEN n_chars<=8000 AND n_chars+2000<=12000 THEN 1 ELSE 0 END)=1 AS ok FROM {documents} GROUP BY lang""")
 
 # Geometry
-plan.sql(
-    "f30_bbox_distance", "boxes",
-    """SELECT a.image, a.idx AS a, b.idx AS b, CAST(power(greatest(b.x0-a.x1, a.x0-b.x1, 0),2)+power(greatest(b.y0-a.y1, a.y0-b.y1, 0),2) AS BIGINT) AS d2 FROM {boxes} a JOIN {boxes} b ON a.image=b.image AND b.idx%50=7 AND a.idx<>b.idx""",
-)
-_near = """FROM (SELECT a.image, a.idx AS anchor, b.idx AS idx, b.alias AS alias, {d} AS d FROM {{boxes}} a JOIN {{boxes}} b ON a.image=b.image AND a.idx<>b.idx WHERE a.idx%100=3) x"""
+#: Pairs of boxes up to this far apart are reported.
+BAND = 50
+#: Searches: every box whose number is divisible by 20 asks all boxes.
+ASKING = "idx % 20 = 0"
 _edge = "CAST(power(greatest(b.x0-a.x1, a.x0-b.x1, 0),2)+power(greatest(b.y0-a.y1, a.y0-b.y1, 0),2) AS BIGINT)"
-plan.sql(
-    "j09_nearest", "boxes",
-    "SELECT image, anchor, d AS d2, alias FROM (SELECT *, row_number() OVER (PARTITION BY image, anchor ORDER BY d, idx) AS rn " + _near.format(d=_edge).replace("x", "x", 1) + ") y WHERE rn=1",
-)
 _centre = "CAST(power(greatest(2*b.x0-a.x0-a.x1, a.x0+a.x1-2*b.x1, 0),2)+power(greatest(2*b.y0-a.y0-a.y1, a.y0+a.y1-2*b.y1, 0),2) AS BIGINT)"
-plan.sql(
-    "j10_nearest_ties", "boxes",
-    "SELECT image, anchor, d AS d4, count(*) AS ties, min(idx) AS first_idx FROM (SELECT *, min(d) OVER (PARTITION BY image, anchor) AS best " + _near.format(d=_centre) + ") y WHERE d=best GROUP BY 1,2,3",
-)
+_near = f"(SELECT a.image, a.idx AS anchor, b.idx AS idx, b.alias AS alias, {{}} AS d FROM {{{{boxes}}}} a JOIN {{{{boxes}}}} b ON a.image=b.image AND a.idx<>b.idx WHERE a.{ASKING}) x"
+
+
+def f30_bbox_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = tables.boxes(spark, sf_dir)
+    pairs = nearest.near_pairs(b, b, BAND).select("image", F.col("a.idx").alias("a"), F.col("b.idx").alias("b"), nearest.squared("a", "b").alias("d2"))
+    return pairs.where(F.col("d2") <= BAND * BAND)
+
+
+plan.add("f30_bbox_distance", f30_bbox_distance, "boxes", f"SELECT a.image, a.idx AS a, b.idx AS b, {_edge} AS d2 FROM {{boxes}} a JOIN {{boxes}} b ON a.image=b.image AND a.idx<>b.idx WHERE {_edge}<={BAND * BAND}")
+
+
+def j09_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = tables.boxes(spark, sf_dir)
+    return nearest.nearest(b.where(ASKING), b, nearest.squared).select("image", "anchor", F.col("d").alias("d2"), "alias")
+
+
+def j10_nearest_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = tables.boxes(spark, sf_dir)
+    return nearest.nearest(b.where(ASKING), b, nearest.squared_from_centre, 4).select("image", "anchor", F.col("d").alias("d4"), "ties", F.col("idx").alias("first_idx"))
+
+
+plan.add("j09_nearest", j09_nearest, "boxes", f"SELECT image, anchor, d AS d2, alias FROM (SELECT *, row_number() OVER (PARTITION BY image, anchor ORDER BY d, idx) AS rn FROM {_near.format(_edge).replace('{{', '{').replace('}}', '}')}) y WHERE rn=1")
+plan.add("j10_nearest_ties", j10_nearest_ties, "boxes", f"SELECT image, anchor, d AS d4, count(*) AS ties, min(idx) AS first_idx FROM (SELECT *, min(d) OVER (PARTITION BY image, anchor) AS best FROM {_near.format(_centre).replace('{{', '{').replace('}}', '}')}) y WHERE d=best GROUP BY 1,2,3")
 plan.sql("f32_geometry", "boxes", """SELECT idx, x0>=0 AND y0>=0 AND x1<=1000 AND y1<=1000 AND x0<x1 AND y0<y1 AS valid FROM {boxes}""")
 plan.sql(
     "f36_roundtrip", "boxes",
@@ -231,14 +247,24 @@ plan.sql(
 
 
 def a23_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Content groups and their least ids; ids that come with several contents block their group."""
-    docs = tables.load(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
-    rep = docs.groupBy("h").agg(F.min("doc_id").alias("representative_id"), F.count(F.lit(1)).alias("n"))
-    return docs.join(rep, "h").select("doc_id", F.concat(F.lit("DG-"), "h").alias("dedup_group"), "representative_id", F.when(F.col("doc_id") == F.col("representative_id"), "representative").otherwise("duplicate").alias("state"))
+    """Content groups and their least ids; an id that comes with several contents blocks every group it is in.
+
+    Each document is a record, and every tenth comes a second time with another text.
+    """
+    docs = tables.load(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    records = docs.unionByName(docs.where("doc_id % 10 = 3").select("doc_id", F.concat("text", F.lit("!")).alias("text"))).select("doc_id", F.sha2("text", 256).alias("h"))
+    conflicts = records.groupBy("doc_id").agg((F.countDistinct("h") > 1).alias("conflict"))
+    met = records.join(conflicts, "doc_id")
+    groups = met.groupBy("h").agg(F.min("doc_id").alias("representative_id"), F.bool_or("conflict").alias("blocked"))
+    state = F.when(F.col("blocked"), "blocked").when(F.col("doc_id") == F.col("representative_id"), "representative").otherwise("duplicate")
+    return records.join(groups, "h").select("doc_id", F.concat(F.lit("DG-"), "h").alias("dedup_group"), "representative_id", state.alias("state"))
 
 
-plan.add("a23_dedup", a23_dedup, "", """WITH h AS (SELECT doc_id, sha256(text) AS h FROM documents), r AS (SELECT h, min(doc_id) AS r FROM h GROUP BY h) SELECT doc_id, 'DG-'||h AS dedup_group, r AS representative_id, CASE WHEN doc_id=r THEN 'representative' ELSE 'duplicate' END AS state FROM h JOIN r USING (h)""")
-_reach = """WITH RECURSIVE {{edges}}_b AS (SELECT a, b FROM {{edges}} UNION SELECT b, a FROM {{edges}}), rc AS (SELECT a AS node, a AS other FROM {{edges}}_b UNION SELECT rc.node, e.b FROM rc JOIN {{edges}}_b e ON rc.other=e.a)"""
+plan.add(
+    "a23_dedup", a23_dedup, "",
+    """WITH x AS (SELECT doc_id, sha256(coalesce(text,'')) AS h FROM documents UNION ALL SELECT doc_id, sha256(coalesce(text,'')||'!') FROM documents WHERE doc_id%10=3)
+SELECT doc_id, 'DG-'||h AS dedup_group, min(doc_id) OVER (PARTITION BY h) AS representative_id, CASE WHEN max(CAST(doc_id%10=3 AS INT)) OVER (PARTITION BY h)=1 THEN 'blocked' WHEN doc_id=min(doc_id) OVER (PARTITION BY h) THEN 'representative' ELSE 'duplicate' END AS state FROM x""",
+)
 _duck_edges = tables.SQL["edges"]
 _reach = f"WITH RECURSIVE {_duck_edges}, eb AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges), rc AS (SELECT a AS node, a AS other FROM eb UNION SELECT rc.node, e.b FROM rc JOIN eb e ON rc.other=e.a), cc AS (SELECT node, min(other) AS component FROM rc GROUP BY node)"
 plan.add("a24_components", lambda s, d: connected_components(tables.edges(s, d)), "", _reach + " SELECT node, component FROM cc")

@@ -55,14 +55,22 @@ def test_quantities_are_exact():
 
 
 def test_labels():
-    same = lambda a: strict_json.ocr_literal(a) == "2 kg"
-    assert same("$2\\,\\mathrm{kg}$") and same("2kg") and same(" 2  kg ")
-    assert not any(map(same, ("-2 kg", "2 Kg", "2.0 kg", "2kg extra"))) and strict_json.ocr_literal("\\frac12") is None and strict_json.ocr_literal(" ") is None
+    same = lambda a: strict_json.ocr_label(a) == "2 kg"
+    assert same("$2\\,\\mathrm{kg}$") and same("2kg") and same(" 2  kg ") and same("\\(2\\;\\text{kg}\\)")
+    assert not any(map(same, ("-2 kg", "2 Kg", "2.0 kg", "2kg extra"))) and strict_json.ocr_label("\\frac12") is None and strict_json.ocr_label(" ") is None
+    got = ["5mA", "3Ω", ".5kg", "\u22123 N", "\u200b", "\\mathrm{k g}", "$a", "$$", "a$b", "m_{1}", "$$7\\!s$$"]
+    assert [strict_json.ocr_label(x) for x in got] == ["5 mA", "3 Ω", ".5 kg", "-3 N", None, None, None, None, None, "m_{1}", "7 s"]
+    assert [strict_json.ocr_literal(x) for x in (" $2\\,kg$ ", "\u200b\ufeff", "e\u0301", None)] == ["$2\\,kg$", None, "\u00e9", None]
 
 
 def test_hypergeometric_bound():
-    assert [audit.hypergeom_upper(*x) for x in ((521, 0, 0), (521, 521, 9), (0, 0, 0))] == [521, 9, 0]
+    assert [audit.hypergeom_upper(*x) for x in ((521, 0, 0), (521, 521, 9), (0, 0, 0), (40, 1, 0))] == [521, 9, 0, 39]
     assert audit.hypergeom_upper(1000, 100, 0) < audit.hypergeom_upper(1000, 100, 2) < 1000
+    from math import comb
+
+    for n, s, k in ((12, 5, 1), (30, 10, 3), (41, 40, 0), (25, 3, 3)):
+        plain = [d for d in range(k, n + 1) if 40 * sum(comb(d, i) * comb(n - d, s - i) for i in range(k + 1)) >= comb(n, s)]
+        assert audit.hypergeom_upper(n, s, k) == max(plain)
 
 
 def test_spans(spark):

@@ -21,9 +21,10 @@ def test_stream_fold_equals_batch_fold(spark, tmp_path):
 
 
 def test_first_submission_wins(spark, tmp_path):
-    batch = tables.attempts(spark, SF).withColumn("ts", tables.F.col("ts").cast("timestamp"))
-    batch.write.parquet(str(tmp_path / "in"))
-    stream = journal.first_submissions(journal.events_stream(spark, str(tmp_path / "in"), batch.schema), "request_id", "ts", "1000 days")
+    """Attempts go in by age over many triggers; later ones of a request are up to months apart from the first."""
+    batch = tables.attempts(spark, SF).withColumn("ts", tables.F.expr("timestampadd(DAY, attempt * 40, ts)"))
+    batch.repartition(5, "attempt").write.parquet(str(tmp_path / "in"))
+    stream = journal.first_submissions(journal.events_stream(spark, str(tmp_path / "in"), batch.schema), "request_id")
     seen = []
     journal.run_to_end(stream, lambda df, _: seen.extend(r.request_id for r in df.collect()), "append", str(tmp_path / "ckpt"))
     assert len(seen) == len(set(seen)) == batch.select("request_id").distinct().count()
