@@ -1,10 +1,13 @@
 """Quality rules as weak supervision (native).
 
-Each rule looks at one statistic of a document and votes good (1), bad (-1) or abstains (0).
-Expectation-maximisation over the counts of vote patterns estimates every rule's accuracy and the
-share of good documents; a document's posterior probability of being good then replaces the usual
-"must pass every rule". There are at most ``3 ** len(RULES)`` patterns at any corpus size, and the
-driver sees only one row of sums per iteration.
+Each rule looks at one statistic of a document and votes good (1), bad (-1) or abstains (0). Most
+statistics have a strict rule and a slight one, whose bad votes many good documents get.
+Expectation-maximisation over the counts of vote patterns estimates how often every rule, where it
+votes, votes bad on good and on bad documents, and the share of good ones; a document's posterior
+probability of being good then replaces the usual "must pass every rule". It starts from each
+document's own share of good votes, with one pseudo-count on either side and no other assumption.
+The model is fitted to the documents that pass the base filter, as only they get its verdict. There are at
+most ``3 ** len(RULES)`` patterns at any corpus size, and the driver sees only one row of sums per iteration.
 
 Defined results: a null or empty text has zero statistics, fails the base filter and is not kept;
 repeated rows are judged row by row; an empty table gives an empty result; other columns are
@@ -92,27 +95,24 @@ class Rule:
     good: str
 
 
-#: SQL conditions over the statistics; x / greatest(y, 1) never divides by zero.
+#: SQL conditions over the statistics; products never divide by zero.
 RULES = (
     Rule("symbols", "n_symbols * 20 > word_chars", "n_symbols * 200 <= word_chars and n_words >= 50"),
     Rule("symbols_per_word", "n_symbols * 4 > n_words", "n_symbols * 50 <= n_words and n_words >= 50"),
+    Rule("slight_symbols", "n_symbols * 50 > n_words", "n_symbols = 0 and n_words >= 50"),
     Rule("repeated_lines", "n_dup_lines * 10 > n_lines * 4", "n_dup_lines * 10 <= n_lines and n_lines >= 3"),
+    Rule("slight_repeated_lines", "n_dup_lines * 10 > n_lines", "n_dup_lines = 0 and n_lines >= 3"),
     Rule("repeated_windows", "n_repeat_words * 10 > n_words * 3", "n_repeat_words * 10 <= n_words and n_words >= 50"),
+    Rule("slight_repeated_windows", "n_repeat_words * 20 > n_words * 3", "n_repeat_words * 20 <= n_words and n_words >= 50"),
     Rule("capitals", "n_capitals * 10 > word_chars * 3", "n_capitals * 10 <= word_chars"),
     Rule("shouting", "n_shouts * 10 > n_words", "n_shouts = 0 and n_words >= 50"),
     Rule("digits", "n_digits * 5 > word_chars", "n_digits * 50 <= word_chars and n_words >= 50"),
+    Rule("slight_digits", "n_digits * 20 > word_chars", "n_digits * 100 <= word_chars and n_words >= 50"),
     Rule("word_length", "n_words > 0 and (word_chars > n_words * 13 or word_chars * 2 < n_words * 5)", "word_chars >= n_words * 3 and word_chars <= n_words * 10"),
     Rule("stops", "n_words >= 50 and n_stops * 200 < n_words", "n_stops * 100 >= n_words * 2 and n_stops <= n_words"),
 )
 
-#: Pseudo-counts (votes, of documents) of bad votes in each class: a rule's bad vote is rare on good documents.
-BAD_ON_GOOD, BAD_ON_BAD = (1.0, 200.0), (20.0, 80.0)
-#: Pseudo-counts of good votes, the same in both classes, so that without data they say nothing.
-GOOD_ON_EITHER = (20.0, 40.0)
-#: A bad vote lowers the log-odds by LEAST_BAD to MOST_BAD; a good vote raises them by MOST_GOOD at most, since the
-#: absence of one defect says little about the others. Class shares stay within SHARES.
-LEAST_BAD, MOST_BAD, MOST_GOOD, SHARES = 1.5, 6.0, 0.5, (0.1, 0.9)
-MAX_ROUNDS, SETTLED = 15, 1e-3
+MAX_ROUNDS, SETTLED = 40, 1e-4
 
 FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_digits", "n_capitals", "n_shouts", "n_stops")
 
@@ -141,44 +141,42 @@ class LabelModel:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
 
 
-def start() -> LabelModel:
-    """Before any data: one bad vote makes a document more likely bad than good."""
-    return LabelModel(0.8, (-3.0,) * len(RULES), (0.0,) * len(RULES))
+def share_of_good(vote: Column) -> Column:
+    """Where the estimation starts: good votes among all, with one more of either kind."""
+    n = lambda value: F.size(F.filter(vote, lambda v: v == value))
+    return (n(1) + 1) / (n(1) + n(-1) + 2)
 
 
 def fit(patterns: DataFrame) -> LabelModel:
     """EM on a table (votes array<int>, n long) of vote patterns and their counts.
 
-    The hidden class is good or bad; each rule votes bad, good or not at all with a probability
-    that depends on the class, so how accurate its bad votes are and how accurate its good votes
-    are come out apart. E-step and M-step are one aggregation per round, and the driver holds
-    one row of sums.
+    The hidden class is good or bad; where a rule votes, it votes bad with a probability that depends
+    on the class. E-step and M-step are one aggregation per round, and the driver holds one row of
+    sums. Without any document all votes say nothing.
     """
-    model, ks = start(), range(len(RULES))
+    ks = range(len(RULES))
     p, n, v = F.col("p"), F.col("n"), F.col("votes")
     sums = [F.sum(n).alias("n"), F.sum(n * p).alias("g")]
     for k in ks:
         for name, value in (("bad", -1), ("good", 1)):
             there = F.get(v, F.lit(k)) == value
             sums += [F.sum(F.when(there, n * p).otherwise(0.0)).alias(f"{name}_g{k}"), F.sum(F.when(there, n * (1 - p)).otherwise(0.0)).alias(f"{name}_b{k}")]
+    model, chance = LabelModel(0.5, (0.0,) * len(RULES), (0.0,) * len(RULES)), share_of_good(v)
     for _ in range(MAX_ROUNDS):
-        row = patterns.withColumn("p", model.posterior(v)).agg(*sums).first()
+        row = patterns.withColumn("p", chance).agg(*sums).first()
         if not row["n"]:
             return model
-        good, bad = row["g"], row["n"] - row["g"]
-
-        def ratio(k: int, name: str, on_good: tuple[float, float], on_bad: tuple[float, float]) -> float:
-            return math.log((row[f"{name}_g{k}"] + on_good[0]) / (good + on_good[1])) - math.log((row[f"{name}_b{k}"] + on_bad[0]) / (bad + on_bad[1]))  # noqa: B023
-
+        bad_on = {c: [(row[f"bad_{c}{k}"] + 1) / (row[f"bad_{c}{k}"] + row[f"good_{c}{k}"] + 2) for k in ks] for c in "gb"}
         new = LabelModel(
-            round(min(SHARES[1], max(SHARES[0], (good + 8) / (row["n"] + 10))), 6),
-            tuple(round(min(-LEAST_BAD, max(-MOST_BAD, ratio(k, "bad", BAD_ON_GOOD, BAD_ON_BAD))), 6) for k in ks),
-            tuple(round(min(MOST_GOOD, max(0.0, ratio(k, "good", GOOD_ON_EITHER, GOOD_ON_EITHER))), 6) for k in ks),
+            round((row["g"] + 1) / (row["n"] + 2), 9),
+            tuple(round(math.log(bad_on["g"][k] / bad_on["b"][k]), 6) for k in ks),
+            tuple(round(math.log((1 - bad_on["g"][k]) / (1 - bad_on["b"][k])), 6) for k in ks),
         )
         moved = max(abs(a - b) for a, b in zip((new.share_good, *new.bad, *new.good), (model.share_good, *model.bad, *model.good), strict=True))
         model = new
         if moved < SETTLED:
             break
+        chance = model.posterior(v)
     return model
 
 
@@ -190,7 +188,7 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """Statistics, votes, posterior and verdict of every row of ``docs``."""
     judged = with_stats(id_and_text(docs, id_col, text_col), "text", "s").select("doc_id", "s", votes("s").alias("votes"))
     table = materialise(judged, "quality-stats")
-    model = fit(materialise(table.groupBy("votes").agg(F.count(F.lit(1)).alias("n")), "quality-votes"))
+    model = fit(materialise(table.where(~_base_failed("s")).groupBy("votes").agg(F.count(F.lit(1)).alias("n")), "quality-votes"))
     return table.select("doc_id", "s.*", "votes", model.posterior(F.col("votes")).alias("posterior"), _base_failed("s").alias("base_failed")).withColumn(
         "kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5)
     )
@@ -199,9 +197,10 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that pass, with the columns they came with.
 
-    Texts are read twice rather than shuffled to meet their verdicts.
+    What passes the base filter is written with its votes once, so statistics are computed once.
     """
     s, v = fresh(docs, "stats"), fresh(docs, "votes")
-    judged = with_stats(docs, text_col, s).withColumn(v, votes(s))
-    model = fit(materialise(judged.groupBy(F.col(v).alias("votes")).agg(F.count(F.lit(1)).alias("n")), "quality-votes"))
-    return judged.where(~_base_failed(s) & (model.posterior(F.col(v)) >= 0.5)).drop(s, v)
+    judged = with_stats(docs, text_col, s).where(~_base_failed(s)).withColumn(v, votes(s)).drop(s)
+    table = materialise(judged, "quality-votes-of-rows")
+    model = fit(materialise(table.groupBy(F.col(v).alias("votes")).agg(F.count(F.lit(1)).alias("n")), "quality-votes"))
+    return table.where(model.posterior(F.col(v)) >= 0.5).drop(v)
