@@ -10,7 +10,7 @@ compare documents of different lengths.
 
 Words are counted over all documents by Spark; ``side`` is the cube root of the vocabulary, ``SIDE``
 at least, so classes grow with its power 2/3. The counts stay a table: the few words that make up
-most tokens are broadcast, the others are joined by shuffle.
+most tokens are broadcast, the others of each row are joined by shuffle.
 
 Training is data-parallel: each task starts from the same weights, runs stochastic
 gradient descent over all its documents, every position being a target, and returns its weights,
@@ -38,7 +38,7 @@ EDGE = SIDE * SIDE  # stands before the first and after the last token; side * s
 #: Words with at least this fraction of all tokens are broadcast: 20,000 at most.
 FREQUENT = 1 / 20_000
 REMEMBERED = 500_000
-CHUNK = 4096
+CHUNK = 512
 Weights = dict[str, np.ndarray]
 
 
@@ -54,9 +54,8 @@ def fresh_weights(side: int = SIDE) -> Weights:
         "embed": (rng.normal(0, 0.3, (side * side + 1, WIDTH))).astype(np.float32),
         "mix": draw(2 * REACH * WIDTH, HIDDEN),
         "bias": np.zeros(HIDDEN, np.float32),
-        "high": np.zeros((HIDDEN, side), np.float32),
+        "out": np.zeros((HIDDEN, 2 * side), np.float32),  # first the high digit, then the low one
         "high_bias": np.zeros(side, np.float32),
-        "low": np.zeros((HIDDEN, side), np.float32),
         "low_given": np.zeros((side, side), np.float32),
     }
 
@@ -88,39 +87,67 @@ def windows(tokens: np.ndarray, at: np.ndarray, edge: int = EDGE) -> np.ndarray:
     return padded[at[:, None] + REACH + OFFSETS[None, :]]
 
 
-def _softmax(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(1, keepdims=True)
-    np.exp(logits, out=logits)
-    logits /= logits.sum(1, keepdims=True)
-    return logits
+def logits_of(w: Weights, context: np.ndarray, high: np.ndarray):
+    """Inputs, hidden layer and the logits of both digits (n, 2 * side) for masked tokens with these high digits."""
+    x = w["embed"][context].reshape(len(context), -1)
+    h = x @ w["mix"]
+    h += w["bias"]
+    np.maximum(h, 0, out=h)
+    logits = h @ w["out"]
+    side = len(w["high_bias"])
+    logits[:, :side] += w["high_bias"]
+    logits[:, side:] += w["low_given"][high]
+    return x, h, logits
 
 
 def predict(w: Weights, context: np.ndarray, target: np.ndarray):
-    """Inputs, hidden layer and both distributions for masked tokens."""
-    x = w["embed"][context].reshape(len(context), -1)
-    h = np.maximum(x @ w["mix"] + w["bias"], 0)
-    high = _softmax(h @ w["high"] + w["high_bias"])
-    low = _softmax(h @ w["low"] + w["low_given"][target // len(w["high_bias"])])
-    return x, h, high, low
+    """Inputs, hidden layer and the distributions of both digits, side by side."""
+    n, side = len(target), len(w["high_bias"])
+    x, h, logits = logits_of(w, context, target // side)
+    both = logits.reshape(2 * n, side)
+    both -= both.max(1, keepdims=True)
+    np.exp(both, out=both)
+    both /= both.sum(1, keepdims=True)
+    return x, h, logits
+
+
+def log_probability(w: Weights, context: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Log-probabilities of masked tokens."""
+    n, side, row = len(target), len(w["high_bias"]), np.arange(len(target))
+    high, low = target // side, target % side
+    _, _, logits = logits_of(w, context, high)
+    chosen = logits[row, high] + logits[row, side + low]
+    both = logits.reshape(2 * n, side)
+    top = both.max(1, keepdims=True)
+    both -= top
+    np.exp(both, out=both)
+    return chosen - (top[:, 0] + np.log(both.sum(1))).reshape(n, 2).sum(1)
+
+
+def _descend(table: np.ndarray, rows: np.ndarray, slopes: np.ndarray, rate: float) -> None:
+    """Subtracts the summed slopes of each row of the table, in place; rows may repeat."""
+    order = np.argsort(rows, kind="stable")
+    ranked = rows[order]
+    first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    table[ranked[first]] -= rate * np.add.reduceat(slopes[order], first, axis=0)
 
 
 def step(w: Weights, context: np.ndarray, target: np.ndarray, rate: float) -> None:
     """One step of gradient descent on the mean negative log-probability, in place."""
     n, row, side = len(target), np.arange(len(target)), len(w["high_bias"])
-    x, h, high, low = predict(w, context, target)
-    high[row, target // side] -= 1
-    low[row, target % side] -= 1
-    high /= n
-    low /= n
-    back = (high @ w["high"].T + low @ w["low"].T) * (h > 0)
+    x, h, slope = predict(w, context, target)
+    slope[row, target // side] -= 1
+    slope[row, side + target % side] -= 1
+    slope /= n
+    back = slope @ w["out"].T
+    back *= h > 0
     dx = (back @ w["mix"].T).reshape(n * 2 * REACH, WIDTH)
-    w["high"] -= rate * (h.T @ high)
-    w["high_bias"] -= rate * high.sum(0)
-    w["low"] -= rate * (h.T @ low)
-    np.subtract.at(w["low_given"], target // side, rate * low)
+    w["out"] -= rate * (h.T @ slope)
+    w["high_bias"] -= rate * slope[:, :side].sum(0)
+    _descend(w["low_given"], target // side, slope[:, side:], rate)
     w["mix"] -= rate * (x.T @ back)
     w["bias"] -= rate * back.sum(0)
-    np.subtract.at(w["embed"], context.reshape(-1), rate * dx)
+    _descend(w["embed"], context.reshape(-1), dx, rate)
 
 
 def train(rows: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE, side: int = SIDE) -> Weights:
@@ -176,35 +203,25 @@ def train(rows: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE, side: int
     return weights
 
 
-def _key(raw: bytes) -> bytes:
-    return xxhash.xxh3_128_digest(raw)
-
-
-def _words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, word, times): the words of each text with any, which its hash stands for."""
+def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n): the words of each batch, counted."""
     number = Words()
     for batch in batches:
-        keys, words, times = [], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for raw in batch.column(1).cast(pa.binary()):
-            if len(hashes := number(raw.as_py())):
-                own, n = np.unique(hashes, return_counts=True)
-                keys += [_key(raw.as_py())] * len(own)
-                words.append(own)
-                times.append(n)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(np.concatenate(words)), pa.array(np.concatenate(times))], ["key", "word", "times"])
-
-
-def _shares(words: DataFrame, counts: DataFrame, side: int) -> DataFrame:
-    """(key, share): mean log-share that a text's words have in their classes; equal texts have one mean."""
+        for part in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
+            hashes = [number(raw.as_py()) for raw in part.column(1).cast(pa.binary())]
+            words, n = np.unique(np.concatenate(hashes), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.int64()), pa.array(n, pa.int64())], ["word", "n"])
+
+
+def _shares(counts: DataFrame, side: int) -> DataFrame:
+    """word, n and share: the log of its share of the tokens of its class."""
     own = F.col("word") % (side * side)
     classes = materialise(counts.groupBy(own.alias("class")).agg(F.sum("n").alias("all")), "lm-classes")
     shares = counts.join(small(classes, 16), own == F.col("class")).select("word", "n", F.log(F.col("n") / F.col("all")).alias("share"))
-    shares = materialise(shares, "lm-shares")
-    total = classes.agg(F.sum("all")).first()[0] or 0
-    often = F.col("n") >= total * FREQUENT
-    frequent, rare = F.broadcast(shares.where(often).select("word", "share")), shares.where(~often).select("word", "share")
-    each = words.join(frequent, "word").unionByName(words.join(frequent.select("word"), "word", "left_anti").join(rare, "word"))
-    return each.groupBy("key").agg((F.sum(F.col("times") * F.col("share")) / F.sum("times")).alias("share"))
+    return materialise(shares, "lm-shares")
+
+
+SCORED = "doc_id long, n_tokens long, sum double, rare array<struct<word:long,times:long>>"
 
 
 def score(docs: DataFrame, weights: Weights | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -213,31 +230,45 @@ def score(docs: DataFrame, weights: Weights | None = None, id_col: str = "doc_id
     Words are counted over ``docs``, also where trained weights are given.
     """
     rows = id_and_text(docs, id_col, text_col)
-    words = materialise(rows.mapInArrow(_words, "key binary, word long, times long"), "lm-words")
-    counts = materialise(words.groupBy("word").agg(F.sum("times").alias("n")), "lm-counts")
+    counts = materialise(rows.mapInArrow(_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-counts")
     if weights is None:
         weights = train(rows, side=side_of(counts.count()))
     side = len(weights["high_bias"])
-    sent = docs.sparkSession.sparkContext.broadcast(weights)
+    shares = _shares(counts, side)
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    often = shares.where(F.col("n") >= total * FREQUENT).select("word", "share").orderBy("word").toArrow()
+    context = docs.sparkSession.sparkContext
+    sent, frequent = context.broadcast(weights), context.broadcast((often.column("word").to_numpy(), often.column("share").to_numpy()))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = Words()
+        known, share = frequent.value
         for batch in batches:
             sizes: list[int] = []
             sums: list[float] = []
-            keys: list[bytes | None] = []
+            rare: list[list[dict[str, int]]] = []
             # Short documents go through the network together.
             for part in (batch.slice(i, 64) for i in range(0, batch.num_rows, 64)):
-                raws = part.column(1).cast(pa.binary()).to_pylist()
-                tokens = [number(raw) % (side * side) for raw in raws]
-                sizes += map(len, tokens)
-                keys += [_key(raw) if len(t) else None for raw, t in zip(raws, tokens, strict=True)]
-                sums += log_sums(sent.value, tokens)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), pa.array(keys, pa.binary())], ["doc_id", "n_tokens", "classes", "key"])
-
-    found = rows.mapInArrow(run, "doc_id long, n_tokens long, classes double, key binary").join(_shares(words, counts, side), "key", "left")
-    pll = F.when(F.col("n_tokens") > 0, F.col("classes") + F.col("n_tokens") * F.col("share")).otherwise(0.0)
-    return found.select("doc_id", "n_tokens", pll.alias("pll")).select("*", F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens")).otherwise(0.0).alias("pll_per_token"))
+                words = [number(raw.as_py()) for raw in part.column(1).cast(pa.binary())]
+                sizes += map(len, words)
+                inside, left = [], []
+                for own in words:
+                    at = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
+                    there = known[at] == own if len(known) else np.zeros(len(own), bool)
+                    inside.append(float(share[at[there]].sum()))
+                    left.append([{"word": w, "times": n} for w, n in zip(*(x.tolist() for x in np.unique(own[~there], return_counts=True)), strict=True)])
+                sums += [a + b for a, b in zip(log_sums(sent.value, [w % (side * side) for w in words]), inside, strict=True)]
+                rare += left
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), pa.array(rare, pa.list_(pa.struct([("word", pa.int64()), ("times", pa.int64())])))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "sum", "rare"])
+
+    # Numbered and written once, so that rows find their rare words' shares again; equal texts are rows of their own.
+    found = materialise(rows.mapInArrow(run, SCORED).withColumn("row", F.monotonically_increasing_id()), "lm-scored")
+    each = found.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.times")
+    rest = each.join(shares.select("word", "share"), "word").groupBy("row").agg(F.sum(F.col("times") * F.col("share")).alias("rest"))
+    pll = F.when(F.col("n_tokens") > 0, F.col("sum") + F.coalesce("rest", F.lit(0.0))).otherwise(0.0)
+    out = found.select("row", "doc_id", "n_tokens", "sum").join(rest, "row", "left").select("doc_id", "n_tokens", pll.alias("pll"))
+    return out.select("*", F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens")).otherwise(0.0).alias("pll_per_token"))
 
 
 def log_sums(w: Weights, texts: list[np.ndarray]) -> list[float]:
@@ -250,10 +281,7 @@ def log_sums(w: Weights, texts: list[np.ndarray]) -> list[float]:
     out = np.zeros(len(joined))
     for a in range(0, len(real), CHUNK):
         at = real[a : a + CHUNK]
-        target = joined[at]
-        _, _, high, low = predict(w, windows(joined, at, edge), target)
-        row = np.arange(len(at))
-        out[at] = np.log(np.maximum(high[row, target // side], 1e-12)) + np.log(np.maximum(low[row, target % side], 1e-12))
+        out[at] = log_probability(w, windows(joined, at, edge), joined[at])
     ends = np.cumsum([len(t) + REACH for t in texts])
     total = np.concatenate([[0.0], np.cumsum(out)])
     return [float(total[e - REACH] - total[e - REACH - len(t)]) for e, t in zip(ends, texts, strict=True)]

@@ -11,7 +11,7 @@ def slow(w, tokens):
     for i, t in enumerate(tokens):
         near = [tokens[i + k] if 0 <= i + k < len(tokens) else lm.EDGE for k in range(-lm.REACH, lm.REACH + 1) if k]
         h = np.maximum(np.concatenate([w["embed"][n] for n in near]) @ w["mix"] + w["bias"], 0)
-        for logits, own in ((h @ w["high"] + w["high_bias"], t // lm.SIDE), (h @ w["low"] + w["low_given"][t // lm.SIDE], t % lm.SIDE)):
+        for logits, own in ((h @ w["out"][:, : lm.SIDE] + w["high_bias"], t // lm.SIDE), (h @ w["out"][:, lm.SIDE :] + w["low_given"][t // lm.SIDE], t % lm.SIDE)):
             total += logits[own] - logits.max() - np.log(np.exp(logits - logits.max()).sum())
     return total
 
@@ -32,9 +32,7 @@ def test_gradients_match_differences():
     context, target = rng.integers(0, lm.EDGE + 1, (5, 2 * lm.REACH)), rng.integers(0, lm.EDGE, 5)
 
     def loss(w):
-        _, _, high, low = lm.predict(w, context, target)
-        row = np.arange(5)
-        return -np.mean(np.log(high[row, target // lm.SIDE]) + np.log(low[row, target % lm.SIDE]))
+        return -np.mean(lm.log_probability(w, context, target))
 
     new = {k: v.copy() for k, v in w.items()}
     lm.step(new, context, target, 1.0)
@@ -78,9 +76,7 @@ def test_production_setting_trains_every_position(spark):
     weights = lm.train(spark.createDataFrame(corpus, "doc_id long, text string").coalesce(1))
     number, words = lm.Words(), " ".join(sentence(20)).encode()
     tokens = number(words) % lm.EDGE
-    _, _, high, low = lm.predict(weights, lm.windows(tokens, np.arange(len(tokens))), tokens)
-    row = np.arange(len(tokens))
-    p = (high[row, tokens // lm.SIDE] * low[row, tokens % lm.SIDE]).reshape(-1, 6)
+    p = np.exp(lm.log_probability(weights, lm.windows(tokens, np.arange(len(tokens))), tokens)).reshape(-1, 6)
     assert (np.median(p, 0) > 0.1).all()  # a third is the best, 1 / 4096 untrained
 
 
@@ -97,5 +93,15 @@ def test_words_of_one_class_are_told_apart(spark):
     assert np.exp(got[1]) + np.exp(got[2]) + np.exp(got[5]) <= 1
 
 
+def test_rare_words_by_shuffle_give_the_same(spark, monkeypatch):
+    """All words by the broadcast table, or none."""
+    df = spark.createDataFrame([(i, f"some words {i % 3} and word{i % 7} word{i}" if i % 5 else None) for i in range(40)], "doc_id long, text string")
+    weights, got = lm.fresh_weights(), []
+    for least in (0.0, 2.0):
+        monkeypatch.setattr(lm, "FREQUENT", least)
+        got.append({r.doc_id: r.pll for r in lm.score(df, weights).collect()})
+    assert got[0].keys() == got[1].keys() and all(np.isclose(got[0][i], got[1][i]) for i in got[0])
+
+
 def test_classes_grow_with_the_vocabulary():
     assert lm.side_of(10) == lm.SIDE < lm.side_of(10**6) < lm.side_of(10**7)
