@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, materialise, small
+from .common import id_and_text, materialise, one_thread, small
 
 SIDE, REACH, WIDTH, HIDDEN = 64, 2, 24, 64
 STRIDE, ROUNDS, BATCH, RATE, SEED = 1, 1, 256, 0.15, 11
@@ -159,6 +159,7 @@ def train(rows: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE, side: int
         sent = rows.sparkSession.sparkContext.broadcast(flat)
 
         def descend(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            one_thread()
             w, number, at = {}, Words(), 0
             for name, shape, size in shapes:
                 w[name] = sent.value[at : at + size].reshape(shape).copy()  # noqa: B023
@@ -241,6 +242,7 @@ def score(docs: DataFrame, weights: Weights | None = None, id_col: str = "doc_id
     sent, frequent = context.broadcast(weights), context.broadcast((often.column("word").to_numpy(), often.column("share").to_numpy()))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         number = Words()
         known, share = frequent.value
         for batch in batches:
