@@ -122,17 +122,21 @@ add(
 
 # Locators
 
-_status = prompts.locator_status(F.col("text"), F.col("first"), F.col("stop"), F.col("quote"))
+def _status():
+    return prompts.locator_status(F.col("text"), F.col("first"), F.col("stop"), F.col("quote"))
+
+
+
 _kinds = "CASE kind WHEN 1 THEN 'offset_out_of_range' WHEN 2 THEN 'quote_mismatch' ELSE 'ok' END"
-add("f33_locator_status", "locators", lambda x: x.select("conv_id", "turn", _status.alias("status")), f"SELECT conv_id, turn, {_kinds} AS status FROM locators")
+add("f33_locator_status", "locators", lambda x: x.select("conv_id", "turn", _status().alias("status")), f"SELECT conv_id, turn, {_kinds} AS status FROM locators")
 add(
     "v23_locator_counts", "locators",
-    lambda x: x.groupBy(_status.alias("status")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("conv_id").alias("conversations")),
+    lambda x: x.groupBy(_status().alias("status")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("conv_id").alias("conversations")),
     f"SELECT {_kinds} AS status, count(*) AS n, count(DISTINCT conv_id) AS conversations FROM locators GROUP BY 1",
 )
 add(
     "h35_inline_tags", "locators",
-    lambda x: x.where(_status == "ok").select("conv_id", "turn", F.concat(F.substring("text", F.lit(1), F.col("first")), F.lit("<A1>"), F.col("quote"), F.lit("</A1>"), F.substring("text", F.col("stop") + 1, F.length("text"))).alias("tagged")),
+    lambda x: x.where(_status() == "ok").select("conv_id", "turn", F.concat(F.substring("text", F.lit(1), F.col("first")), F.lit("<A1>"), F.col("quote"), F.lit("</A1>"), F.substring("text", F.col("stop") + 1, F.length("text"))).alias("tagged")),
     "SELECT conv_id, turn, text[1:first]||'<A1>'||quote||'</A1>'||text[stop+1:] AS tagged FROM locators WHERE kind=0",
 )
 
@@ -280,10 +284,16 @@ derived(
     """WITH h AS (SELECT a.probe_id, a.problem_id, a.probe_type, a.b AS h, c.b AS m FROM {runs} a JOIN {runs} b ON a.probe_id=b.probe_id AND b.model='m1' AND a.b=b.b JOIN {runs} c ON a.probe_id=c.probe_id AND c.model='m3' WHERE a.model='m0'),
 p AS (SELECT probe_type, problem_id, avg(h) AS h, avg(m) AS m FROM h GROUP BY 1,2), t AS (SELECT probe_type, avg(h) AS h, avg(m) AS m FROM p GROUP BY 1) SELECT round(sum(h)/3,9) AS human, round(sum(m)/3,9) AS model, round(sum(m)/3-sum(h)/3,9) AS delta FROM t""",
 )
-_targets = F.create_map(F.lit("E1"), F.lit("object-a"), F.lit("E2"), F.lit("object-b"))
+
+
+def _targets():
+    return F.create_map(F.lit("E1"), F.lit("object-a"), F.lit("E2"), F.lit("object-b"))
+
+
+
 derived(
     "j04_canonical_alias", "responses",
-    lambda r: r.select("probe_id", strict_json.owner_of(strict_json.strict_json("response")).alias("alias")).where("alias is not null").select("probe_id", "alias", F.element_at(_targets, F.col("alias")).alias("target")),
+    lambda r: r.select("probe_id", strict_json.owner_of(strict_json.strict_json("response")).alias("alias")).where("alias is not null").select("probe_id", "alias", F.element_at(_targets(), F.col("alias")).alias("target")),
     """WITH x AS (SELECT probe_id, trim(regexp_extract(response, '"owner":"([^"]*)"', 1)) AS alias FROM {responses} WHERE variant IN (0,6,7)) SELECT probe_id, alias, CASE alias WHEN 'E1' THEN 'object-a' WHEN 'E2' THEN 'object-b' END AS target FROM x""",
 )
 derived(

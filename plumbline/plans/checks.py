@@ -185,10 +185,16 @@ def h09_inventories(p: DataFrame) -> DataFrame:
 
 
 derived("h09_inventories", "part", h09_inventories, "SELECT p_partkey, 'a'||p_partkey AS path, 'h1' AS sha256 FROM {part} WHERE p_partkey%4<3 UNION ALL SELECT p_partkey, 'b', 'h2' FROM {part} WHERE p_partkey%4<3 UNION ALL SELECT p_partkey, NULL, NULL FROM {part} WHERE p_partkey%4=3")
-_payload = F.to_json(F.struct(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status")))
+
+
+def _payload():
+    return F.to_json(F.struct(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status")))
+
+
+
 derived(
     "h11_stored_hashes", "orders",
-    lambda o: o.select("o_orderkey", F.sha2(_payload, 256).alias("now"), F.sha2(F.when(F.col("o_custkey") % 10 == 0, F.concat(_payload, F.lit(" "))).otherwise(_payload), 256).alias("stored")).where("now <> stored").select("o_orderkey", F.lit("hash_differs").alias("code")),
+    lambda o: o.select("o_orderkey", F.sha2(_payload(), 256).alias("now"), F.sha2(F.when(F.col("o_custkey") % 10 == 0, F.concat(_payload(), F.lit(" "))).otherwise(_payload()), 256).alias("stored")).where("now <> stored").select("o_orderkey", F.lit("hash_differs").alias("code")),
     "SELECT o_orderkey, 'hash_differs' AS code FROM {orders} WHERE o_custkey%10=0",
 )
 
@@ -233,8 +239,14 @@ add(
     ),
     """WITH x AS (SELECT mother, list_sort(list(DISTINCT concat_ws(',', first_image, second_image))) AS sets FROM attachments GROUP BY mother) SELECT mother, CASE WHEN len(sets)=1 THEN sets[1] END AS images, CASE WHEN len(sets)=1 THEN 'consistent' ELSE 'conflict' END AS state FROM x""",
 )
-_slots = F.array_compact(F.array("image_1", "image_2", "image_3"))
-add("h18_image_slots", "sources", lambda s: s.select("source", F.array_join(_slots, "|").alias("images"), F.size(_slots).cast("long").alias("n")), "SELECT source, concat_ws('|', image_1, image_2, image_3) AS images, CAST((image_1 IS NOT NULL)::INT+(image_2 IS NOT NULL)::INT+(image_3 IS NOT NULL)::INT AS BIGINT) AS n FROM sources")
+
+
+def _slots():
+    return F.array_compact(F.array("image_1", "image_2", "image_3"))
+
+
+
+add("h18_image_slots", "sources", lambda s: s.select("source", F.array_join(_slots(), "|").alias("images"), F.size(_slots()).cast("long").alias("n")), "SELECT source, concat_ws('|', image_1, image_2, image_3) AS images, CAST((image_1 IS NOT NULL)::INT+(image_2 IS NOT NULL)::INT+(image_3 IS NOT NULL)::INT AS BIGINT) AS n FROM sources")
 add(
     "h19_reference_fallback", "sources",
     lambda s: s.select("source", strict_json.strict_json("reference").alias("o"), "reference").select("source", F.coalesce(F.get_json_object("o", "$.answer"), F.col("reference")).alias("answer"), F.when(F.col("o").isNull(), "text").otherwise("json").alias("form")),
@@ -242,7 +254,7 @@ add(
 )
 add(
     "h47_media_paths", "sources",
-    lambda s: s.select("source", _slots.alias("paths")).select(
+    lambda s: s.select("source", _slots().alias("paths")).select(
         "source", F.exists("paths", lambda x: F.regexp_like(x, F.lit("(^|/)\\.\\.(/|$)|^/"))).alias("escapes"), (F.size(F.array_distinct(F.transform("paths", lambda x: F.lower(x)))) < F.size("paths")).alias("repeats")
     ),
     "SELECT source, coalesce(image_3 LIKE '../%', false) AS escapes, coalesce(lower(image_1)=lower(image_3), false) AS repeats FROM sources",

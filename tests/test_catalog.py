@@ -2,6 +2,9 @@
 
 import glob
 import math
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -43,3 +46,8 @@ def test_the_rest_runs(spark):
 def test_bootstrap_draws_as_often_as_the_reference(spark):
     rows = catalog.queries()["a19_bootstrap_hash"](spark, SF).collect()
     assert rows and all(r["valid"] + r["undefined"] == 2000 for r in rows)
+
+
+def test_the_registry_loads_without_a_session():
+    code = "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], check=True, timeout=120)
