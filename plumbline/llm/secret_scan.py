@@ -1,11 +1,11 @@
 """Secret scans: Markov models of random strings and of ordinary identifiers, compared by log-likelihood ratio (native).
 
 Base spans (assign, access, hex) follow fixed expressions. Other candidates are runs of key
-characters with a letter and a digit, at least ``MIN_LENGTH`` long; a candidate is a secret where the
-bigram model of random strings explains it better than the model of identifiers by ``MIN_RATIO`` nats
-per character. Both models are trained by Spark from labelled samples: random strings drawn by
-hashing, identifiers joined from common words; their size is a parameter and the model has
-``len(ALPHABET) ** 2`` numbers at any corpus size.
+characters with a letter, at least ``MIN_LENGTH`` long; a candidate is a secret where the bigram model
+of random strings explains it better than the model of ordinary strings by ``MIN_RATIO`` nats per pair
+and by ``MIN_TOTAL`` nats over the whole run, so short runs need stronger signs than long ones. Both models are trained by Spark from labelled
+samples: random strings drawn by hashing, identifiers and compounds joined from common words; their
+size is a parameter and the model has ``len(ALPHABET) ** 2`` numbers at any corpus size.
 
 Defined results: a null text counts as empty and has no spans; rows are judged one by one, so
 repeated rows repeat; an empty table gives an empty result; other columns are ignored by ``scan``
@@ -29,7 +29,7 @@ ASSIGNED = "^(?i:password|passwd|secret|token|api_?key)[\"']? *[:=] *[\"']?[A-Za
 ACCESS = "AKIA[A-Z0-9]{14,}+"
 HEX = "(?<![0-9a-f])[0-9a-f]{16,}+"
 CANDIDATE = "(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]++"
-MIN_LENGTH, MIN_RATIO = 20, 0.35
+MIN_LENGTH, MIN_RATIO, MIN_TOTAL = 16, 0.35, 10.0
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 #: Words that identifiers are made of (sample data).
@@ -44,17 +44,31 @@ WORDS = (
     "tree type unit update upload url user utility valid value vector version view visible width window word worker write zone"
 ).split()
 
+#: Words and endings that long words of prose are made of, in four languages (sample data).
+PROSE = (
+    "about after again against also another because before between both could during each every found from great have here however into itself made many might more most much never other "
+    "over people place same should since some still such than that their there these they this those through under until very water were what when where which while with would years "
+    "aber alle auch auf aus bei beim dann das dass dem den der des die dieser durch ein eine einer für gegen haben hat heit ich immer ist jahr kann keit lich machen mehr mit nach nicht noch nur "
+    "oder schaft schon sehr sein sich sie sind stadt tag über und ung unter ver viel von vor war welt wenn wer werden wie wieder wird wir zeit zu zum zur zwischen "
+    "ainsi alors après aussi autre aux avant avec beaucoup bien ces cette chaque comme dans depuis deux donc elle elles encore entre être eux faire fois grand heureux jour leur lieu mais même "
+    "mieux moins monde non nous nouveau ou par parce pas pendant peu peut plus pour quand que quel qui sans ses sont sous sur temps toujours tous tout très une vers vie vous yeux "
+    "ahora algo ante antes años aunque cada casa como con contra cuando cual desde donde dos durante ella ellos entonces entre era esta este estos forma fue gran había hacer hasta hay hombre "
+    "lado los luego lugar mayor menos mientras mismo mucho mundo muy nada nunca otra otro para parte pero poco porque puede quien según ser siempre sin sobre también tanto tiempo todo una vez vida"
+).split()
+
 
 def samples(spark: SparkSession, n: int = 20000) -> DataFrame:
     """(text, random boolean): ``n`` labelled strings of each kind, drawn by hashing row numbers."""
     ids = spark.range(n)
     pick = lambda k: F.get(F.array(*map(F.lit, WORDS)), F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(WORDS))).cast("int"))
-    style = F.pmod(F.xxhash64("id", F.lit("style")), F.lit(4))
+    prose = lambda k: F.get(F.array(*map(F.lit, PROSE)), F.pmod(F.xxhash64("id", F.lit("prose"), F.lit(k)), F.lit(len(PROSE))).cast("int"))
+    style = F.pmod(F.xxhash64("id", F.lit("style")), F.lit(5))
     number = F.pmod(F.xxhash64("id", F.lit("number")), F.lit(1000)).cast("string")
     words = [pick(k) for k in range(4)]
     ordinary = (
         F.when(style == 0, F.concat_ws("_", *words))
         .when(style == 1, F.concat(words[0], *(F.initcap(w) for w in words[1:])))
+        .when(style == 3, F.concat(*(prose(k) for k in range(3))))
         .when(style == 2, F.concat(F.upper(F.concat_ws("_", *words[:3])), F.lit("_"), number))
         .otherwise(F.concat(F.concat_ws("-", *words[:3]), F.lit("/"), words[3], number))
     )
@@ -79,14 +93,24 @@ def train(labelled: DataFrame) -> list[float]:
     return table
 
 
-def ratio(candidate: Column, table: Sequence[float]) -> Column:
-    """Mean log-likelihood ratio per character pair of a string over ALPHABET."""
+def total_ratio(candidate: Column, table: Sequence[float]) -> Column:
+    """Log-likelihood ratio of a string over ALPHABET, summed over its character pairs."""
     weights, alphabet = double_table(table), F.lit(ALPHABET)
     at = lambda i: F.position(F.substring(candidate, i, F.lit(1)), alphabet) - 1
-    total = F.aggregate(
+    return F.aggregate(
         F.sequence(F.lit(1), F.length(candidate) - 1), F.lit(0.0), lambda acc, i: acc + F.coalesce(F.get(weights, at(i) * len(ALPHABET) + at(i + 1)), F.lit(0.0))
     )
-    return total / (F.length(candidate) - 1)
+
+
+def ratio(candidate: Column, table: Sequence[float]) -> Column:
+    """Mean log-likelihood ratio per character pair."""
+    return total_ratio(candidate, table) / (F.length(candidate) - 1)
+
+
+def looks_random(candidate: Column, table: Sequence[float]) -> Column:
+    """Whether a run of key characters is better explained as a random string, from its letters, length and ratio."""
+    least = F.greatest(F.lit(MIN_TOTAL), (F.length(candidate) - 1) * MIN_RATIO)
+    return F.when((F.length(candidate) >= MIN_LENGTH) & F.regexp_like(candidate, F.lit("[A-Za-z]")), total_ratio(candidate, table) >= least).otherwise(False)
 
 
 def _sorted(spans: Column) -> Column:
@@ -108,9 +132,8 @@ def base_spans(text: Column) -> Column:
 
 def random_spans(text: Column, table: Sequence[float]) -> Column:
     """Candidates that the model of random strings explains better."""
-    mixed = lambda m: (F.length(m) >= MIN_LENGTH) & F.regexp_like(m, F.lit("[0-9]")) & F.regexp_like(m, F.lit("[A-Za-z]"))
     long_run = CANDIDATE[:-2] + f"{{{MIN_LENGTH},}}+"
-    return find_spans(text, "random", long_run, lambda m: F.when(mixed(m), ratio(m, table) >= MIN_RATIO).otherwise(False))
+    return find_spans(text, "random", long_run, lambda m: looks_random(m, table))
 
 
 def scan(docs: DataFrame, table: Sequence[float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,7 +1,9 @@
 """Personal data and secrets against Python's re."""
 
 import hashlib
+import random
 import re
+import string
 
 import pytest
 
@@ -94,6 +96,24 @@ def test_markov_models_separate_held_out_strings(spark):
     assert right >= 0.97 * len(rows)
 
 
+@pytest.mark.parametrize(("alphabet", "length", "share"), [(string.ascii_letters + string.digits, 16, 0.98), (string.ascii_letters + string.digits, 40, 0.99), (string.ascii_letters, 16, 0.95), (string.ascii_letters, 24, 0.99), (string.ascii_uppercase, 20, 0.9), (string.ascii_lowercase, 16, 0.65), (string.ascii_lowercase, 32, 0.9), (string.ascii_lowercase + string.digits, 20, 0.95)])
+def test_keys_drawn_in_another_way_are_found(spark, alphabet, length, share):
+    draw = random.Random(length)
+    keys = ["".join(draw.choices(alphabet, k=length)) for _ in range(1000)]
+    df = spark.createDataFrame([(i, f"here {k} there") for i, k in enumerate(keys) if re.search("[A-Za-z]", k)], "doc_id long, text string")
+    found = secret_scan.scan(df).where("exists(spans, s -> s.start = 5)").count()
+    assert found >= share * df.count()
+
+
+def test_long_words_and_paths_are_left(spark):
+    said = (
+        "Geschwindigkeitsbegrenzung Bundesverfassungsgericht Wiederherstellung anticonstitutionnellement internationalisation responsabilidades characteristically "
+        "src/main/resources/templates HTTP_REQUEST_TIMEOUT_SECONDS getElementsByClassName well-known-identifier ----------------------"
+    )
+    (row,) = secret_scan.scan(spark.createDataFrame([(1, said)], "doc_id long, text string")).collect()
+    assert row.spans == []
+
+
 def test_random_keys_are_found_and_identifiers_left(spark):
     rows = [(1, "use Zk3xQ9vB7mW2pL8sT4yH6nD1 now"), (2, "call get_user_profile_name_by_id_2 here"), (3, "see https/www/document/library/version2/index")]
     got = {r.doc_id: [s.kind for s in r.spans] for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
