@@ -26,7 +26,6 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +36,6 @@ STRIDE, ROUNDS, BATCH, RATE, SEED = 1, 1, 256, 0.15, 11
 EDGE = SIDE * SIDE  # stands before the first and after the last token; side * side for other sides
 #: Words with at least this fraction of all tokens are broadcast: 20,000 at most.
 FREQUENT = 1 / 20_000
-REMEMBERED = 500_000
 CHUNK = 512
 Weights = dict[str, np.ndarray]
 
@@ -60,22 +58,72 @@ def fresh_weights(side: int = SIDE) -> Weights:
     }
 
 
-class Words:
-    """63-bit hashes of a text's words; they are remembered. A word's class is the remainder by ``side * side``."""
-
-    def __init__(self):
-        self.memory: dict[bytes, int] = {}
-
-    def __call__(self, raw: bytes | None) -> np.ndarray:
-        words = (raw or b"").lower().split()
-        found = list(map(self.memory.get, words))
-        if None in found:
-            if len(self.memory) > REMEMBERED:
-                self.memory.clear()
-            for i, x in enumerate(found):
-                if x is None:
-                    found[i] = self.memory[words[i]] = xxhash.xxh3_64_intdigest(words[i]) >> 1
-        return np.array(found, np.int64)
+def _powers(base: int, n: int) -> np.ndarray:
+    """1, base, base^2 and so on, modulo 2^64."""
+    steps = np.full(n, base, np.uint64)
+    steps[0] = 1
+    return np.multiply.accumulate(steps)
+
+
+#: Bytes as numbers, capital letters like small ones; an odd base, so that its powers can be divided by modulo 2^64.
+BYTES = np.random.default_rng(SEED).integers(1, 1 << 63, 256, np.uint64)
+BYTES[ord("A") : ord("Z") + 1] = BYTES[ord("a") : ord("z") + 1]
+BASE, SPAN = 0x9E3779B97F4A7C1B, 1 << 16
+POWERS, INVERSES = _powers(BASE, SPAN), _powers(pow(BASE, -1, 1 << 64), SPAN)
+BLANK = np.isin(np.arange(256), np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8))
+
+
+def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """63-bit hashes of the words between these ascending places: polynomials in BASE, by one running sum."""
+    out = np.zeros(len(starts), np.uint64)
+    first = 0
+    while first < len(starts):
+        at = starts[first]
+        last = max(first + 1, int(np.searchsorted(ends, at + SPAN, "right")))
+        length = int(ends[last - 1] - at)
+        powers = POWERS if length <= SPAN else _powers(BASE, length)  # one very long word
+        sums = np.zeros(length + 1, np.uint64)
+        np.cumsum(BYTES[data[at : at + length]] * powers[:length], out=sums[1:])
+        a, b = starts[first:last] - at, ends[first:last] - at
+        out[first:last] = (sums[b] - sums[a]) * INVERSES[a]
+        first = last
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    out ^= out >> np.uint64(32)
+    return (out >> np.uint64(1)).astype(np.int64)
+
+
+def words_in(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hashed words of all these texts, one after the other, and how many each text has.
+
+    A word's class is the remainder by the number of classes. Words end at blanks; null texts have none.
+    """
+    texts = texts.cast(pa.binary()).cast(pa.large_binary()).fill_null(b"")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    if not len(texts) or offsets[0] == offsets[-1]:
+        return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    word = ~BLANK[data]
+    cut = np.zeros(len(data) + 1, bool)  # before this byte a text or a blank ends, or a blank begins
+    cut[1:-1] = word[1:] != word[:-1]
+    cut[offsets] = True
+    places = np.flatnonzero(cut)
+    inside = word[places[:-1]]
+    starts, ends = places[:-1][inside], places[1:][inside]
+    return _hashes(data, starts, ends), np.diff(np.searchsorted(starts, offsets))
+
+
+def texts_of(column: pa.Array) -> Iterator[np.ndarray]:
+    """The hashed words of each text."""
+    for part in parts_of(column):
+        words, sizes = words_in(part)
+        yield from np.split(words, np.cumsum(sizes)[:-1])
+
+
+def parts_of(column: pa.Array) -> Iterator[pa.Array]:
+    """A column of texts in pieces of 64 rows."""
+    return (column.slice(i, 64) for i in range(0, len(column), 64))
 
 
 OFFSETS = np.array([k for k in range(-REACH, REACH + 1) if k])
@@ -160,7 +208,7 @@ def train(rows: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE, side: int
 
         def descend(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             one_thread()
-            w, number, at = {}, Words(), 0
+            w, at = {}, 0
             for name, shape, size in shapes:
                 w[name] = sent.value[at : at + size].reshape(shape).copy()  # noqa: B023
                 at += size
@@ -177,8 +225,8 @@ def train(rows: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE, side: int
                 held, count = [], 0
 
             for batch in batches:
-                for raw in batch.column(1).cast(pa.binary()):
-                    tokens = number(raw.as_py()) % (side * side)
+                for tokens in texts_of(batch.column(1)):
+                    tokens %= side * side
                     if len(tokens):
                         places = np.arange(len(tokens) % stride % len(tokens), len(tokens), stride)
                         held.append((windows(tokens, places, side * side), tokens[places]))
@@ -206,11 +254,10 @@ def train(rows: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE, side: int
 
 def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, n): the words of each batch, counted."""
-    number = Words()
     for batch in batches:
-        for part in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
-            hashes = [number(raw.as_py()) for raw in part.column(1).cast(pa.binary())]
-            words, n = np.unique(np.concatenate(hashes), return_counts=True)
+        hashes = [words_in(part)[0] for part in parts_of(batch.column(1))]
+        for some in (hashes[i : i + 32] for i in range(0, len(hashes), 32)):
+            words, n = np.unique(np.concatenate(some), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.int64()), pa.array(n, pa.int64())], ["word", "n"])
 
 
@@ -243,15 +290,14 @@ def score(docs: DataFrame, weights: Weights | None = None, id_col: str = "doc_id
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_thread()
-        number = Words()
         known, share = frequent.value
         for batch in batches:
             sizes: list[int] = []
             sums: list[float] = []
             rare: list[list[dict[str, int]]] = []
             # Short documents go through the network together.
-            for part in (batch.slice(i, 64) for i in range(0, batch.num_rows, 64)):
-                words = [number(raw.as_py()) for raw in part.column(1).cast(pa.binary())]
+            for part in parts_of(batch.column(1)):
+                words = list(texts_of(part))
                 sizes += map(len, words)
                 inside, left = [], []
                 for own in words:

@@ -1,10 +1,35 @@
 import numpy as np
+import pyarrow as pa
 
 from plumbline.llm import lm_score as lm
 
 from .util import awkward
 
 
+def hashed(*texts):
+    words, sizes = lm.words_in(pa.array(texts, pa.string()))
+    return np.split(words, np.cumsum(sizes)[:-1])
+
+
+def test_words_are_split_and_told_apart():
+    """Against Python's own split; equal words have equal hashes wherever they stand, others have others."""
+    rng = np.random.default_rng(9)
+    letters = list("abAB\u00e9\u4e2d \t\n\x0b\x0c\r")
+    texts = ["".join(rng.choice(letters, rng.integers(0, 40))) for _ in range(3000)] + [None, "", " ", "ab" * 200_000 + " ab", "x " * 100_000]
+    names = {}
+    for part in (texts, texts[::-1], texts[7:20]):
+        for text, got in zip(part, hashed(*part), strict=True):
+            words = (text or "").encode().lower().split()
+            assert len(words) == len(got) and all(names.setdefault(w, h) == h for w, h in zip(words, got.tolist(), strict=True))
+    column = lm.words_in(pa.array(["zero one", "ab Ab", None, "a"], pa.string()).slice(1))
+    assert column[0].tolist() == [names[b"ab"], names[b"ab"], names[b"a"]] and column[1].tolist() == [2, 0, 1]
+    assert len(set(names.values())) == len(names) and all(0 <= h < 1 << 63 for h in names.values())
+    many = hashed(" ".join(f"{k}{i}" for i in range(300_000) for k in ("w", "")))[0]
+    assert len(np.unique(many)) == 600_000
+    spread = np.bincount(many % 4096, minlength=4096)
+    assert abs(spread.std() / np.sqrt(spread.mean()) - 1) < 0.1  # as random numbers are
+
+
 def slow(w, tokens):
     """One token at a time, from the definition."""
     total = 0.0
@@ -74,18 +99,17 @@ def test_production_setting_trains_every_position(spark):
     sentence = lambda n: [str(rng.choice(p)) for _ in range(n) for p in parts]
     corpus = [(i, " ".join(sentence(50))) for i in range(500)]
     weights = lm.train(spark.createDataFrame(corpus, "doc_id long, text string").coalesce(1))
-    number, words = lm.Words(), " ".join(sentence(20)).encode()
-    tokens = number(words) % lm.EDGE
+    tokens = hashed(" ".join(sentence(20)))[0] % lm.EDGE
     p = np.exp(lm.log_probability(weights, lm.windows(tokens, np.arange(len(tokens))), tokens)).reshape(-1, 6)
     assert (np.median(p, 0) > 0.1).all()  # a third is the best, 1 / 4096 untrained
 
 
 def test_words_of_one_class_are_told_apart(spark):
     """A frequent word and a rare one of the same 12 bits; one-word texts sum to a probability."""
-    number, first = lm.Words(), {}
+    first = {}
     for i in range(10**5):
         word = f"w{i}"
-        if (other := first.setdefault(int(number(word.encode())[0]) % lm.EDGE, word)) != word:
+        if (other := first.setdefault(int(hashed(word)[0][0]) % lm.EDGE, word)) != word:
             break
     docs = [(1, other), (2, word), (3, other), (4, other), (5, "else")]
     got = {r.doc_id: r.pll for r in lm.score(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
