@@ -2,14 +2,15 @@
 
 Words are hashed to classes and predicted as class, then word of the class. The network reads
 ``REACH`` class embeddings from either side of the masked token, mixes them in one hidden layer and
-predicts the class in two steps, its high digit and then its low digit given the high one, so a
-prediction costs two softmaxes of ``side``. A word's probability inside its class is its share of the class's
+predicts the class digit by digit, each given those before it, so a prediction costs ``DIGITS``
+softmaxes of ``side``. A digit's bias is the log of its share of the corpus's tokens with the same digits
+before it, taken from counts, so descent learns what the context adds to the frequencies. A word's probability inside its class is its share of the class's
 tokens in the corpus; so all words are told apart, and the whole is a proper distribution over
 the corpus's vocabulary. The log-probabilities of all tokens of a document are summed; per token they
 compare documents of different lengths.
 
-Words are counted over all documents by Spark; ``side`` is the cube root of the vocabulary, ``SIDE``
-at least, so classes grow with its power 2/3. The counts stay a table: the few words that make up
+Words are counted over all documents by Spark; there are as many classes as the vocabulary to the
+power 2/3, ``SIDE ** DIGITS`` at least. The counts stay a table: the few words that make up
 most tokens are broadcast, the others of each row are joined by shuffle.
 
 Training is data-parallel: each task starts from the same weights, runs stochastic
@@ -22,6 +23,7 @@ are scored row by row; an empty table gives an empty result (and untrained weigh
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -31,33 +33,55 @@ from pyspark.sql import functions as F
 
 from .common import id_and_text, materialise, one_thread, small
 
-SIDE, REACH, WIDTH, HIDDEN = 64, 2, 24, 64
-STRIDE, ROUNDS, BATCH, RATE, SEED = 1, 1, 256, 0.15, 11
-EDGE = SIDE * SIDE  # stands before the first and after the last token; side * side for other sides
+SIDE, DIGITS, REACH, WIDTH, HIDDEN = 16, 3, 2, 24, 64
+STRIDE, ROUNDS, BATCH, RATE, SEED = 1, 1, 256, 1.0, 11
+EDGE = SIDE**DIGITS  # stands before the first and after the last token; the number of classes for other sides
 #: Words with at least this fraction of all tokens are broadcast: 20,000 at most.
 FREQUENT = 1 / 20_000
 CHUNK = 512
+#: The weights that come from counts of the corpus and aren't descended.
+FIXED = "share"
 Weights = dict[str, np.ndarray]
 
 
 def side_of(vocabulary: int) -> int:
     """Digits of a class number, for so many words."""
-    return max(SIDE, round(vocabulary ** (1 / 3)))
+    return max(SIDE, math.ceil(vocabulary ** (2 / 3 / DIGITS)))
 
 
 def fresh_weights(side: int = SIDE) -> Weights:
     rng = np.random.default_rng(SEED)
     draw = lambda *shape: (rng.normal(0, 1, shape) / np.sqrt(shape[0])).astype(np.float32)
     return {
-        "embed": (rng.normal(0, 0.3, (side * side + 1, WIDTH))).astype(np.float32),
+        "embed": (rng.normal(0, 0.3, (side**DIGITS + 1, WIDTH))).astype(np.float32),
         "mix": draw(2 * REACH * WIDTH, HIDDEN),
         "bias": np.zeros(HIDDEN, np.float32),
-        "out": np.zeros((HIDDEN, 2 * side), np.float32),  # first the high digit, then the low one
-        "high_bias": np.zeros(side, np.float32),
-        "low_given": np.zeros((side, side), np.float32),
+        "out": np.zeros((HIDDEN, DIGITS * side), np.float32),  # digit after digit, the highest first
+        FIXED: biases(np.zeros(side**DIGITS)),
     }
 
 
+def side_in(w: Weights) -> int:
+    return w["out"].shape[1] // DIGITS
+
+
+def biases(tokens_of: np.ndarray) -> np.ndarray:
+    """(side ** (DIGITS - 1), DIGITS * side): by all digits of a class but the last, the log share of each digit given
+    those before it, from the tokens of each class in the corpus and one more."""
+    side = round(len(tokens_of) ** (1 / DIGITS))
+    parts = []
+    for k in range(DIGITS):
+        n = (tokens_of + 1.0).reshape(side**k, side, -1).sum(2)
+        parts.append(np.repeat(np.log(n / n.sum(1, keepdims=True)), side ** (DIGITS - 1 - k), axis=0))
+    return np.concatenate(parts, 1).astype(np.float32)
+
+
+def digits_of(classes: np.ndarray, side: int) -> list[np.ndarray]:
+    """The digits of class numbers, the highest first."""
+    heads = [classes // side**k for k in range(DIGITS, -1, -1)]
+    return [own - side * before for before, own in zip(heads, heads[1:], strict=False)]
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     """1, base, base^2 and so on, modulo 2^64."""
     steps = np.full(n, base, np.uint64)
@@ -135,72 +159,67 @@ def windows(tokens: np.ndarray, at: np.ndarray, edge: int = EDGE) -> np.ndarray:
     return padded[at[:, None] + REACH + OFFSETS[None, :]]
 
 
-def logits_of(w: Weights, context: np.ndarray, high: np.ndarray):
-    """Inputs, hidden layer and the logits of both digits (n, 2 * side) for masked tokens with these high digits."""
+def logits_of(w: Weights, context: np.ndarray, target: np.ndarray):
+    """Inputs, hidden layer and the logits of all digits (n, DIGITS * side) for masked tokens of these classes."""
     x = w["embed"][context].reshape(len(context), -1)
     h = x @ w["mix"]
     h += w["bias"]
     np.maximum(h, 0, out=h)
     logits = h @ w["out"]
-    side = len(w["high_bias"])
-    logits[:, :side] += w["high_bias"]
-    logits[:, side:] += w["low_given"][high]
+    logits += w[FIXED][target // side_in(w)]
     return x, h, logits
 
 
-def predict(w: Weights, context: np.ndarray, target: np.ndarray):
-    """Inputs, hidden layer and the distributions of both digits, side by side."""
-    n, side = len(target), len(w["high_bias"])
-    x, h, logits = logits_of(w, context, target // side)
-    both = logits.reshape(2 * n, side)
-    both -= both.max(1, keepdims=True)
-    np.exp(both, out=both)
-    both /= both.sum(1, keepdims=True)
-    return x, h, logits
+def exponentials(logits: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The powers of e, in place, of each digit's logits less the greatest; the greatest; the sums."""
+    each = logits.reshape(-1, side)
+    tops = each.max(1)
+    each -= tops[:, None]
+    np.exp(each, out=each)
+    return each, tops, each.sum(1)
 
 
 def log_probability(w: Weights, context: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Log-probabilities of masked tokens."""
-    n, side, row = len(target), len(w["high_bias"]), np.arange(len(target))
-    high, low = target // side, target % side
-    _, _, logits = logits_of(w, context, high)
-    chosen = logits[row, high] + logits[row, side + low]
-    both = logits.reshape(2 * n, side)
-    top = both.max(1, keepdims=True)
-    both -= top
-    np.exp(both, out=both)
-    return chosen - (top[:, 0] + np.log(both.sum(1))).reshape(n, 2).sum(1)
-
-
-def _descend(table: np.ndarray, rows: np.ndarray, slopes: np.ndarray, rate: float) -> None:
-    """Subtracts the summed slopes of each row of the table, in place; rows may repeat."""
-    order = np.argsort(rows, kind="stable")
-    ranked = rows[order]
-    first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-    table[ranked[first]] -= rate * np.add.reduceat(slopes[order], first, axis=0)
+    side, row = side_in(w), np.arange(len(target))
+    _, _, logits = logits_of(w, context, target)
+    chosen = sum(logits[row, k * side + own] for k, own in enumerate(digits_of(target, side)))
+    _, tops, sums = exponentials(logits, side)
+    return chosen - (tops + np.log(sums)).reshape(-1, DIGITS).sum(1)
 
 
 def step(w: Weights, context: np.ndarray, target: np.ndarray, rate: float) -> None:
     """One step of gradient descent on the mean negative log-probability, in place."""
-    n, row, side = len(target), np.arange(len(target)), len(w["high_bias"])
-    x, h, slope = predict(w, context, target)
-    slope[row, target // side] -= 1
-    slope[row, side + target % side] -= 1
-    slope /= n
+    n, row, side = len(target), np.arange(len(target)), side_in(w)
+    x, h, slope = logits_of(w, context, target)
+    each, _, sums = exponentials(slope, side)
+    each *= (1 / (n * sums))[:, None]
+    for k, own in enumerate(digits_of(target, side)):
+        slope[row, k * side + own] -= 1 / n
     back = slope @ w["out"].T
     back *= h > 0
     dx = (back @ w["mix"].T).reshape(n * 2 * REACH, WIDTH)
     w["out"] -= rate * (h.T @ slope)
-    w["high_bias"] -= rate * slope[:, :side].sum(0)
-    _descend(w["low_given"], target // side, slope[:, side:], rate)
     w["mix"] -= rate * (x.T @ back)
     w["bias"] -= rate * back.sum(0)
-    _descend(w["embed"], context.reshape(-1), dx, rate)
+    # The summed slopes of each class among the inputs; it may be there many times.
+    near = context.reshape(-1)
+    order = np.argsort(near)
+    ranked = near[order]
+    first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    w["embed"][ranked[first]] -= rate * np.add.reduceat(dx[order], first, axis=0)
+
 
+def train(rows: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE, side: int = SIDE, counts: DataFrame | None = None) -> Weights:
+    """Weights after local descent over all documents of (doc_id, text) and averaging, round by round.
 
-def train(rows: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE, side: int = SIDE) -> Weights:
-    """Weights after local descent over all documents of (doc_id, text) and averaging, round by round."""
-    weights = fresh_weights(side)
+    ``counts`` has these documents' words and their numbers (word, n), where they are known already.
+    """
+    by_class = (_counted(rows) if counts is None else counts).groupBy((F.col("word") % side**DIGITS).alias("class")).agg(F.sum("n").alias("n")).toArrow()
+    tokens_of = np.zeros(side**DIGITS)
+    tokens_of[by_class.column("class").to_numpy()] = by_class.column("n").to_numpy()
+    weights, share = fresh_weights(side), rows.sparkSession.sparkContext.broadcast(biases(tokens_of))
+    del weights[FIXED]
     shapes = [(k, v.shape, v.size) for k, v in weights.items()]
     for _ in range(rounds):
         flat = np.concatenate([v.reshape(-1) for v in weights.values()])
@@ -208,7 +227,7 @@ def train(rows: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE, side: int
 
         def descend(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             one_thread()
-            w, at = {}, 0
+            w, at = {FIXED: share.value}, 0
             for name, shape, size in shapes:
                 w[name] = sent.value[at : at + size].reshape(shape).copy()  # noqa: B023
                 at += size
@@ -226,17 +245,17 @@ def train(rows: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE, side: int
 
             for batch in batches:
                 for tokens in texts_of(batch.column(1)):
-                    tokens %= side * side
+                    tokens %= side**DIGITS
                     if len(tokens):
                         places = np.arange(len(tokens) % stride % len(tokens), len(tokens), stride)
-                        held.append((windows(tokens, places, side * side), tokens[places]))
+                        held.append((windows(tokens, places, side**DIGITS), tokens[places]))
                         count += len(places)
                         if count >= 64 * BATCH:
                             flush()
             if held:
                 flush()
             if seen:
-                values = np.concatenate([v.reshape(-1) for v in w.values()]).astype(np.float64) * seen
+                values = np.concatenate([w[name].reshape(-1) for name, _, _ in shapes]).astype(np.float64) * seen
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.arange(len(values) + 1)), pa.array(np.append(values, seen))], ["i", "v"]
                 )
@@ -249,7 +268,7 @@ def train(rows: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE, side: int
             for name, shape, size in shapes:
                 weights[name] = flat[at : at + size].reshape(shape)
                 at += size
-    return weights
+    return weights | {FIXED: share.value}
 
 
 def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,9 +280,14 @@ def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.int64()), pa.array(n, pa.int64())], ["word", "n"])
 
 
+def _counted(rows: DataFrame) -> DataFrame:
+    """word and n: its number in all documents of (doc_id, text)."""
+    return rows.mapInArrow(_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
 def _shares(counts: DataFrame, side: int) -> DataFrame:
     """word, n and share: the log of its share of the tokens of its class."""
-    own = F.col("word") % (side * side)
+    own = F.col("word") % side**DIGITS
     classes = materialise(counts.groupBy(own.alias("class")).agg(F.sum("n").alias("all")), "lm-classes")
     shares = counts.join(small(classes, 16), own == F.col("class")).select("word", "n", F.log(F.col("n") / F.col("all")).alias("share"))
     return materialise(shares, "lm-shares")
@@ -278,10 +302,10 @@ def score(docs: DataFrame, weights: Weights | None = None, id_col: str = "doc_id
     Words are counted over ``docs``, also where trained weights are given.
     """
     rows = id_and_text(docs, id_col, text_col)
-    counts = materialise(rows.mapInArrow(_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-counts")
+    counts = materialise(_counted(rows), "lm-counts")
     if weights is None:
-        weights = train(rows, side=side_of(counts.count()))
-    side = len(weights["high_bias"])
+        weights = train(rows, side=side_of(counts.count()), counts=counts)
+    side = side_in(weights)
     shares = _shares(counts, side)
     total = counts.agg(F.sum("n")).first()[0] or 0
     often = shares.where(F.col("n") >= total * FREQUENT).select("word", "share").orderBy("word").toArrow()
@@ -305,7 +329,7 @@ def score(docs: DataFrame, weights: Weights | None = None, id_col: str = "doc_id
                     there = known[at] == own if len(known) else np.zeros(len(own), bool)
                     inside.append(float(share[at[there]].sum()))
                     left.append([{"word": w, "times": n} for w, n in zip(*(x.tolist() for x in np.unique(own[~there], return_counts=True)), strict=True)])
-                sums += [a + b for a, b in zip(log_sums(sent.value, [w % (side * side) for w in words]), inside, strict=True)]
+                sums += [a + b for a, b in zip(log_sums(sent.value, [w % side**DIGITS for w in words]), inside, strict=True)]
                 rare += left
             columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), pa.array(rare, pa.list_(pa.struct([("word", pa.int64()), ("times", pa.int64())])))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "sum", "rare"])
@@ -321,8 +345,7 @@ def score(docs: DataFrame, weights: Weights | None = None, id_col: str = "doc_id
 
 def log_sums(w: Weights, texts: list[np.ndarray]) -> list[float]:
     """Summed log-probabilities of each text's classes; REACH edges between texts keep them apart."""
-    side = len(w["high_bias"])
-    edge = side * side
+    edge = side_in(w) ** DIGITS
     gap = np.full(REACH, edge)
     joined = np.concatenate([x for t in texts for x in (t, gap)] or [gap])
     real = np.flatnonzero(joined != edge)

@@ -36,7 +36,9 @@ def slow(w, tokens):
     for i, t in enumerate(tokens):
         near = [tokens[i + k] if 0 <= i + k < len(tokens) else lm.EDGE for k in range(-lm.REACH, lm.REACH + 1) if k]
         h = np.maximum(np.concatenate([w["embed"][n] for n in near]) @ w["mix"] + w["bias"], 0)
-        for logits, own in ((h @ w["out"][:, : lm.SIDE] + w["high_bias"], t // lm.SIDE), (h @ w["out"][:, lm.SIDE :] + w["low_given"][t // lm.SIDE], t % lm.SIDE)):
+        high, middle, low = t // 256, t // 16 % 16, t % 16  # SIDE is 16, three digits
+        for k, own in enumerate((high, middle, low)):
+            logits = h @ w["out"][:, 16 * k : 16 * k + 16] + w["share"][16 * high + middle, 16 * k : 16 * k + 16]
             total += logits[own] - logits.max() - np.log(np.exp(logits - logits.max()).sum())
     return total
 
@@ -61,7 +63,8 @@ def test_gradients_match_differences():
 
     new = {k: v.copy() for k, v in w.items()}
     lm.step(new, context, target, 1.0)
-    for name in w:
+    assert (new[lm.FIXED] == w[lm.FIXED]).all()
+    for name in w.keys() - {lm.FIXED}:
         slope = (w[name] - new[name]).reshape(-1)
         for i in np.argsort(-np.abs(slope))[:3]:
             ends = []
@@ -72,6 +75,15 @@ def test_gradients_match_differences():
             assert abs((ends[0] - ends[1]) / 2e-5 - slope[i]) < 1e-4
 
 
+def test_untrained_biases_are_the_frequencies():
+    """Without a context's say, a class has its share of the tokens, one more counted for each class."""
+    tokens_of = np.random.default_rng(7).integers(0, 50, lm.EDGE)
+    w = lm.fresh_weights() | {lm.FIXED: lm.biases(tokens_of)}
+    target = np.arange(lm.EDGE)
+    got = lm.log_probability(w, np.zeros((lm.EDGE, 2 * lm.REACH), int), target)
+    assert np.allclose(np.exp(got), (tokens_of + 1) / (tokens_of.sum() + lm.EDGE), rtol=1e-4)
+
+
 def test_trained_model_prefers_natural_order(spark):
     """Sentences of a small grammar against the same words shuffled."""
     rng = np.random.default_rng(4)
