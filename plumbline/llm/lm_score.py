@@ -293,6 +293,15 @@ def _shares(counts: DataFrame, side: int) -> DataFrame:
     return materialise(shares, "lm-shares")
 
 
+def _numbers(text: np.ndarray, words: np.ndarray, n_texts: int) -> pa.Array:
+    """Each text's words with their number in it, as lists of structs."""
+    order = np.lexsort((words, text))
+    text, words = text[order], words[order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(words)), bool), (words[1:] != words[:-1]) | (text[1:] != text[:-1])]))
+    entries = pa.StructArray.from_arrays([pa.array(words[first], pa.int64()), pa.array(np.diff(np.append(first, len(words))), pa.int64())], ["word", "times"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(text[first], np.arange(n_texts + 1)), pa.int32()), entries)
+
+
 SCORED = "doc_id long, n_tokens long, sum double, rare array<struct<word:long,times:long>>"
 
 
@@ -318,20 +327,18 @@ def score(docs: DataFrame, weights: Weights | None = None, id_col: str = "doc_id
         for batch in batches:
             sizes: list[int] = []
             sums: list[float] = []
-            rare: list[list[dict[str, int]]] = []
+            rare: list[pa.Array] = []
             # Short documents go through the network together.
             for part in parts_of(batch.column(1)):
-                words = list(texts_of(part))
-                sizes += map(len, words)
-                inside, left = [], []
-                for own in words:
-                    at = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
-                    there = known[at] == own if len(known) else np.zeros(len(own), bool)
-                    inside.append(float(share[at[there]].sum()))
-                    left.append([{"word": w, "times": n} for w, n in zip(*(x.tolist() for x in np.unique(own[~there], return_counts=True)), strict=True)])
-                sums += [a + b for a, b in zip(log_sums(sent.value, [w % side**DIGITS for w in words]), inside, strict=True)]
-                rare += left
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), pa.array(rare, pa.list_(pa.struct([("word", pa.int64()), ("times", pa.int64())])))]
+                words, own = words_in(part)
+                text = np.repeat(np.arange(len(own)), own)
+                at = np.minimum(np.searchsorted(known, words), max(0, len(known) - 1))
+                there = known[at] == words if len(known) else np.zeros(len(words), bool)
+                inside = np.bincount(text[there], share[at[there]], len(own)) if there.any() else np.zeros(len(own))
+                sizes += own.tolist()
+                sums += (inside + log_sums(sent.value, np.split(words % side**DIGITS, np.cumsum(own)[:-1]))).tolist()
+                rare.append(_numbers(text[~there], words[~there], len(own)))
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), pa.concat_arrays(rare or [_numbers(*np.zeros((2, 0), int), 0)])]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "sum", "rare"])
 
     # Numbered and written once, so that rows find their rare words' shares again; equal texts are rows of their own.
@@ -343,16 +350,16 @@ def score(docs: DataFrame, weights: Weights | None = None, id_col: str = "doc_id
     return out.select("*", F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens")).otherwise(0.0).alias("pll_per_token"))
 
 
-def log_sums(w: Weights, texts: list[np.ndarray]) -> list[float]:
+def log_sums(w: Weights, texts: list[np.ndarray]) -> np.ndarray:
     """Summed log-probabilities of each text's classes; REACH edges between texts keep them apart."""
     edge = side_in(w) ** DIGITS
-    gap = np.full(REACH, edge)
-    joined = np.concatenate([x for t in texts for x in (t, gap)] or [gap])
-    real = np.flatnonzero(joined != edge)
-    out = np.zeros(len(joined))
-    for a in range(0, len(real), CHUNK):
-        at = real[a : a + CHUNK]
-        out[at] = log_probability(w, windows(joined, at, edge), joined[at])
-    ends = np.cumsum([len(t) + REACH for t in texts])
-    total = np.concatenate([[0.0], np.cumsum(out)])
-    return [float(total[e - REACH] - total[e - REACH - len(t)]) for e, t in zip(ends, texts, strict=True)]
+    sizes = [len(x) for x in texts]
+    tokens, text = np.concatenate([*texts, np.zeros(0, np.int64)]).astype(np.int64), np.repeat(np.arange(len(texts)), sizes)
+    if not len(tokens):
+        return np.zeros(len(texts))
+    places = np.arange(len(tokens)) + REACH * text
+    apart = np.full(places[-1] + 1, edge)
+    apart[places] = tokens
+    near = windows(apart, places, edge)
+    each = [log_probability(w, near[a : a + CHUNK], tokens[a : a + CHUNK]) for a in range(0, len(tokens), CHUNK)]
+    return np.bincount(text, np.concatenate(each), len(texts))
