@@ -15,7 +15,7 @@ most tokens are broadcast, the others of each row are joined by shuffle.
 
 Training is data-parallel: each task starts from the same weights, runs stochastic
 gradient descent over all its documents, every position being a target, and returns its weights,
-which Spark averages entry by entry, weighted by targets. The driver holds one set of weights.
+which Spark averages block by block, weighted by targets. The driver holds one set of weights.
 
 Defined results: null, empty and blank texts have no tokens and a score of 0, per token too; repeated rows
 are scored row by row; an empty table gives an empty result (and untrained weights); other columns are ignored.
@@ -210,6 +210,30 @@ def step(w: Weights, context: np.ndarray, target: np.ndarray, rate: float) -> No
     w["embed"][ranked[first]] -= rate * np.add.reduceat(dx[order], first, axis=0)
 
 
+BLOCKS, BLOCK = "block long, seen long, part binary", 4096
+
+
+def _blocks(numbers: Iterable[int], seen: Iterable[int], parts: Iterable[bytes]) -> pa.RecordBatch:
+    columns = [pa.array(list(numbers), pa.int64()), pa.array(list(seen), pa.int64()), pa.array(list(parts), pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["block", "seen", "part"])
+
+
+def _average(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The mean of each block of weights over the tasks, weighted by the targets they saw; all rows of a block are here.
+
+    Only the sums are held: at most one set of weights.
+    """
+    sums: dict[int, np.ndarray] = {}
+    seen: dict[int, int] = {}
+    for batch in batches:
+        for block, n, part in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+            own = np.frombuffer(part, np.float32).astype(np.float64) * n
+            sums[block] = sums[block] + own if block in sums else own
+            seen[block] = seen.get(block, 0) + n
+    if sums:
+        yield _blocks(sums, seen.values(), [(v / seen[k]).astype(np.float32).tobytes() for k, v in sums.items()])
+
+
 def train(rows: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE, side: int = SIDE, counts: DataFrame | None = None) -> Weights:
     """Weights after local descent over all documents of (doc_id, text) and averaging, round by round.
 
@@ -255,16 +279,14 @@ def train(rows: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE, side: int
             if held:
                 flush()
             if seen:
-                values = np.concatenate([w[name].reshape(-1) for name, _, _ in shapes]).astype(np.float64) * seen
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(len(values) + 1)), pa.array(np.append(values, seen))], ["i", "v"]
-                )
-
-        sums = rows.select("doc_id", "text").mapInArrow(descend, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
-        total = np.zeros(len(flat) + 1)
-        total[sums.column("i").to_numpy()] = sums.column("v").to_numpy()
-        if total[-1]:
-            flat, at, weights = (total[:-1] / total[-1]).astype(np.float32), 0, {}
+                values = np.concatenate([w[name].reshape(-1) for name, _, _ in shapes])
+                parts = [values[i : i + BLOCK].tobytes() for i in range(0, len(values), BLOCK)]
+                yield _blocks(range(len(parts)), [seen] * len(parts), parts)
+
+        sums = rows.select("doc_id", "text").mapInArrow(descend, BLOCKS).repartition("block").mapInArrow(_average, BLOCKS).toArrow()
+        parts = dict(zip(sums.column("block").to_pylist(), sums.column("part").to_pylist(), strict=True))
+        if parts:
+            flat, at, weights = np.frombuffer(b"".join(parts[i] for i in range(len(parts))), np.float32), 0, {}
             for name, shape, size in shapes:
                 weights[name] = flat[at : at + size].reshape(shape)
                 at += size

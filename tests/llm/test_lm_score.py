@@ -141,3 +141,15 @@ def test_rare_words_by_shuffle_give_the_same(spark, monkeypatch):
 
 def test_classes_grow_with_the_vocabulary():
     assert lm.side_of(10) == lm.SIDE < lm.side_of(10**6) < lm.side_of(10**7)
+
+
+def test_weights_are_the_mean_over_tasks(spark):
+    """Two tasks of unlike sizes against each trained alone, averaged by hand."""
+    rng = np.random.default_rng(8)
+    texts = [(i, " ".join(f"w{k}" for k in rng.integers(0, 30, 200))) for i in range(9)]
+    few, many = (spark.createDataFrame(x, "doc_id long, text string").coalesce(1) for x in (texts[:3], texts[3:]))
+    both = few.union(many)
+    counts = lm._counted(both)
+    a, b, got = (lm.train(x, counts=counts) for x in (few, many, both))
+    for name, values in got.items():
+        assert values.shape == a[name].shape and np.allclose(values, (a[name] + 2 * b[name]) / 3, atol=1e-6)
