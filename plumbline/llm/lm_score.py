@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import id_and_text, materialise, one_thread, small
 
 SIDE, DIGITS, REACH, WIDTH, HIDDEN = 16, 3, 2, 24, 64
-STRIDE, ROUNDS, BATCH, RATE, SEED = 1, 1, 256, 1.0, 11
+STRIDE, ROUNDS, BATCH, RATE, SEED = 1, 1, 512, 2.0, 11
 EDGE = SIDE**DIGITS  # stands before the first and after the last token; the number of classes for other sides
 #: Words with at least this fraction of all tokens are broadcast: 20,000 at most.
 FREQUENT = 1 / 20_000
