@@ -38,7 +38,7 @@ STRIDE, ROUNDS, BATCH, RATE, SEED = 1, 1, 512, 2.0, 11
 EDGE = SIDE**DIGITS  # stands before the first and after the last token; the number of classes for other sides
 #: Words with at least this fraction of all tokens are broadcast: 20,000 at most.
 FREQUENT = 1 / 20_000
-CHUNK = 512
+CHUNK, TILE = 512, 64
 #: The weights that come from counts of the corpus and aren't descended.
 FIXED = "share"
 Weights = dict[str, np.ndarray]
@@ -382,6 +382,9 @@ def log_sums(w: Weights, texts: list[np.ndarray]) -> np.ndarray:
     places = np.arange(len(tokens)) + REACH * text
     apart = np.full(places[-1] + 1, edge)
     apart[places] = tokens
-    near = windows(apart, places, edge)
-    each = [log_probability(w, near[a : a + CHUNK], tokens[a : a + CHUNK]) for a in range(0, len(tokens), CHUNK)]
-    return np.bincount(text, np.concatenate(each), len(texts))
+    # Matrix products round the last rows of odd sizes in another way: whole tiles give equal texts equal sums.
+    spare = -len(tokens) % TILE
+    near = np.concatenate([windows(apart, places, edge), np.full((spare, 2 * REACH), edge)])
+    goal = np.concatenate([tokens, np.zeros(spare, np.int64)])
+    each = [log_probability(w, near[a : a + CHUNK], goal[a : a + CHUNK]) for a in range(0, len(goal), CHUNK)]
+    return np.bincount(text, np.concatenate(each)[: len(tokens)], len(texts))
