@@ -6,6 +6,7 @@ distance of all windows; tests hold those against brute-force versions.
 
 from __future__ import annotations
 
+from . import merkle_sql
 from .license_scan import PERCENT, TEMPLATES, template_bigrams, template_words
 
 _CONTROL = r"(<)(\||/?s>|</?SYS>>|</SYS>>)|(\[)(/?INST\])"
@@ -56,4 +57,4 @@ SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, doc_id=compo
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": CHAT, "op5_license_scan": license_sql(), "op8_minhash_dedup": NEAR_DUPLICATES}
+    return {"op1_chat_format": CHAT, "op5_license_scan": license_sql(), "op8_minhash_dedup": NEAR_DUPLICATES, "op11_merkle_manifest": merkle_sql.MANIFEST}

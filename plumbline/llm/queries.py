@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontamination, license_scan, lm_score, minhash_dedup, packing, pii, quality_classifier, quality_rules, secret_scan
+from . import chat_format, decontamination, license_scan, lm_score, merkle, minhash_dedup, packing, pii, quality_classifier, quality_rules, secret_scan
 from .oracles import oracle_sql as oracle_sql  # noqa: PLC0414
 
 
@@ -61,6 +61,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
@@ -73,5 +77,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_minhash_dedup": op8_minhash_dedup,
         "op9_packing": op9_packing,
         "op10_quality_classifier": op10_quality_classifier,
+        "op11_merkle_manifest": op11_merkle_manifest,
         "pipeline": corpus_pipeline.run,
     }
