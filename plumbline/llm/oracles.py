@@ -56,5 +56,10 @@ r AS (SELECT doc_id AS x, doc_id AS y FROM s UNION SELECT r.x, m.y FROM r JOIN m
 SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, doc_id=component_id AS kept FROM s JOIN c ON c.x=s.doc_id"""
 
 
+EXACT_DUPLICATES = """WITH t AS (SELECT doc_id, coalesce(text,'') AS text FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY text) AS keep_id, count(*) OVER (PARTITION BY text) AS group_size,
+  row_number() OVER (PARTITION BY text ORDER BY doc_id DESC NULLS LAST)=1 AS kept, sha256(text) AS text_sha256 FROM t"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": CHAT, "op5_license_scan": license_sql(), "op8_minhash_dedup": NEAR_DUPLICATES, "op11_merkle_manifest": merkle_sql.MANIFEST}
+    return {"op1_chat_format": CHAT, "op5_license_scan": license_sql(), "op8_minhash_dedup": NEAR_DUPLICATES, "op11_merkle_manifest": merkle_sql.MANIFEST, "op12_exact_dedup": EXACT_DUPLICATES}

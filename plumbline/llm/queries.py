@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontamination, license_scan, lm_score, merkle, minhash_dedup, packing, pii, quality_classifier, quality_rules, secret_scan
+from . import chat_format, decontamination, exact_dedup, license_scan, lm_score, merkle, minhash_dedup, packing, pii, quality_classifier, quality_rules, secret_scan
 from .oracles import oracle_sql as oracle_sql  # noqa: PLC0414
 
 
@@ -65,6 +65,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(_documents(spark, sf_dir))
 
 
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.groups(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
@@ -78,5 +82,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_packing": op9_packing,
         "op10_quality_classifier": op10_quality_classifier,
         "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_exact_dedup": op12_exact_dedup,
         "pipeline": corpus_pipeline.run,
     }
