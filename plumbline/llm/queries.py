@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontamination, exact_dedup, license_scan, lm_score, merkle, minhash_dedup, packing, pii, quality_classifier, quality_rules, secret_scan
+from . import chat_format, decontamination, exact_dedup, license_scan, lm_score, merkle, minhash_dedup, packing, pii, quality_classifier, quality_rules, secret_scan, whitening
 from .oracles import oracle_sql as oracle_sql  # noqa: PLC0414
 
 
@@ -69,6 +69,10 @@ def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(_documents(spark, sf_dir))
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
@@ -83,5 +87,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_quality_classifier": op10_quality_classifier,
         "op11_merkle_manifest": op11_merkle_manifest,
         "op12_exact_dedup": op12_exact_dedup,
+        "op13_embedding_whitening": op13_embedding_whitening,
         "pipeline": corpus_pipeline.run,
     }
