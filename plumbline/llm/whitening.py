@@ -71,7 +71,7 @@ def components(cov: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _whitener(shared, n: int, total: list[int], reach: int):
-    """Batches of vec_id and x to vec_id, deviation and the whitened coordinates."""
+    """Batches of vec_id, no_id and x to vec_id, no_id, deviation and the whitened coordinates."""
     whole, rest = [s // n for s in total], [s % n for s in total]
     fits = (reach + 1) * n < LONG and ((reach + 1) * n) ** 2 * len(total) < LONG
 
@@ -88,7 +88,7 @@ def _whitener(shared, n: int, total: list[int], reach: int):
                 deviation = [v if v < LONG else None for v in exact]
             # einsum and not a matrix product: the same row gives the same bits in any batch
             coordinates = np.einsum("ij,jk->ik", d - part, matrix)
-            yield pd.DataFrame({"vec_id": batch["vec_id"].astype("Int64"), "deviation": pd.array(deviation, "Int64"), "w": list(coordinates)})
+            yield pd.DataFrame({"vec_id": batch["vec_id"], "no_id": batch["no_id"], "deviation": pd.array(deviation, "Int64"), "w": list(coordinates)})
 
     return run
 
@@ -112,8 +112,10 @@ def whiten(vectors: DataFrame, most: int = COMPONENTS, id_col: str = "vec_id", v
     live = [bool(v > len(cov) * np.finfo(float).eps * values[0]) for v in values]
     scale = np.array([v**-0.5 if ok else 0.0 for v, ok in zip(values, live, strict=True)])
     trace = float(np.trace(cov))
-    rows = points.mapInPandas(_whitener(spark.sparkContext.broadcast(axes * scale), n, total, reach), "vec_id long, deviation long, w array<double>")
-    rows = materialise(rows, "whitened")
+    # Pandas would make floats of ids if there were nulls among them.
+    told = points.select(F.coalesce("vec_id", F.lit(0)).alias("vec_id"), F.col("vec_id").isNull().alias("no_id"), "x")
+    rows = told.mapInPandas(_whitener(spark.sparkContext.broadcast(axes * scale), n, total, reach), "vec_id long, no_id boolean, deviation long, w array<double>")
+    rows = materialise(rows.withColumn("vec_id", F.when(~F.col("no_id"), F.col("vec_id"))), "whitened")
     error = identity_error(rows, [k for k, ok in enumerate(live) if ok])
     explained = F.array(*(F.lit(float(v / trace) if trace > 0 else 0.0) for v in values))
     return rows.select("vec_id", "deviation", F.posexplode("w").alias("k", "whitened")).select(

@@ -61,9 +61,10 @@ def test_bad_vectors_go_and_few_dimensions_do(spark):
 
 
 def test_repeated_rows_and_null_ids_count(spark):
-    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (None, [0.0, 1.0]), (2, [0.0, 0.0]), (3, [3.0, 3.5])]
+    rows = [(2**60 + 1, [1.0, 0.0]), (2**60 + 1, [1.0, 0.0]), (None, [0.0, 1.0]), (2, [0.0, 0.0]), (3, [3.0, 3.5])]
     got = whitening.whiten(frame(spark, rows)).collect()
     assert len(got) == 10 and {r["n"] for r in got} == {5} and sum(r["vec_id"] is None for r in got) == 2
+    assert sum(r["vec_id"] == 2**60 + 1 for r in got) == 4
     assert sum(r["whitened"] ** 2 for r in got if r["component"] == 1) == pytest.approx(5)
 
 
