@@ -65,6 +65,14 @@ FROM (SELECT conv_id, turn, text, CASE WHEN conv_id%11=0 THEN 1 WHEN (conv_id+tu
         "lineitem",
         "SELECT l_orderkey AS mother, l_linenumber AS probe, concat('img', l_orderkey%5, CASE WHEN l_suppkey%9=0 THEN 'x' ELSE '' END) AS first_image, CASE WHEN l_orderkey%2=0 THEN concat('img', l_orderkey%7) END AS second_image FROM {lineitem}",
     ),
+    # Settings of adapters as nested JSON; keys of credentials stand at several depths, in several cases, and as plain values.
+    "settings": (
+        "customer",
+        """SELECT c_custkey AS id, concat('{{"name":"', c_name, '","segment":"', c_mktsegment, '","nation":', c_nationkey, ',"balance":', CAST(floor(c_acctbal) AS BIGINT), CASE WHEN c_nationkey=7 THEN ',"extra":null' ELSE '' END,
+  CASE WHEN c_nationkey%6=0 THEN ',"password_hint":"password"' ELSE '' END, ',"models":[{{"id":"m', c_custkey%5, '","limits":{{"tokens":', c_custkey%700, CASE WHEN c_nationkey=3 THEN ',"API_Key":"x"' ELSE '' END, '}}}}',
+  CASE WHEN c_nationkey%4=1 THEN concat(',{{"id":"', c_mktsegment, '","inner":[{{"limits":{{"tokens":-1}}}},{{"Secret":null,"id":2.5}}]}}') ELSE '' END, ']', CASE WHEN c_nationkey=11 THEN ',"name":"twice"' ELSE '' END, '}}') AS record, c_name, c_mktsegment, c_nationkey, c_acctbal
+FROM {customer}""".replace("{{", "{").replace("}}", "}"),
+    ),
     # Sources of records with nullable image slots, an answer that may be JSON, and options with ids or labels.
     "sources": (
         "customer",
