@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from plumbline.operators import json_schema, key_walk
-from plumbline.sources import shared
+from plumbline.sources import images, shared
 
 from .base import Plan
 
@@ -75,4 +76,22 @@ add(
     f"""WITH {_TREE} SELECT id, path, key FROM t WHERE lower(key) IN ('api_key','access_token','auth_token','authorization','password','secret') UNION ALL SELECT id, '', NULL FROM settings WHERE c_nationkey=11""",
 )
 
+
+# Images
+
+_FAULTS = "CASE shape WHEN 1 THEN 'no_header_chunk' WHEN 4 THEN 'no_frame' WHEN 5 THEN 'segment_length' WHEN 6 THEN 'truncated_frame' WHEN 7 THEN 'marker' WHEN 8 THEN 'truncated_marker' WHEN 9 THEN 'unsupported' WHEN 10 THEN 'missing' END"
+_FOUND = f"SELECT *, {_FAULTS} AS code, CASE WHEN shape=0 THEN 'image/png' WHEN shape IN (2,3) THEN 'image/jpeg' END AS mime FROM image_files"
+
+
+def _images(files: DataFrame) -> DataFrame:
+    return images.with_headers(files.select("path", F.unhex("hex").alias("content")))
+
+
+add("s09_image_headers", "image_files", _images, f"SELECT path, mime, CASE WHEN code IS NULL THEN width END AS width, CASE WHEN code IS NULL THEN height END AS height, code FROM ({_FOUND}) x")
+add(
+    "h06_dimension_issues", "image_files",
+    lambda f: images.dimension_issues(_images(f).where("code IS NULL OR code <> 'missing'"), f.select("path", F.col("want_mime").alias("mime"), F.col("want_width").alias("width"), F.col("want_height").alias("height"))),
+    f"""SELECT * FROM (SELECT path, CASE WHEN code='missing' THEN 'missing' WHEN code IS NOT NULL THEN 'unreadable:'||code WHEN mime<>want_mime THEN 'mime' WHEN width<>want_width OR height<>want_height THEN 'dimensions' END AS code FROM ({_FOUND}) x) y WHERE code IS NOT NULL""",
+)
+
 QUERIES, ORACLES = plan.queries, plan.oracles

@@ -72,6 +72,15 @@ FROM (SELECT conv_id, turn, text, CASE WHEN conv_id%11=0 THEN 1 WHEN (conv_id+tu
   CASE WHEN c_nationkey%6=0 THEN ',"password_hint":"password"' ELSE '' END, ',"models":[{{"id":"m', c_custkey%5, '","limits":{{"tokens":', c_custkey%700, CASE WHEN c_nationkey=3 THEN ',"API_Key":"x"' ELSE '' END, '}}}}',
   CASE WHEN c_nationkey%4=1 THEN concat(',{{"id":"', c_mktsegment, '","inner":[{{"limits":{{"tokens":-1}}}},{{"Secret":null,"id":2.5}}]}}') ELSE '' END, ']', CASE WHEN c_nationkey=11 THEN ',"name":"twice"' ELSE '' END, '}}') AS record, c_name, c_mktsegment, c_nationkey, c_acctbal
 FROM {customer}""".replace("{{", "{").replace("}}", "}"),
+    ),
+    # Image files as hex text, with what their records declare: PNG, JPEG with and without fill bytes and other segments, and broken ones.
+    "image_files": (
+        "part",
+        """SELECT path, shape, want_mime, want_width, want_height, width, height, CASE shape WHEN 0 THEN concat('89504E470D0A1A0A0000000D49484452', w8, h8, '0806000000', '00000000') WHEN 1 THEN concat('89504E470D0A1A0A0000000D74455874', w8, h8, '0806000000', '00000000')
+  WHEN 2 THEN concat('FFD8', 'FFE00004AAAA', 'FFFFFFDB0003BB', 'FFC2000B08', h4, w4, '01011100', 'FFDA') WHEN 3 THEN concat('FFD8FF01FFD0FFC4000300FFC0000808', h4, w4, 'FF', 'FFD9') WHEN 4 THEN concat('FFD8FFE00004AAAAFFDA0003BB', h4, w4)
+  WHEN 5 THEN concat('FFD8', 'FFE0F004', w4, h4) WHEN 6 THEN concat('FFD8FFC00007', h4, w4, '000000') WHEN 7 THEN concat('FFD8', 'FFE00004AAAA', 'BB', h4, w4) WHEN 8 THEN concat('FFD8', 'FFE00004AAAA', 'FFFFFF') WHEN 9 THEN concat('474946383961', w4, h4) END AS hex
+FROM (SELECT *, lpad(hexed_w, 8, '0') AS w8, lpad(hexed_h, 8, '0') AS h8, lpad(hexed_w, 4, '0') AS w4, lpad(hexed_h, 4, '0') AS h4 FROM (SELECT concat('img/', p_partkey, '.bin') AS path, CAST(length(p_name)*p_size%11 AS INT) AS shape, CASE WHEN p_brand='Brand#13' THEN 'image/gif' WHEN length(p_name)*p_size%11<2 THEN 'image/png' ELSE 'image/jpeg' END AS want_mime,
+  CAST(floor(p_retailprice) AS BIGINT) AS want_width, CAST(p_size AS BIGINT) AS want_height, CAST(floor(p_retailprice) AS BIGINT)+CASE WHEN p_size=9 THEN 1 ELSE 0 END AS width, CAST(p_size AS BIGINT) AS height, hex(CAST(floor(p_retailprice) AS BIGINT)+CASE WHEN p_size=9 THEN 1 ELSE 0 END) AS hexed_w, hex(CAST(p_size AS BIGINT)) AS hexed_h FROM {part}) x) y""",
     ),
     # Sources of records with nullable image slots, an answer that may be JSON, and options with ids or labels.
     "sources": (
