@@ -78,7 +78,8 @@ UNITS = ("kg", "g", "mg", "m", "cm", "mm", "km", "s", "ms", "A", "mA", "V", "mV"
 _SIGNED = r"[+-]?(?:[0-9]+(?:\.[0-9]+)?|\.[0-9]+)"
 _MEASURE = re.compile(rf"({_SIGNED})[ \t\u00a0\u202f]*({'|'.join(UNITS)})")
 _DELIMITED = re.compile(r"\$\$(?P<a>.+)\$\$|\\\((?P<b>.+)\\\)|\\\[(?P<c>.+)\\\]|\$(?P<d>.+)\$", re.S)
-_MARKUP = re.compile(r"\\(?:mathrm|text)\{(?P<plain>[A-Za-z]+)\}|(?P<space>\\[,;:! ])|(?P<minus>\u2212)|(?P<other>[\\$])")
+_WRAPPED = re.compile(r"\\(?:mathrm|text)\{([A-Za-z]+)\}")
+_SPACING = ("\\,", "\\;", "\\:", "\\!", "\\ ")
 
 
 def _seen(text: str | None) -> str | None:
@@ -94,9 +95,9 @@ def ocr_literal(text: str | None) -> str | None:
 
 
 def ocr_label(text: str | None) -> str | None:
-    """Normal form of a label: one outer pair of math delimiters goes, then one pass over its markup; None for other markup.
+    """Normal form of a label: one outer pair of math delimiters goes, then wrappers around letters, then each kind of spacing in turn.
 
-    A number and a known unit are parted by one blank.
+    None for other markup. A number and a known unit are parted by one blank.
     """
     s = _seen(text)
     if s is not None and s.startswith(("$", "\\(", "\\[")):
@@ -104,13 +105,10 @@ def ocr_label(text: str | None) -> str | None:
         s = inner[inner.lastgroup].strip() if inner else None
     if s is None:
         return None
-    out, at = [], 0
-    for m in _MARKUP.finditer(s):
-        if m["other"]:
-            return None
-        out += [s[at : m.start()], m["plain"] or ("-" if m["minus"] else " ")]
-        at = m.end()
-    s = _seen("".join([*out, s[at:]]))
+    s = _WRAPPED.sub(r"\1", s)
+    for command in _SPACING:  # what one leaves behind may be another
+        s = s.replace(command, " ")
+    s = None if "$" in s or "\\" in s else _seen(s.replace("\u2212", "-"))
     measure = _MEASURE.fullmatch(s) if s else None
     return " ".join(measure.groups()) if measure else s
 

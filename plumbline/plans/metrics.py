@@ -226,7 +226,7 @@ plan.add(
     "a19_bootstrap_hash", a19_bootstrap, "probes",
     f"""WITH p AS (SELECT * FROM {{probes}} WHERE paired AND b_raw IS NOT NULL),
 cl AS (SELECT cluster_id, row_number() OVER (ORDER BY cluster_id)-1 AS ix FROM (SELECT DISTINCT cluster_id FROM p) q), n AS (SELECT count(*) AS n FROM cl),
-dr AS (SELECT r, ('0x'||substr(sha256(concat('{SEED}',':',r,':',slot)),1,8))::BIGINT % n.n AS ix FROM n, range({REPLICATES}) a(r), LATERAL (SELECT unnest(range(n.n)) AS slot) s),
+dr AS (SELECT r, ('0x'||substr(sha256(concat('{SEED}',':',r,':',slot//8)),1+8*(slot%8),8))::BIGINT % n.n AS ix FROM n, range({REPLICATES}) a(r), LATERAL (SELECT unnest(range(n.n)) AS slot) s),
 mu AS (SELECT r, cluster_id, count(*) AS c FROM dr JOIN cl USING (ix) GROUP BY 1,2),
 pm AS (SELECT cluster_id, probe_type, problem_id, avg(b_raw) AS a, avg(b_gold) AS b FROM p GROUP BY 1,2,3), cm AS (SELECT cluster_id, probe_type, count(*) AS k, sum(a) AS a, sum(b) AS b FROM pm GROUP BY 1,2),
 ty AS (SELECT r, probe_type, sum(c*a)/sum(c*k) AS a, sum(c*b)/sum(c*k) AS b FROM mu JOIN cm USING (cluster_id) GROUP BY 1,2),

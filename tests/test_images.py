@@ -54,13 +54,13 @@ def test_cut_files_never_give_a_size_or_an_error():
 def test_files_are_read_and_declarations_checked(spark, tmp_path):
     rng = random.Random(3)
     long = b"\xff\xd8" + (b"\xff\xe1\xff\xff" + b"x" * 65533) * 2 + jpeg(rng, 40, 30)[2:]
-    files = {"a/one.png": png(7, 9), "two.jpg": long, "bad.bin": b"GIF89a", "empty.jpg": b""}
+    files = {"a/one.png": png(7, 9), "two.jpg": long, "bad.bin": b"GIF89a", "short.jpg": b"\xff\xd8"}
     for name, data in files.items():
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_bytes(data)
     rows = images.read_images(spark, str(tmp_path))
     got = {r.path.rpartition("/")[2]: (r.mime, r.width, r.height, r.code) for r in rows.collect()}
-    assert got == {"one.png": ("image/png", 7, 9, None), "two.jpg": ("image/jpeg", 40, 30, None), "bad.bin": (None, None, None, "unsupported"), "empty.jpg": (None, None, None, "unsupported")}
+    assert got == {"one.png": ("image/png", 7, 9, None), "two.jpg": ("image/jpeg", 40, 30, None), "bad.bin": (None, None, None, "unsupported"), "short.jpg": (None, None, None, "no_frame")}
     short = rows.withColumn("path", images.F.substring_index("path", "/", -1))
     declared = spark.createDataFrame([("one.png", "image/png", 7, 9), ("two.jpg", "image/jpeg", 30, 40), ("bad.bin", "image/png", 1, 1), ("none.png", "image/png", 1, 1), ("one.png", "image/jpeg", 7, 9)], "path string, mime string, width long, height long")
     assert sorted(map(tuple, images.dimension_issues(short, declared).collect())) == [("bad.bin", "unreadable:unsupported"), ("none.png", "missing"), ("one.png", "mime"), ("two.jpg", "dimensions")]
