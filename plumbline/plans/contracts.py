@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators import json_schema, key_walk
-from plumbline.sources import images, shared
+from plumbline.operators import json_schema, key_walk, roots
+from plumbline.operators.components import shared_folder
+from plumbline.sources import images, release, shared
 
 from .base import Plan
 
@@ -77,6 +79,79 @@ add(
 )
 
 
+# Releases and roots
+
+
+def _place(df: DataFrame, name: str) -> str:
+    return f"{shared_folder(df.sparkSession)}/plumbline/{name}-{uuid.uuid4().hex}"
+
+
+def k04_staged_release(p: DataFrame) -> DataFrame:
+    """Items of a release read back from its verified folder; whether a writer that failed first left anything, and a second one was refused."""
+    spark, final = p.sparkSession, _place(p, "release")
+    items = p.select(F.col("item").cast("string").alias("instance_id"), "user_text")
+    left, refused = True, False
+    try:
+        with release.staged(spark, final) as stage:
+            items.write.json(f"{stage}/public/items")
+            raise InterruptedError
+    except InterruptedError:
+        left = release.exists(spark, final)
+    with release.staged(spark, final) as stage:
+        items.write.json(f"{stage}/public/items")
+        p.where("fault < 7").select("item", "fault").write.parquet(f"{stage}/private/truth")
+    try:
+        with release.staged(spark, final):
+            pass
+    except release.PublishError:
+        refused = True
+    rows = spark.read.schema("instance_id string, user_text string").json(release.verified(spark, final) + "/public/items")
+    return rows.select("instance_id", F.sha2("user_text", 256).alias("input_hash"), F.lit(left).alias("left_behind"), F.lit(refused).alias("refused"))
+
+
+add("k04_staged_release", "prompts", k04_staged_release, "SELECT CAST(item AS VARCHAR) AS instance_id, sha256(user_text) AS input_hash, false AS left_behind, true AS refused FROM prompts")
+
+
+def k03_atomic_replace(p: DataFrame) -> DataFrame:
+    """The current version after two replacements; the first one's rows are still there for who reads them."""
+    root = _place(p, "table")
+    release.replace(p.where("fault < 7").select("item", F.lit("first").alias("version")), root)
+    before = release.current(p.sparkSession, root)
+    release.replace(p.select("item", F.lit("second").alias("version")), root)
+    return release.current(p.sparkSession, root).unionByName(before).groupBy("version").agg(F.count(F.lit(1)).alias("rows"), F.min("item").alias("least"), F.max("item").alias("most"))
+
+
+add(
+    "k03_atomic_replace", "prompts", k03_atomic_replace,
+    "SELECT 'second' AS version, count(*) AS rows, min(item) AS least, max(item) AS most FROM prompts UNION ALL SELECT 'first', count(*), min(item), max(item) FROM prompts WHERE fault<7",
+)
+
+
+def _stores(r: DataFrame) -> tuple[roots.Snapshot, roots.Snapshot]:
+    leaves = r.select("id", "version", roots.record_digest(F.col("record"), ("seen",)).alias("digest"))
+    before, after = (roots.snapshot(leaves.where(F.col("version") == v).select("id", "digest")) for v in ("before", "after"))
+    return before, after
+
+
+def h33_roots(r: DataFrame) -> DataFrame:
+    """Root and number of records of both versions."""
+    nodes = [s.nodes.where("depth = 0").select(F.lit(v).alias("version"), "digest", "n") for v, s in zip(("before", "after"), _stores(r), strict=True)]
+    return nodes[0].unionByName(nodes[1])
+
+
+_WORDS = ", ':', ".join(f"CAST(sum(('0x'||substr(w,{8 * i + 1},8))::BIGINT) AS BIGINT)" for i in range(8))
+add(
+    "h33_roots", "review_store", h33_roots,
+    f"""WITH l AS (SELECT version, sha256('='||id) AS place, sha256(sha256(concat('{{"priority":"', o_orderpriority, '","refs":[', o_custkey, ',', o_custkey%7, '],"state":"', state, '"}}'))) AS w FROM review_store),
+b AS (SELECT version, substr(place,1,2) AS p, sha256(concat({_WORDS}, ':', count(*))) AS d, count(*) AS n FROM l GROUP BY 1,2), c AS (SELECT version, substr(p,1,1) AS p, sha256(string_agg(substr(p,2,1)||d, '' ORDER BY p)) AS d, sum(n) AS n FROM b GROUP BY 1,2)
+SELECT version, sha256(string_agg(p||d, '' ORDER BY p)) AS digest, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY version""",
+)
+add(
+    "h24_reverification", "review_store", lambda r: roots.changes(*_stores(r)),
+    """SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'removed' ELSE 'changed' END AS code
+FROM (SELECT * FROM review_store WHERE version='before') a FULL JOIN (SELECT * FROM review_store WHERE version='after') b ON a.id=b.id WHERE a.id IS NULL OR b.id IS NULL OR a.state<>b.state""",
+)
+
 # Images
 
 _FAULTS = "CASE shape WHEN 1 THEN 'no_header_chunk' WHEN 4 THEN 'no_frame' WHEN 5 THEN 'segment_length' WHEN 6 THEN 'truncated_frame' WHEN 7 THEN 'marker' WHEN 8 THEN 'truncated_marker' WHEN 9 THEN 'unsupported' WHEN 10 THEN 'missing' END"

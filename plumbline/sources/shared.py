@@ -72,6 +72,13 @@ FROM (SELECT conv_id, turn, text, CASE WHEN conv_id%11=0 THEN 1 WHEN (conv_id+tu
   CASE WHEN c_nationkey%6=0 THEN ',"password_hint":"password"' ELSE '' END, ',"models":[{{"id":"m', c_custkey%5, '","limits":{{"tokens":', c_custkey%700, CASE WHEN c_nationkey=3 THEN ',"API_Key":"x"' ELSE '' END, '}}}}',
   CASE WHEN c_nationkey%4=1 THEN concat(',{{"id":"', c_mktsegment, '","inner":[{{"limits":{{"tokens":-1}}}},{{"Secret":null,"id":2.5}}]}}') ELSE '' END, ']', CASE WHEN c_nationkey=11 THEN ',"name":"twice"' ELSE '' END, '}}') AS record, c_name, c_mktsegment, c_nationkey, c_acctbal
 FROM {customer}""".replace("{{", "{").replace("}}", "}"),
+    ),
+    # Records of a review store before and after a rebuild: lines go, come and change; ``seen`` changes in every record and means nothing.
+    "review_store": (
+        "orders",
+        """SELECT id, version, concat('{"seen":"', version, '-', id, '","state":"', state, '","priority":"', o_orderpriority, '","refs":[', o_custkey, ',', o_custkey%7, ']}') AS record, state, o_orderpriority, o_custkey
+FROM (SELECT o_orderkey AS id, 'before' AS version, o_orderstatus AS state, o_orderpriority, o_custkey FROM {orders} WHERE substr(o_orderpriority,1,1)<>'5' OR o_custkey%11<>4
+  UNION ALL SELECT o_orderkey, 'after', CASE WHEN o_orderstatus='P' AND o_custkey%5=2 THEN 'settled' ELSE o_orderstatus END, o_orderpriority, o_custkey FROM {orders} WHERE substr(o_orderpriority,1,1)<>'1' OR o_custkey%13<>6) x""",
     ),
     # Image files as hex text, with what their records declare: PNG, JPEG with and without fill bytes and other segments, and broken ones.
     "image_files": (

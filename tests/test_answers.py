@@ -69,7 +69,7 @@ def numeral(rng):
     return rng.choice(("", "+", "-")) + rng.choice((str(rng.randint(0, 999)), f"{rng.randint(0, 9)}.{rng.randint(0, 99)}", f".{rng.randint(0, 99)}"))
 
 
-GAPS = ("", " ", "  ", "\t", " ", "\\,", "\;", "\\:", "\\!", "\\ ", "\\\\,", "\\, \;")
+GAPS = ("", " ", "  ", "\t", " ", "\\,", "\\;", "\\:", "\\!", "\\ ", "\\\\,", "\\, \\;")
 PAIRS = (("", ""), ("$", "$"), ("$$", "$$"), ("\\(", "\\)"), ("\\[", "\\]"))
 
 
