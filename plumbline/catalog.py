@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of ``plumbline.plans``; each has QUERIES and ORACLES.
-MODULES: tuple[str, ...] = ("metrics", "records", "curation", "bundles", "checks", "contracts")
+MODULES: tuple[str, ...] = ("metrics", "records", "curation", "bundles", "checks", "contracts", "streams")
 
 
 def _plans():

@@ -1,19 +1,20 @@
-"""The request journal and submissions as streams.
+"""The request journal and submissions as streams that may be killed and started again at any time.
 
-Folding is per key and monotone, so a stream's final state equals the batch fold over the same rows.
+Folding is per key and monotone, so a stream's final state equals the batch fold over the same rows. Sinks write a
+micro-batch to a folder of its number, so one that comes twice replaces itself.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-OUT = "request_id long, status string, attempt_count long"
-STATE = "attempts long, done int, dead int"
+OUT = "request_id long, status string, reason string, attempt_count long"
+STATE = "attempts long, done int, dead int, last int, last_kind string"
 MAX_ATTEMPTS = 3
 
 
@@ -28,34 +29,54 @@ def status_counts(attempts: DataFrame) -> DataFrame:
 
 
 def first_submissions(submissions: DataFrame, key: str) -> DataFrame:
-    """One immutable row per key: the first to arrive, however late another comes.
+    """One immutable row per key: the first to arrive, however late another comes; of those in one micro-batch any.
 
     Keys are never forgotten, so state grows with the tasks that have an answer; use the RocksDB state store for many.
     """
     return submissions.dropDuplicates([key])
 
 
+def first_in_order(submissions: DataFrame, key: str, order: str) -> DataFrame:
+    """One immutable row per key: of the first micro-batch that has any the one with the least ``order``; nothing changes it later."""
+    schema = submissions.schema
+
+    def take(_: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        best = None
+        for frame in frames:
+            if not state.exists and len(frame):
+                row = frame.sort_values(order).head(1)
+                best = row if best is None or row[order].iloc[0] < best[order].iloc[0] else best
+        if best is not None:
+            state.update((True,))
+            yield best
+
+    return submissions.groupBy(key).applyInPandasWithState(take, schema, "taken boolean", "append", GroupStateTimeout.NoTimeout)
+
+
 def windowed_counts(attempts: DataFrame, time: str = "ts", width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """An extension: counts per event-time window, final once the watermark has passed."""
     return attempts.withWatermark(time, late).groupBy(F.window(time, width), "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _fold(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    attempts, done, dead = state.get if state.exists else (0, -1, -1)
+    attempts, done, dead, last, last_kind = state.get if state.exists else (0, -1, -1, -1, None)
     for frame in frames:
         frame = frame[frame["attempt"] < MAX_ATTEMPTS]
         attempts += len(frame)
-        for name in ("completed", "nonretryable"):
-            seen = frame.loc[frame["kind"] == name, "attempt"]
-            if len(seen):
-                first = int(seen.min())
-                if name == "completed":
-                    done = first if done < 0 else min(done, first)
-                else:
-                    dead = first if dead < 0 else min(dead, first)
-    state.update((attempts, done, dead))
-    status = "completed" if done >= 0 and (dead < 0 or done < dead) else "infrastructure_missing"
-    yield pd.DataFrame({"request_id": [key[0]], "status": [status], "attempt_count": [attempts]})
+        for number, kind in zip(frame["attempt"], frame["kind"], strict=True):
+            if kind == "completed":
+                done = int(number) if done < 0 else min(done, int(number))
+            elif kind == "nonretryable":
+                dead = int(number) if dead < 0 else min(dead, int(number))
+            if number > last:
+                last, last_kind = int(number), kind
+    state.update((attempts, done, dead, last, last_kind))
+    if done >= 0 and (dead < 0 or done < dead):
+        status, reason = "completed", None
+    else:
+        status = "infrastructure_missing"
+        reason = "final_error" if dead >= 0 else "interrupted_request_unknown_response" if last_kind == "started" else "retries_exhausted"
+    yield pd.DataFrame({"request_id": [key[0]], "status": [status], "reason": [reason], "attempt_count": [attempts]})
 
 
 def fold(attempts: DataFrame) -> DataFrame:
@@ -63,7 +84,23 @@ def fold(attempts: DataFrame) -> DataFrame:
     return attempts.groupBy("request_id").applyInPandasWithState(_fold, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-def run_to_end(stream: DataFrame, sink, mode: str, checkpoint: str) -> None:
+def run_to_end(stream: DataFrame, sink: Callable[[DataFrame, int], None], mode: str, checkpoint: str) -> None:
     """All rows that are there now, in micro-batches; ``sink`` (batch, number) must bear repeats."""
     query = stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+def numbered_sink(path: str) -> Callable[[DataFrame, int], None]:
+    """Writes each micro-batch to the folder of its number; a batch that comes again after a crash replaces what it left."""
+
+    def sink(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return sink
+
+
+def latest(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
+    """What a ``numbered_sink`` holds in the end: for each key the row of the last batch that had it."""
+    rows = spark.read.schema(f"{schema}, batch long").parquet(path)
+    columns = [c for c in rows.columns if c not in (key, "batch")]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*columns), "batch").alias("x")).select(key, "x.*")

@@ -1,23 +1,49 @@
+import random
+
+import pytest
+from pyspark.errors import StreamingQueryException
+
 from plumbline.sources import tables
 from plumbline.streaming import journal
 
 SF = "/root/testdata/sf0.001"
 
 
-def test_stream_fold_equals_batch_fold(spark, tmp_path):
-    batch = tables.attempts(spark, SF)
-    batch.repartition(3).write.parquet(str(tmp_path / "in"))
-    stream = journal.events_stream(spark, str(tmp_path / "in"), batch.schema)
-    last = {}
+class Killed(Exception):
+    pass
+
+
+def killed_at(sink, number, after):
+    """A sink that dies once in batch ``number``, before or after it has written."""
+    left = [1]
 
-    def sink(df, _):
-        last.update({r.request_id: (r.status, r.attempt_count) for r in df.collect()})
+    def run(batch, n):
+        if n == number and left and not after:
+            left.pop()
+            raise Killed
+        sink(batch, n)
+        if n == number and left and after:
+            left.pop()
+            raise Killed
 
-    journal.run_to_end(journal.fold(stream), sink, "update", str(tmp_path / "ckpt"))
+    return run
+
+
+@pytest.mark.parametrize("after", [False, True])
+def test_a_killed_fold_ends_as_the_batch_fold(spark, tmp_path, after):
+    batch = tables.attempts(spark, SF)
+    batch.repartition(4).write.parquet(str(tmp_path / "in"))
+    source = lambda: journal.fold(journal.events_stream(spark, str(tmp_path / "in"), batch.schema))
+    sink = killed_at(journal.numbered_sink(str(tmp_path / "out")), 1, after)
+    with pytest.raises(StreamingQueryException):
+        journal.run_to_end(source(), sink, "update", str(tmp_path / "ckpt"))
+    journal.run_to_end(source(), sink, "update", str(tmp_path / "ckpt"))
     from plumbline import catalog
 
-    want = {r.request_id: (r.status, r.attempt_count) for r in catalog.queries()["w07_journal_fold"](spark, SF).collect()}
-    assert {k: v for k, v in last.items() if v[1]} == want
+    got = journal.latest(spark, str(tmp_path / "out"), journal.OUT, "request_id").where("attempt_count > 0")
+    want = catalog.queries()["w07_journal_fold"](spark, SF)
+    rows = lambda df: {(r.request_id, r.status, r.reason, r.attempt_count) for r in df.collect()}
+    assert rows(got) == rows(want) and len({r[2] for r in rows(want)}) > 2
 
 
 def test_first_submission_wins(spark, tmp_path):
@@ -28,3 +54,26 @@ def test_first_submission_wins(spark, tmp_path):
     seen = []
     journal.run_to_end(stream, lambda df, _: seen.extend(r.request_id for r in df.collect()), "append", str(tmp_path / "ckpt"))
     assert len(seen) == len(set(seen)) == batch.select("request_id").distinct().count()
+
+
+def test_first_answers_are_never_changed(spark, tmp_path):
+    """Three deliveries, the second repeated after a kill; a smaller number that comes later changes nothing."""
+    rng = random.Random(3)
+    want, given = {}, [[(rng.randrange(30), rng.randrange(1000)) for _ in range(40)] for _ in range(3)]
+    for rows in given:
+        new = {}
+        for task, seq in rows:
+            if task not in want:
+                new[task] = min(seq, new.get(task, seq))
+        want |= new
+    schema, out = "task long, seq long", str(tmp_path / "out")
+    stream = lambda: journal.first_in_order(journal.events_stream(spark, str(tmp_path / "in"), schema), "task", "seq")
+    sink = killed_at(journal.numbered_sink(out), 1, True)
+    for k, rows in enumerate(given):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        if k == 1:
+            with pytest.raises(StreamingQueryException):
+                journal.run_to_end(stream(), sink, "append", str(tmp_path / "ckpt"))
+        journal.run_to_end(stream(), sink, "append", str(tmp_path / "ckpt"))
+    assert {r.task: r.seq for r in journal.latest(spark, out, schema, "task").collect()} == want
+    assert spark.read.parquet(out).count() == len(want)
