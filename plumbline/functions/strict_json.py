@@ -29,6 +29,12 @@ def _refuse(name):
     raise ValueError(name)
 
 
+def unfenced(text: str) -> str:
+    """What stands within the one code fence that a text is, or the text."""
+    fenced = _FENCE.match(text)
+    return fenced[1] if fenced else text
+
+
 def strict_object(text: str | None) -> dict | None:
     """The object that a text is, within one optional code fence; None for anything else.
 
@@ -36,9 +42,8 @@ def strict_object(text: str | None) -> dict | None:
     """
     if text is None:
         return None
-    fenced = _FENCE.match(text)
     try:
-        out = json.loads(fenced[1] if fenced else text, object_pairs_hook=_unique, parse_constant=_refuse)
+        out = json.loads(unfenced(text), object_pairs_hook=_unique, parse_constant=_refuse)
     except (ValueError, RecursionError):
         return None
     return out if isinstance(out, dict) else None

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.operators import campaign, json_schema, key_walk, roots
+from plumbline.functions import strict_json
+from plumbline.operators import campaign, candidates, capture, json_schema, key_walk, revisions, roots
 from plumbline.operators.components import shared_folder
-from plumbline.sources import images, release, shared, tables
+from plumbline.sources import images, release, shared, tables, workspace
 
 from .base import Plan
 
@@ -170,6 +172,119 @@ add(
 )
 
 
+# Workspaces
+
+_BATCH_CODE = "CASE c_nationkey WHEN 2 THEN 'unreadable' WHEN 4 THEN 'problem_ids_differ' WHEN 9 THEN 'missing:pass4' WHEN 13 THEN 'unknown:pass9' WHEN 17 THEN 'no_problem_id' WHEN 18 THEN 'no_problem_id' END"
+_STAGED = f"""w AS (SELECT id, 'p'||id AS problem, c_nationkey, c_mktsegment, c_name FROM batches WHERE {_BATCH_CODE} IS NULL),
+st AS (SELECT problem, 'pass1' AS stage, concat('{{"nodes":[', c_nationkey, ',1],"problem_id":"', problem, '"}}') AS record FROM w UNION ALL SELECT problem, 'pass2', concat('{{"label":"', c_mktsegment, '","problem_id":"', problem, '"}}') FROM w
+  UNION ALL SELECT problem, 'pass3', concat('{{"problem_id":"', problem, '"}}') FROM w UNION ALL SELECT problem, 'pass4', concat('{{"by":"', c_name, '","problem_id":"', problem, '"}}') FROM w)"""
+
+
+def _workspace(batches: DataFrame) -> DataFrame:
+    """The whole batches split, written by stage, and scanned."""
+    good, _ = workspace.split_stages(batches)
+    workspace.write_workspace(good, root := _place(batches, "workspace"))
+    return workspace.scan_workspace(batches.sparkSession, root)
+
+
+add("h59_split_issues", "batches", lambda b: workspace.split_stages(b)[1], f"SELECT id, {_BATCH_CODE} AS code FROM batches WHERE {_BATCH_CODE} IS NOT NULL")
+add("s08_workspace_scan", "batches", lambda b: _workspace(b).select("problem", "stage", "record", "code"), f"WITH {_STAGED} SELECT problem, stage, record, CAST(NULL AS VARCHAR) AS code FROM st")
+
+#: Contracts of the stages in ``batches``.
+STAGE_SCHEMAS = {
+    "pass1": {"properties": {"nodes": {"items": {"minimum": 1, "maximum": 20}, "uniqueItems": True}}},
+    "pass2": {"required": ["label"], "properties": {"label": {"pattern": "^[A-M]"}}},
+    "pass4": {"properties": {"by": {"pattern": "[13579]$"}}},
+}
+
+
+def h60_summary(batches: DataFrame) -> DataFrame:
+    """All validators over all problems and stages, rolled up."""
+    scan = _workspace(batches)
+    return workspace.summary(scan, workspace.workspace_issues(scan, STAGE_SCHEMAS))
+
+
+add(
+    "h60_workspace_summary", "batches", h60_summary,
+    f"""WITH {_STAGED}, i AS (SELECT problem, 'pass1' AS stage, 'schema:maximum' AS code FROM w WHERE c_nationkey>20 UNION ALL SELECT problem, 'pass1', 'schema:minimum' FROM w WHERE c_nationkey<1 UNION ALL SELECT problem, 'pass1', 'schema:uniqueItems' FROM w WHERE c_nationkey=1
+  UNION ALL SELECT problem, 'pass2', 'schema:pattern' FROM w WHERE c_mktsegment>='N' UNION ALL SELECT problem, 'pass4', 'schema:pattern' FROM w WHERE right(c_name, 1) IN ('0','2','4','6','8'))
+SELECT stage, code, count(*) AS issues, count(DISTINCT problem) AS problems FROM i GROUP BY ROLLUP (stage, code) UNION ALL SELECT stage, 'records', count(*), count(DISTINCT problem) FROM st GROUP BY stage""",
+)
+
+# Units that fail, versions, candidates
+
+
+def _parse(row: dict) -> dict:
+    """Owner and read of a strict answer; what is wrong with it is raised."""
+
+    def once(pairs: list) -> dict:
+        if len(dict(pairs)) < len(pairs):
+            raise capture.UnitError("key_twice")
+        return dict(pairs)
+
+    value = json.loads(strict_json.unfenced(row["response"]), object_pairs_hook=once)
+    if not isinstance(value, dict):
+        raise capture.UnitError("no_object", type(value).__name__)
+    return {"owner": value["owner"].strip(), "read": value.get("read")}
+
+
+def h27_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers that parse and error records of those that don't, from one pass over all."""
+    good, bad = capture.two_outputs(capture.captured(tables.responses(spark, sf_dir).select("probe_id", "response"), "probe_id", _parse, "owner string, read string"))
+    return good.withColumn("code", F.lit(None).cast("string")).unionByName(bad.select("probe_id", F.lit(None).cast("string").alias("owner"), F.lit(None).cast("string").alias("read"), "code"))
+
+
+plan.add(
+    "h27_error_records", h27_errors, "responses",
+    """WITH b AS (SELECT probe_id, CASE WHEN response LIKE '```%' THEN regexp_extract(response, '```json\n(.*)\n```', 1) ELSE response END AS t FROM {responses}),
+c AS (SELECT probe_id, t, CASE WHEN NOT json_valid(t) THEN 'JSONDecodeError' WHEN json_type(t)<>'OBJECT' THEN 'no_object' WHEN len(json_keys(t))>len(list_distinct(json_keys(t))) THEN 'key_twice' WHEN json_extract_string(t, '$.owner') IS NULL THEN 'KeyError' END AS code FROM b)
+SELECT probe_id, CASE WHEN code IS NULL THEN trim(json_extract_string(t, '$.owner')) END AS owner, CASE WHEN code IS NULL THEN json_extract_string(t, '$.read') END AS read, code FROM c""",
+)
+
+_PARENTS = "CASE WHEN rn=1 THEN (CASE WHEN l_quantity>46 THEN {a}2{z} WHEN l_quantity>42 THEN {a}99{z} ELSE {none} END) WHEN l_quantity<5 AND rn>2 THEN {a}rn-2{z} WHEN l_quantity>40 AND rn>2 THEN {a}rn-1, rn-2{z} ELSE {a}rn-1{z} END"
+
+
+def h30_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The active revision of every order's lines, each made from the line before or, by its quantity, from others."""
+    rows = tables.items(spark, sf_dir).select(F.col("l_orderkey").alias("object"), F.col("rn").cast("long").alias("rev"), F.expr(_PARENTS.format(a="array(", z=")", none="cast(array() AS array<int>)")).cast("array<long>").alias("parents"))
+    return revisions.resolve(rows)
+
+
+plan.add(
+    "h30_active_versions", h30_versions, "lineitem",
+    f"""WITH RECURSIVE rv AS (SELECT l_orderkey AS object, rn AS rev, {_PARENTS.format(a="[", z="]", none="[]")} AS parents FROM {tables._ITEMS} x), l AS (SELECT object, rev, unnest(parents) AS parent FROM rv),
+k AS (SELECT l.* FROM l JOIN rv ON rv.object=l.object AND rv.rev=l.parent), reach AS (SELECT object, rev, parent FROM k UNION SELECT r.object, r.rev, k.parent FROM reach r JOIN k ON k.object=r.object AND k.rev=r.parent),
+cyc AS (SELECT DISTINCT object FROM reach WHERE rev=parent), hd AS (SELECT object, count(*) AS heads, min(rev) AS head FROM rv WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.object=rv.object AND k.parent=rv.rev) GROUP BY object),
+un AS (SELECT DISTINCT object FROM l WHERE NOT EXISTS (SELECT 1 FROM rv WHERE rv.object=l.object AND rv.rev=l.parent))
+SELECT o.object, CASE WHEN c.object IS NULL AND heads=1 THEN head END AS active, CASE WHEN c.object IS NOT NULL THEN 'cycle' WHEN heads>1 THEN 'fork' WHEN u.object IS NOT NULL THEN 'unknown_parent' END AS code
+FROM (SELECT DISTINCT object FROM rv) o LEFT JOIN cyc c ON c.object=o.object LEFT JOIN hd ON hd.object=o.object LEFT JOIN un u ON u.object=o.object""",
+)
+
+_NOW, _THEN = "l_quantity>8 AND NOT (l_returnflag='R' AND l_quantity>45)", "l_quantity>10"
+
+
+def v14_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates stored when the graph was another one, against the graph as it is; some names stand in the public text."""
+    lines = tables.items(spark, sf_dir).select(F.col("l_orderkey").alias("problem"), F.concat(F.lit("n-"), "l_orderkey", F.lit("-"), "rn").alias("entity"), F.col("l_returnflag").alias("kind"), F.expr(_NOW).alias("now"), F.expr(_THEN).alias("then"), "rn")
+    probes = tables.load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("probe"), F.col("o_orderkey").alias("problem"), F.when(F.col("o_orderstatus") == "P", F.array(F.lit("N"), F.lit("R"))).alias("kinds"), "o_orderpriority")
+    want = candidates.derived(probes, lines.withColumn("visual", F.col("now")), "v")
+    stored = candidates.derived(probes, lines.withColumn("visual", F.col("then")), "v")
+    view = stored.join(probes.select("probe", "o_orderpriority"), "probe").where("NOT (o_orderpriority LIKE '1%' AND alias = 'E2')").select("probe", "alias", "place")
+    public = probes.select("probe", F.concat(F.lit("Which of them? See n-"), "probe", F.when(F.col("o_orderpriority").startswith("5"), "-1").otherwise("-10"), F.lit(".")).alias("text"))
+    return candidates.candidate_issues(want, stored, view, public)
+
+
+_DERIVED = "SELECT probe, target, alias, row_number() OVER (PARTITION BY probe ORDER BY sha256(concat('v:', probe, ':place:', alias)), alias) AS place FROM (SELECT probe, target, 'E'||row_number() OVER (PARTITION BY probe ORDER BY sha256(concat('v:', probe, ':alias:', target)), target) AS alias FROM pool WHERE {}) x"
+plan.add(
+    "v14_candidate_issues", v14_candidates, "lineitem orders",
+    f"""WITH pool AS (SELECT o_orderkey AS probe, o_orderpriority AS pr, 'n-'||l_orderkey||'-'||rn AS target, {_NOW} AS now_, {_THEN} AS then_ FROM {tables._ITEMS} x JOIN orders ON o_orderkey=l_orderkey WHERE o_orderstatus<>'P' OR l_returnflag IN ('N','R')),
+w AS ({_DERIVED.format("now_")}), k AS ({_DERIVED.format("then_")}), vw AS (SELECT k.* FROM k JOIN orders ON o_orderkey=probe WHERE NOT (o_orderpriority LIKE '1%' AND alias='E2'))
+SELECT coalesce(w.probe, k.probe) AS probe, coalesce(w.target, k.target) AS subject, CASE WHEN k.probe IS NULL THEN 'lost' WHEN w.probe IS NULL THEN 'extra' ELSE 'alias_differs' END AS code FROM w FULL JOIN k ON w.probe=k.probe AND w.target=k.target WHERE w.alias IS DISTINCT FROM k.alias
+UNION ALL SELECT probe, alias, 'not_shown' FROM k WHERE NOT EXISTS (SELECT 1 FROM vw WHERE vw.probe=k.probe AND vw.alias=k.alias)
+UNION ALL SELECT vw.probe, vw.alias, 'place_differs' FROM vw JOIN w ON w.probe=vw.probe AND w.alias=vw.alias WHERE w.place<>vw.place
+UNION ALL SELECT probe, target, 'leak' FROM k JOIN orders ON o_orderkey=probe WHERE target='n-'||probe||CASE WHEN o_orderpriority LIKE '5%' THEN '-1' ELSE '-10' END""",
+)
+
 # Audit campaigns
 
 

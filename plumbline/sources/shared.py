@@ -79,6 +79,13 @@ FROM {customer}""".replace("{{", "{").replace("}}", "}"),
         """SELECT id, version, concat('{"seen":"', version, '-', id, '","state":"', state, '","priority":"', o_orderpriority, '","refs":[', o_custkey, ',', o_custkey%7, ']}') AS record, state, o_orderpriority, o_custkey
 FROM (SELECT o_orderkey AS id, 'before' AS version, o_orderstatus AS state, o_orderpriority, o_custkey FROM {orders} WHERE substr(o_orderpriority,1,1)<>'5' OR o_custkey%11<>4
   UNION ALL SELECT o_orderkey, 'after', CASE WHEN o_orderstatus='P' AND o_custkey%5=2 THEN 'settled' ELSE o_orderstatus END, o_orderpriority, o_custkey FROM {orders} WHERE substr(o_orderpriority,1,1)<>'1' OR o_custkey%13<>6) x""",
+    ),
+    # Batch outputs of four stages in one JSON text; some lack a stage, have one too many, or don't agree on the problem.
+    "batches": (
+        "customer",
+        """SELECT c_custkey AS id, c_nationkey, c_mktsegment, c_name, CASE WHEN c_nationkey=2 THEN concat('[', c_custkey, ']') ELSE concat('{"pass1":{"problem_id":', CASE WHEN c_nationkey=17 THEN '""' WHEN c_nationkey=18 THEN 'null' ELSE concat('"p', c_custkey, '"') END, ',"nodes":[', c_nationkey, ',1]}',
+  ',"pass2":{"problem_id":"p', c_custkey, '","label":"', c_mktsegment, '"}', ',"pass3":{"problem_id":"', CASE WHEN c_nationkey=4 THEN 'q' ELSE 'p' END, c_custkey, '"}', CASE WHEN c_nationkey=9 THEN '' ELSE concat(',"pass4":{"problem_id":"p', c_custkey, '","by":"', c_name, '"}') END,
+  CASE WHEN c_nationkey=13 THEN ',"pass9":{}' ELSE '' END, '}') END AS record FROM {customer}""",
     ),
     # Image files as hex text, with what their records declare: PNG, JPEG with and without fill bytes and other segments, and broken ones.
     "image_files": (
