@@ -14,8 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text
-from .spans import SPAN, find_spans, joined, n_of, near, overlaps_none
+from plumbline.functions.variants import let
+
+from .common import computed, id_and_text
+from .spans import SPAN, chunks, find_spans, joined, n_of, near, without_overlaps
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "short_card", "ssn", "local_phone")
@@ -32,16 +34,16 @@ IBAN = "(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3}
 SSN = "(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 LOCAL_PHONE = "(?<![0-9+-])(?:\\([0-9]{3}\\) ?|[0-9]{3}[ -])[0-9]{3}[ -][0-9]{4}(?![0-9-])"
 
-#: Score without context, what context words add, and those words.
+#: Score without context, what context words add, and those words; they count as whole words, with or without a plural.
 SCORES = {
     "email": (0.9, 0.1, "e-?mail|contact|write|address"),
-    "ip": (0.7, 0.2, "\\bip\\b|host|server|address|login"),
-    "card": (0.8, 0.2, "card|visa|master|amex|credit|debit|payment"),
-    "phone": (0.7, 0.2, "phone|tel|call|mobile|fax|contact"),
+    "ip": (0.7, 0.2, "ip|host|server|address|login"),
+    "card": (0.8, 0.2, "card|visa|master|mastercard|amex|credit|debit|payment"),
+    "phone": (0.7, 0.2, "phone|telephone|telefon|tel|call|mobile|cell|fax|contact"),
     "iban": (0.75, 0.2, "iban|bank|account|konto|transfer|bic|swift"),
-    "short_card": (0.4, 0.4, "card|visa|amex|diners|credit|debit|payment"),
+    "short_card": (0.4, 0.4, "card|creditcard|visa|amex|diners|credit|debit|payment"),
     "ssn": (0.4, 0.4, "ssn|social|security|taxpayer"),
-    "local_phone": (0.4, 0.4, "phone|tel|call|mobile|fax"),
+    "local_phone": (0.4, 0.4, "phone|telephone|telefon|tel|call|mobile|cell|fax"),
 }
 
 
@@ -102,11 +104,11 @@ def added_spans(text: Column) -> Column:
     )
 
 
-def score(text: Column, span: Column) -> Column:
-    """The kind's score, with its context words if any stands nearby."""
+def score(cut: Column, span: Column) -> Column:
+    """The kind's score, with its context words if any stands nearby; ``cut``: the text's chunks."""
     out = F.lit(0.0)
     for kind, (alone, more, context) in SCORES.items():
-        said = F.regexp_like(near(text, span, REACH), F.lit(context))
+        said = F.regexp_like(near(cut, span, REACH), F.lit(f"(?<![\\p{{L}}])(?:{context})s?(?![\\p{{L}}])"))
         out = F.when(span["kind"] == kind, F.lit(alone) + F.when(said, F.lit(more)).otherwise(F.lit(0.0))).otherwise(out)
     return out
 
@@ -114,11 +116,16 @@ def score(text: Column, span: Column) -> Column:
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, base (array<span>) and spans (array<span with score and base>), one row per row of ``docs``."""
     rows = id_and_text(docs, id_col, text_col)
-    rows = rows.withColumn("base", base_spans(F.col("text"))).withColumn("more", added_spans(F.col("text")))
-    text, base = F.col("text"), F.col("base")
-    more = F.filter(F.col("more"), lambda s: overlaps_none(s, base) & (score(text, s) >= THRESHOLD))
-    scored = lambda spans, of_base: F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), score(text, s).alias("score"), F.lit(of_base).alias("base")))
-    return rows.select("doc_id", base.cast(f"array<{SPAN}>").alias("base"), F.concat(scored(base, True), scored(more, False)).alias("spans"))
+    rows = computed(computed(rows, "base", base_spans(F.col("text"))), "more", added_spans(F.col("text")))
+    base, more = F.col("base"), F.col("more")
+    rows = computed(rows, "cut", F.when(F.size(base) + F.size(more) > 0, chunks(F.col("text"))))
+    cut = F.col("cut")
+
+    def scored(spans: Column, of_base: bool) -> Column:
+        return F.transform(spans, lambda s: F.struct(*(s[c].alias(c) for c in ("kind", "start", "end", "text")), score(cut, s).alias("score"), F.lit(of_base).alias("base")))
+
+    added = let(scored(without_overlaps(more, base), False), lambda spans: F.filter(spans, lambda s: s["score"] >= THRESHOLD))
+    return rows.select("doc_id", base.cast(f"array<{SPAN}>").alias("base"), F.concat(scored(base, True), added).alias("spans"))
 
 
 def digests(found: DataFrame) -> DataFrame:

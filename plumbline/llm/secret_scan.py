@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import computed, double_table, fresh, id_and_text
-from .spans import SPAN, find_spans, joined, n_of, overlaps_none
+from .spans import SPAN, chunks, find_spans, joined, n_of, piece, running, without_overlaps
 
 BASE = ("assign", "access", "hex")
 ASSIGN = "(?i:password|passwd|secret|token|api_?key)[\"']? *[:=] *[\"']?[A-Za-z0-9+/_.=-]+"
@@ -140,9 +140,9 @@ def scan(docs: DataFrame, table: Sequence[float] | None = None, id_col: str = "d
     """doc_id, base and spans (array<struct<kind,start,end,text>>), one row per row of ``docs``."""
     table = train(samples(docs.sparkSession)) if table is None else table
     rows = id_and_text(docs, id_col, text_col)
-    rows = rows.withColumn("base", base_spans(F.col("text"))).withColumn("more", random_spans(F.col("text"), table))
+    rows = computed(computed(rows, "base", base_spans(F.col("text"))), "more", random_spans(F.col("text"), table))
     base = F.col("base")
-    return rows.select("doc_id", base.cast(f"array<{SPAN}>").alias("base"), _sorted(F.concat(base, F.filter(F.col("more"), lambda s: overlaps_none(s, base)))).alias("spans"))
+    return rows.select("doc_id", base.cast(f"array<{SPAN}>").alias("base"), _sorted(F.concat(base, without_overlaps(F.col("more"), base))).alias("spans"))
 
 
 def digests(found: DataFrame) -> DataFrame:
@@ -154,17 +154,13 @@ def digests(found: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, table: Sequence[float] | None = None, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span replaced by ``mark``; overlapping spans count as one. Texts without spans stay as they are."""
     table = train(samples(docs.sparkSession)) if table is None else table
-    base, spans = fresh(docs, "base"), fresh(docs, "spans")
+    base, more, spans, cut, ends = (fresh(docs, n) for n in ("base", "more", "spans", "cut", "ends"))
     text, found = F.col(text_col), F.col(spans)
-    rows = computed(docs, base, base_spans(text))
-    rows = computed(rows, spans, _sorted(F.concat(F.col(base), F.filter(random_spans(text, table), lambda s: overlaps_none(s, F.col(base))))))
-    out = F.aggregate(
-        found,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"),
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
-    )
-    return rows.withColumn(text_col, F.when(F.size(found) > 0, out).otherwise(text)).drop(base, spans)
+    rows = computed(computed(docs, base, base_spans(text)), more, random_spans(text, table))
+    rows = computed(rows, spans, _sorted(F.concat(F.col(base), without_overlaps(F.col(more), F.col(base)))))
+    rows = computed(rows, cut, F.when(F.size(found) > 0, chunks(text)))
+    rows = computed(rows, ends, running(F.transform(found, lambda s: s["end"]), F.greatest))
+    before = lambda i: F.when(i > 0, F.get(F.col(ends), i - 1)).otherwise(0)
+    parts = F.transform(found, lambda s, i: F.when(s["start"] >= before(i), F.concat(piece(F.col(cut), before(i), s["start"]), F.lit(mark))).otherwise(""))
+    out = F.concat(F.array_join(parts, ""), piece(F.col(cut), F.element_at(F.col(ends), -1), F.length(text)))
+    return rows.withColumn(text_col, F.when(F.size(found) > 0, out).otherwise(text)).drop(base, more, spans, cut, ends)
