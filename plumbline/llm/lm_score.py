@@ -23,6 +23,7 @@ are scored row by row; an empty table gives an empty result (and untrained weigh
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterable, Iterator
 
@@ -170,13 +171,30 @@ def logits_of(w: Weights, context: np.ndarray, target: np.ndarray):
     return x, h, logits
 
 
+#: Logits within this range have powers of e that single precision holds and sums.
+PLAIN = 60.0
+
+
 def exponentials(logits: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The powers of e, in place, of each digit's logits less the greatest; the greatest; the sums."""
-    each = logits.reshape(-1, side)
-    tops = each.max(1)
-    each -= tops[:, None]
-    np.exp(each, out=each)
-    return each, tops, each.sum(1)
+    """In place the powers of e of the logits, less ``tops`` (n, DIGITS); then ``tops``, and each digit's sums (n, DIGITS).
+
+    Rows with a logit beyond ``PLAIN`` have their digits' greatest ones taken off first, the others nothing; so what a row
+    comes to doesn't depend on the rows beside it.
+    """
+    tops = np.zeros((len(logits), DIGITS), np.float32)
+    if logits.size and not (logits.max() <= PLAIN and logits.min() >= -PLAIN):
+        far = ~(np.abs(logits).max(1) <= PLAIN)
+        digits = logits[far].reshape(-1, DIGITS, side)
+        tops[far] = digits.max(2)
+        logits[far] = (digits - tops[far][:, :, None]).reshape(-1, DIGITS * side)
+    np.exp(logits, out=logits)
+    return logits, tops, logits @ _members(side)
+
+
+@functools.cache
+def _members(side: int) -> np.ndarray:
+    """(DIGITS * side, DIGITS): which digit a logit belongs to."""
+    return np.kron(np.eye(DIGITS), np.ones((side, 1))).astype(np.float32)
 
 
 def log_probability(w: Weights, context: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -185,15 +203,15 @@ def log_probability(w: Weights, context: np.ndarray, target: np.ndarray) -> np.n
     _, _, logits = logits_of(w, context, target)
     chosen = sum(logits[row, k * side + own] for k, own in enumerate(digits_of(target, side)))
     _, tops, sums = exponentials(logits, side)
-    return chosen - (tops + np.log(sums)).reshape(-1, DIGITS).sum(1)
+    return chosen - (tops + np.log(sums)).sum(1)
 
 
 def step(w: Weights, context: np.ndarray, target: np.ndarray, rate: float) -> None:
     """One step of gradient descent on the mean negative log-probability, in place."""
     n, row, side = len(target), np.arange(len(target)), side_in(w)
     x, h, slope = logits_of(w, context, target)
-    each, _, sums = exponentials(slope, side)
-    each *= (1 / (n * sums))[:, None]
+    _, _, sums = exponentials(slope, side)
+    slope *= (1 / (n * sums)) @ _members(side).T
     for k, own in enumerate(digits_of(target, side)):
         slope[row, k * side + own] -= 1 / n
     back = slope @ w["out"].T
@@ -202,12 +220,10 @@ def step(w: Weights, context: np.ndarray, target: np.ndarray, rate: float) -> No
     w["out"] -= rate * (h.T @ slope)
     w["mix"] -= rate * (x.T @ back)
     w["bias"] -= rate * back.sum(0)
-    # The summed slopes of each class among the inputs; it may be there many times.
-    near = context.reshape(-1)
-    order = np.argsort(near)
-    ranked = near[order]
-    first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-    w["embed"][ranked[first]] -= rate * np.add.reduceat(dx[order], first, axis=0)
+    # A class may be among the inputs many times: every one adds its slope.
+    dx *= -rate
+    cells = context.reshape(-1, 1) * WIDTH + np.arange(WIDTH)
+    np.add.at(w["embed"].reshape(-1), cells.reshape(-1), dx.reshape(-1))
 
 
 BLOCKS, BLOCK = "block long, seen long, part binary", 4096

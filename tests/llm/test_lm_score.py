@@ -75,6 +75,22 @@ def test_gradients_match_differences():
             assert abs((ends[0] - ends[1]) / 2e-5 - slope[i]) < 1e-4
 
 
+def test_large_logits_do_no_harm():
+    """Rows far beyond what powers of e can hold, beside ordinary ones, which come to the same as alone."""
+    rng = np.random.default_rng(5)
+    logits = rng.normal(0, 3, (64, lm.DIGITS * lm.SIDE)).astype(np.float32)
+    logits[5] *= 300
+    logits[9] -= 500
+    logits[11, :3] += 200
+    want = logits.astype(np.float64).reshape(64, lm.DIGITS, -1)
+    want = np.log(np.exp(want - want.max(2, keepdims=True)).sum(2)) + want.max(2)
+    each, tops, sums = lm.exponentials(logits.copy(), lm.SIDE)
+    assert np.isfinite(each).all() and np.allclose(tops + np.log(sums), want, rtol=1e-5, atol=1e-5)
+    calm = np.delete(np.arange(64), [5, 9, 11])
+    for a, b in zip((each, tops, sums), lm.exponentials(logits[np.repeat(calm[:1], 64)].copy(), lm.SIDE), strict=True):
+        assert (a[calm[0]] == b[0]).all()
+
+
 def test_untrained_biases_are_the_frequencies():
     """Without a context's say, a class has its share of the tokens, one more counted for each class."""
     tokens_of = np.random.default_rng(7).integers(0, 50, lm.EDGE)
