@@ -37,8 +37,10 @@ from .common import id_and_text, materialise, one_thread, small
 SIDE, DIGITS, REACH, WIDTH, HIDDEN = 16, 3, 2, 24, 64
 STRIDE, ROUNDS, BATCH, RATE, SEED = 1, 1, 512, 2.0, 11
 EDGE = SIDE**DIGITS  # stands before the first and after the last token; the number of classes for other sides
-#: Words with at least this fraction of all tokens are broadcast: 20,000 at most.
-FREQUENT = 1 / 20_000
+#: Words with at least this fraction of all tokens are broadcast: 200,000 at most, of 16 bytes each.
+FREQUENT = 1 / 200_000
+#: Tokens that a task holds before it counts their words.
+COUNTED = 1 << 22
 CHUNK, TILE = 512, 64
 #: The weights that come from counts of the corpus and aren't descended.
 FIXED = "share"
@@ -310,12 +312,23 @@ def train(rows: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE, side: int
 
 
 def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, n): the words of each batch, counted."""
+    """(word, n): the words of a task, counted whenever there are ``COUNTED`` tokens."""
+
+    def count(hashes: list[np.ndarray]) -> pa.RecordBatch:
+        words, n = np.unique(np.concatenate(hashes), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.int64()), pa.array(n, pa.int64())], ["word", "n"])
+
+    held: list[np.ndarray] = []
+    tokens = 0
     for batch in batches:
-        hashes = [words_in(part)[0] for part in parts_of(batch.column(1))]
-        for some in (hashes[i : i + 32] for i in range(0, len(hashes), 32)):
-            words, n = np.unique(np.concatenate(some), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.int64()), pa.array(n, pa.int64())], ["word", "n"])
+        for part in parts_of(batch.column(1)):
+            held.append(words_in(part)[0])
+            tokens += len(held[-1])
+            if tokens >= COUNTED:
+                yield count(held)
+                held, tokens = [], 0
+    if held:
+        yield count(held)
 
 
 def _counted(rows: DataFrame) -> DataFrame:
