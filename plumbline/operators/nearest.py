@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from .components import written
 
 CELL = 64
-#: Reaches that a nearest search goes through; anchors without any box within one go on to the next. The last spans an image of 1,000 units several times.
-REACHES = (40, 160, 640, 2560)
+#: The first reach of a nearest search; anchors without any box within one go on with the next, four times as far.
+REACH = 40
 
 
 def near_pairs(anchors: DataFrame, boxes: DataFrame, reach: int) -> DataFrame:
@@ -56,10 +56,13 @@ def nearest(anchors: DataFrame, boxes: DataFrame, distance: Callable[[str, str],
 
     ``distance`` gives ``scale`` times a squared distance. A box within a reach is nearer than all
     beyond it, so an anchor is done with the first reach that holds one. What a reach finds is written,
-    so that the next one doesn't search again; the search ends when no anchor is left.
+    so that the next one doesn't search again; the search ends when no anchor is left, however far its box is. Anchors
+    whose image has no other box have no row.
     """
-    left, out = anchors, None
-    for reach in REACHES:
+    several = boxes.groupBy("image").agg(F.min("idx").alias("least"), F.max("idx").alias("most"))
+    inside = anchors.join(several, "image").where("least <> most OR least <> idx").select(*anchors.columns)
+    left, out, reach = written(inside, "anchors"), None, REACH
+    while True:
         pairs = near_pairs(left, boxes, reach).select("image", F.col("a.idx").alias("anchor"), distance("a", "b").alias("d"), F.col("b.idx").alias("idx"), F.col("b.alias").alias("alias"))
         found = pairs.where(F.col("d") <= scale * reach * reach).groupBy("image", "anchor", "d").agg(F.count(F.lit(1)).alias("ties"), F.min(F.struct("idx", "alias")).alias("first"))
         best = found.groupBy("image", "anchor").agg(F.min(F.struct("d", "ties", "first")).alias("m")).select("image", "anchor", "m.d", "m.ties", "m.first.idx", "m.first.alias")
@@ -67,5 +70,5 @@ def nearest(anchors: DataFrame, boxes: DataFrame, distance: Callable[[str, str],
         out = best if out is None else out.unionByName(best)
         left = left.join(best.select("image", F.col("anchor").alias("idx")), ["image", "idx"], "left_anti")
         if not left.limit(1).count():
-            break
-    return out
+            return out
+        reach *= 4

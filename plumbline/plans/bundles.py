@@ -55,12 +55,12 @@ add(
         F.when(F.element_at("e.anchors", F.lit("A1"))["kind"] != "visual", "anchor_not_visual")
         .when(~F.forall("e.candidates", lambda c: F.exists(c["locators"], lambda x: x["kind"] == "visual")), "candidate_without_region").otherwise("eligible").alias("reason"),
     ),
-    "SELECT item, CASE WHEN n_candidates>=3 THEN 'candidate_without_region' ELSE 'eligible' END AS reason FROM prompts",
+    """SELECT item, CASE WHEN json_extract_string(evidence,'$.anchors.A1.kind')<>'visual' THEN 'anchor_not_visual' WHEN len(list_filter(range(n_candidates), lambda i: NOT contains(CAST(json_extract(evidence, '$.candidates['||i||']') AS VARCHAR), '"visual"')))>0 THEN 'candidate_without_region' ELSE 'eligible' END AS reason FROM prompts""",
 )
 add(
     "p15_without_geometry", "prompts",
     lambda p: p.select("item", prompts.without_geometry(F.col("evidence")).alias("evidence")),
-    """SELECT item, concat('{"anchors":{"A1":{"kind":"withheld_visual_anchor"},"A2":{"kind":"text","ref":"a2"}},"candidates":[{"alias":"E1","locators":[{"kind":"text","ref":"t1"}]},{"alias":"E2","locators":[]}',
+    """SELECT item, concat('{"anchors":{"A1":', CASE WHEN json_extract_string(evidence,'$.anchors.A1.kind')='visual' THEN '{"kind":"withheld_visual_anchor"}' ELSE '{"kind":"text","ref":"a1"}' END, ',"A2":{"kind":"text","ref":"a2"}},"candidates":[{"alias":"E1","locators":[{"kind":"text","ref":"t1"}]},{"alias":"E2","locators":[]}',
   CASE WHEN n_candidates>=3 THEN ',{"alias":"E3","locators":[{"kind":"text","ref":"r3"}]}' ELSE '' END, CASE WHEN n_candidates>=4 THEN ',{"alias":"E4","locators":[]}' ELSE '' END, ']}') AS evidence FROM prompts""",
 )
 

@@ -46,13 +46,16 @@ derived(
 )
 derived(
     "f34_circle_points", "boxes",
-    lambda b: b.select("idx", ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"), ((F.col("x1") - F.col("x0")) / 2).alias("r"), F.when(F.col("idx") % 7 == 0, 4).otherwise(1).alias("d")).select(
-        # The affine map (2 2 3; 2 d 5) is singular for d = 2 only; d = 1 and 4 stand for both signs of the determinant.
-        "idx", (F.abs(2.0 * F.col("d") - 4.0) < 1e-12).alias("singular"),
+    lambda b: b.select("idx", ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"), ((F.col("x1") - F.col("x0")) / 2).alias("r"), (F.col("x1") - F.col("x0")).alias("a"), (F.col("y1") - F.col("y0")).alias("d")).select(
+        # The affine map (a 2 3; 2 d 5), whose determinant is 0 for some boxes: these give no points.
+        "idx", (F.abs(F.col("a") * F.col("d") - 4.0) < 1e-12).alias("singular"), "a", "d",
         F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: F.struct((F.col("cx") + F.col("r") * F.cos(k * 3.141592653589793 / 16)).alias("x"), (F.col("cy") + F.col("r") * F.sin(k * 3.141592653589793 / 16)).alias("y"))).alias("p"),
-    ).select("idx", "singular", F.round(F.array_max(F.transform("p", lambda q: 2 * q["x"] + 2 * q["y"] + 3)), 6).alias("max_x"), F.round(F.aggregate("p", F.lit(0.0), lambda a, q: a + q["y"]) / 32, 6).alias("mean_y")),
-    """WITH k AS (SELECT idx, (x0+x1)/2.0 AS cx, (y0+y1)/2.0 AS cy, (x1-x0)/2.0 AS r, unnest(range(32)) AS k FROM {boxes})
-SELECT idx, false AS singular, round(max(2*(cx+r*cos(k*pi()/16))+2*(cy+r*sin(k*pi()/16))+3),6) AS max_x, round(avg(cy+r*sin(k*pi()/16)),6) AS mean_y FROM k GROUP BY idx""",
+    ).select(
+        "idx", "singular", F.when(~F.col("singular"), F.round(F.array_max(F.transform("p", lambda q: F.col("a") * q["x"] + 2 * q["y"] + 3)), 6)).alias("max_x"),
+        F.when(~F.col("singular"), F.round(F.aggregate("p", F.lit(0.0), lambda s, q: s + 2 * q["x"] + F.col("d") * q["y"] + 5) / 32, 6)).alias("mean_y"),
+    ),
+    """WITH k AS (SELECT idx, x1-x0 AS a, y1-y0 AS d, (x0+x1)/2.0 AS cx, (y0+y1)/2.0 AS cy, (x1-x0)/2.0 AS r, unnest(range(32)) AS k FROM {boxes})
+SELECT idx, a*d=4 AS singular, CASE WHEN a*d<>4 THEN round(max(a*(cx+r*cos(k*pi()/16))+2*(cy+r*sin(k*pi()/16))+3),6) END AS max_x, CASE WHEN a*d<>4 THEN round(avg(2*(cx+r*cos(k*pi()/16))+d*(cy+r*sin(k*pi()/16))+5),6) END AS mean_y FROM k GROUP BY idx, a, d""",
 )
 derived(
     "f35_render_coverage", "boxes",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators import pools
+from plumbline.functions.strict_json import strict_json
 from plumbline.operators.bootstrap import cluster_bootstrap
 from plumbline.sources import tables
 
@@ -108,8 +109,19 @@ plan.sql(
 FROM (SELECT 'B' AS scope, problem_id, b_raw AS v, c_raw AS c FROM {probes} UNION ALL SELECT 'L', problem_id, b_raw, c_raw FROM {probes} WHERE joint_eligible
   UNION ALL SELECT 'P', problem_id, b_raw, c_raw FROM {probes} WHERE packet_nonempty) x GROUP BY scope""",
 )
-plan.sql(
-    "a06_invalidity", "responses",
+
+
+def a06_invalidity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of answers that are no strict object, and of objects whose fields are no text with anything in it; parsed from the texts served."""
+    parsed = tables.responses(spark, sf_dir).select(F.explode(F.array(strict_json("response"))).alias("record"))
+    said = lambda f: F.coalesce(F.trim(F.get_json_object("record", f"$.{f}")) != "", F.lit(False))
+    fields = F.array(*(F.struct(F.lit(n).alias("field"), ok.alias("ok")) for n, ok in (("object", F.col("record").isNotNull()), ("owner", said("owner")), ("read", said("read")))))
+    bad = F.count(F.when(~F.col("ok"), 1))
+    return parsed.select(F.inline(fields)).groupBy("field").agg(F.count(F.lit(1)).alias("required_served"), bad.alias("invalid"), F.round(bad / F.count(F.lit(1)), 9).alias("rate"))
+
+
+plan.add(
+    "a06_invalidity", a06_invalidity, "responses",
     """SELECT field, count(*) AS required_served, count(CASE WHEN NOT ok THEN 1 END) AS invalid, round(CAST(count(CASE WHEN NOT ok THEN 1 END) AS DOUBLE)/count(*),9) AS rate
 FROM (SELECT 'object' AS field, variant NOT IN (1,2,3,4) AS ok FROM {responses} UNION ALL SELECT 'owner', variant IN (0,6,7) FROM {responses} UNION ALL SELECT 'read', variant IN (0,5,6,7) FROM {responses}) x GROUP BY field""",
 )

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions import audit, spans, strict_json
+from plumbline.functions import audit, grading, strict_json, variants
 from plumbline.operators import nearest
 from plumbline.operators.components import connected_components
+from plumbline.operators.occurrences import quote_spans
 from plumbline.sources import tables
 
 from .base import Plan
@@ -76,10 +79,27 @@ plan.sql(
     """SELECT p_partkey, replace(replace(replace(concat(p_name, '_', p_type, '&50%'), '_', '!_'), '&', '!&'), '%', '!%') AS escaped FROM {part}""",
 )
 plan.sql("f21_symmetric_relation", "lineitem", """SELECT least(l_partkey, l_suppkey) AS x, greatest(l_partkey, l_suppkey) AS y, count(*) AS n FROM {lineitem} GROUP BY 1, 2""")
-plan.sql(
-    "f22_grade", "orders",
-    """SELECT o_orderkey, CASE WHEN kind='choice' THEN CASE WHEN a=b THEN 1 ELSE 0 END WHEN kind='choice_set' THEN CASE WHEN length(a)=length(b) THEN 1 ELSE 0 END WHEN kind='exact' THEN CASE WHEN trim(a)=trim(b) THEN 1 ELSE 0 END END AS grade
-FROM (SELECT o_orderkey, CASE o_orderkey%4 WHEN 0 THEN 'choice' WHEN 1 THEN 'choice_set' WHEN 2 THEN 'exact' ELSE 'human' END AS kind, substr(o_orderpriority,1,1) AS a, CASE WHEN o_custkey%2=0 THEN '1' ELSE '2' END AS b FROM {orders}) x""",
+SCALES = {"g": "1/1000", "kg": "1"}
+#: Answers under five contracts, with texts that are right, wrong, and no answer at all.
+_GRADED = """(SELECT o_orderkey, CASE substr(o_orderpriority,1,1) WHEN '1' THEN 'choice' WHEN '2' THEN 'choice_set' WHEN '3' THEN 'exact' WHEN '4' THEN 'quantity' ELSE 'human' END AS kind, o_orderstatus AS s, o_custkey%7 AS c,
+  CASE substr(o_orderpriority,1,1) WHEN '2' THEN 'F,O' WHEN '4' THEN concat(o_custkey%7, ' kg') ELSE 'O' END AS accepted, CASE o_custkey%11 WHEN 0 THEN 'no answer' WHEN 1 THEN '{"answer":null}' ELSE concat('{"answer":', CASE substr(o_orderpriority,1,1)
+  WHEN '2' THEN concat('["', o_orderstatus, '"," F","', CASE WHEN o_custkey%7<2 THEN 'O' ELSE 'F ' END, '"', CASE WHEN o_custkey%7=6 THEN ',1' ELSE '' END, ']') WHEN '4' THEN concat('"', CASE WHEN o_orderstatus='F' THEN concat(o_custkey%7, '000 g') ELSE '2 kg' END, '"') ELSE concat('" ', o_orderstatus, ' "') END, '}') END AS response FROM orders) x"""
+
+
+def f22_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables.load(spark, sf_dir, "orders").createOrReplaceTempView(name := f"plumbline_{uuid.uuid4().hex}")
+    x = spark.sql(f"SELECT * FROM {_GRADED.replace('FROM orders', f'FROM {name}')}")  # resolved now, so the name can go
+    spark.catalog.dropTempView(name)
+    answer = grading.answer_of(F.col("response"))
+    same = strict_json.quantity_equal(SCALES, "0")(variants.text(answer), F.col("accepted"))
+    return x.select("o_orderkey", grading.grade(F.col("kind"), answer, F.split("accepted", ","), same).alias("grade"))
+
+
+plan.add(
+    "f22_grade", f22_grade, "orders",
+    f"""SELECT o_orderkey, CASE WHEN kind='human' THEN NULL WHEN NOT json_valid(response) OR json_extract(response,'$.answer') IS NULL OR json_type(response,'$.answer')='NULL' THEN 0
+  WHEN kind='choice_set' THEN CAST(list_sort(list_distinct(list_transform(json_extract_string(response,'$.answer[*]'), lambda v: trim(v))))=['F','O'] AND c<>6 AS INT)
+  WHEN kind='quantity' THEN CAST(CASE WHEN s='F' THEN true ELSE c=2 END AS INT) ELSE CAST(trim(json_extract_string(response,'$.answer'))='O' AS INT) END AS grade FROM {_GRADED}""",
 )
 plan.sql(
     "f23_judge", "events",
@@ -92,30 +112,9 @@ plan.sql("f51_prefixed_id", "part", "SELECT p_partkey, concat('PAI-', sha2(conca
 
 
 def f11_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every occurrence of every benchmark passage in every document.
-
-    Words inside a quote stand whole in a text that holds it (the first and last may be parts of
-    longer ones), so documents and quotes meet on the hash of up to five of them instead of all with
-    all. Quotes without inner words are a stated set that meets the documents directly.
-    """
-    docs = tables.load(spark, sf_dir, "documents").select("doc_id", "text")
-    quotes = tables.load(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote")).where("quote <> ''")
-    inner = F.slice(F.split("quote", "[ \n]"), F.lit(2), F.greatest(F.lit(0), F.least(F.lit(5), F.size(F.split("quote", "[ \n]")) - 2)))
-    quotes = quotes.select("item_id", "quote", F.xxhash64(F.array_join(inner, " ")).alias("key"), F.size(inner).alias("width"))
-    words = F.col("words")  # split once: an expression inside a lambda runs for every element
-
-    def runs_of(width: int):
-        at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - width + 1))
-        return F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice(words, i, F.lit(width)), " ")))
-
-    widths = [r["width"] for r in quotes.where("width > 0").select("width").distinct().collect()]  # five at most
-    grams = F.array_distinct(F.flatten(F.array(*map(runs_of, widths)))) if widths else F.array().cast("array<bigint>")
-    keyed = docs.select("doc_id", F.split("text", "[ \n]").alias("words")).select("doc_id", F.explode(grams).alias("key")).join(quotes.where("width > 0").select("item_id", "key"), "key").select("doc_id", "item_id")
-    pairs = keyed.join(quotes.select("item_id", "quote"), "item_id").join(docs, "doc_id").where(F.contains("text", "quote"))
-    short = docs.join(quotes.where("width = 0"), F.contains("text", "quote"))
-    found = pairs.select("doc_id", "item_id", "text", "quote").unionByName(short.select("doc_id", "item_id", "text", "quote"))
-    each = found.select("doc_id", "item_id", F.explode(spans.starts(F.col("text"), F.col("quote"))).alias("at"), F.length("quote").alias("n"))
-    return each.select("doc_id", "item_id", F.col("at").cast("long").alias("start"), (F.col("at") + F.col("n")).cast("long").alias("end"))
+    """Every occurrence of every benchmark passage in every document."""
+    quotes = tables.load(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
+    return quote_spans(tables.load(spark, sf_dir, "documents"), quotes, "doc_id", "item_id")
 
 
 plan.add(
@@ -139,7 +138,6 @@ plan.sql("p07_eligibility", "probes", """SELECT joint_eligible, packet_nonempty,
 plan.sql("p09_reservation", "probes", """SELECT count(*) AS n FROM (SELECT problem_id, cluster_id FROM {probes} WHERE cluster_id%13=0 AND problem_id%2=0) d JOIN (SELECT DISTINCT cluster_id FROM {probes} WHERE problem_id%2=1) t ON d.cluster_id=t.cluster_id""")
 plan.sql("p10_release_selection", "reviews", """SELECT mother, min(CASE WHEN status='approved' THEN 1 ELSE 0 END)=1 AS complete, count(*) AS n FROM {reviews} GROUP BY mother""")
 plan.sql("p18_status_filter", "reviews", """SELECT mother, status, count(*) AS n FROM {reviews} WHERE lower(mother) LIKE '%src1%' GROUP BY mother, status""")
-plan.sql("p25_distance_band", "boxes", """SELECT CASE WHEN d=0 THEN '0' WHEN d<=10 THEN '(0,10]' WHEN d<=50 THEN '(10,50]' ELSE '(50,inf)' END AS band, count(*) AS n FROM (SELECT greatest(x0-450, 0) AS d FROM {boxes}) x GROUP BY 1""")
 plan.sql(
     "w02_neutral_alias", "part",
     """SELECT p_brand AS qid, p_partkey AS target, concat('E', row_number() OVER (PARTITION BY p_brand ORDER BY sha2(concat('a:', p_partkey), 256))) AS alias, row_number() OVER (PARTITION BY p_brand ORDER BY sha2(concat('b:', p_partkey), 256)) AS display_pos FROM {part}""",
@@ -176,7 +174,14 @@ plan.sql(
 )
 plan.sql("o03_worst_requests", "documents", """SELECT doc_id, n_chars FROM {documents} ORDER BY n_chars DESC, doc_id LIMIT 3""")
 plan.sql("o04_hash_sample", "orders", """SELECT o_orderkey FROM {orders} ORDER BY sha2(concat('7:', o_orderkey), 256) LIMIT 100""", """SELECT o_orderkey FROM orders ORDER BY sha256('7:'||o_orderkey) LIMIT 100""")
-plan.sql("h21_token_budget", "documents", """SELECT lang, max(n_chars) AS worst, count(CASE WHEN n_chars<=8000 AND n_chars+2000<=12000 THEN 1 END) AS within, min(CASE WHEN n_chars<=8000 AND n_chars+2000<=12000 THEN 1 ELSE 0 END)=1 AS ok FROM {documents} GROUP BY lang""")
+_tokens = "[A-Za-z0-9]+|[^A-Za-z0-9 ]"
+plan.sql(
+    "h21_token_budget", "documents",
+    f"""SELECT lang, max(n) AS worst, max_by(doc_id, struct(n, -doc_id)) AS worst_doc, count(CASE WHEN n<=1500 AND n+500<=1900 THEN 1 END) AS within, min(CASE WHEN n<=1500 AND n+500<=1900 THEN 1 ELSE 0 END)=1 AS ok
+FROM (SELECT lang, doc_id, CAST(size(regexp_extract_all(text, '{_tokens}', 0)) AS BIGINT) AS n FROM {{documents}}) x GROUP BY lang""",
+    f"""SELECT lang, max(n) AS worst, (list(doc_id ORDER BY n DESC, doc_id))[1] AS worst_doc, count(CASE WHEN n<=1500 AND n+500<=1900 THEN 1 END) AS within, min(CASE WHEN n<=1500 AND n+500<=1900 THEN 1 ELSE 0 END)=1 AS ok
+FROM (SELECT lang, doc_id, CAST(len(regexp_extract_all(text, '{_tokens}')) AS BIGINT) AS n FROM documents) x GROUP BY lang""",
+)
 
 # Geometry
 #: Pairs of boxes up to this far apart are reported.
@@ -209,6 +214,21 @@ def j10_nearest_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 plan.add("j09_nearest", j09_nearest, "boxes", f"SELECT image, anchor, d AS d2, alias FROM (SELECT *, row_number() OVER (PARTITION BY image, anchor ORDER BY d, idx) AS rn FROM {_near.format(_edge).replace('{{', '{').replace('}}', '}')}) y WHERE rn=1")
 plan.add("j10_nearest_ties", j10_nearest_ties, "boxes", f"SELECT image, anchor, d AS d4, count(*) AS ties, min(idx) AS first_idx FROM (SELECT *, min(d) OVER (PARTITION BY image, anchor) AS best FROM {_near.format(_centre).replace('{{', '{').replace('}}', '}')}) y WHERE d=best GROUP BY 1,2,3")
+_band = "CASE WHEN d IS NULL THEN 'not_applicable' WHEN d=0 THEN '0' WHEN d<=100 THEN '(0,10]' WHEN d<=2500 THEN '(10,50]' ELSE '(50,inf)' END"
+
+
+def p25_distance_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far searching boxes are from the nearest larger box of their image, in bands; some images have none that is larger."""
+    b = tables.boxes(spark, sf_dir)
+    large = b.where("x1 - x0 >= 50")
+    found = nearest.nearest(b.where(ASKING), large, nearest.squared).select("image", F.col("anchor").alias("idx"), "d")
+    return b.where(ASKING).join(found, ["image", "idx"], "left").groupBy(F.expr(_band).alias("band")).agg(F.count(F.lit(1)).alias("n"))
+
+
+plan.add(
+    "p25_distance_band", p25_distance_band, "boxes",
+    f"""SELECT {_band} AS band, count(*) AS n FROM (SELECT a.idx, (SELECT min({_edge}) FROM {{boxes}} b WHERE b.image=a.image AND b.idx<>a.idx AND b.x1-b.x0>=50) AS d FROM {{boxes}} a WHERE a.{ASKING}) x GROUP BY 1""",
+)
 plan.sql("f32_geometry", "boxes", """SELECT idx, x0>=0 AND y0>=0 AND x1<=1000 AND y1<=1000 AND x0<x1 AND y0<y1 AS valid FROM {boxes}""")
 plan.sql(
     "f36_roundtrip", "boxes",
@@ -222,7 +242,11 @@ plan.sql(
 plan.sql("p21_panel_membership", "boxes", """SELECT idx, CASE WHEN cy>=1500 THEN 3 WHEN cy>=1000 THEN 2 WHEN cy>=500 THEN 1 ELSE 0 END AS panel FROM (SELECT idx, y0+y1 AS cy FROM {boxes}) x""")
 
 # Joins and set operations
-plan.sql("j01_pairing_check", "probes", """SELECT count(*) AS gold_without_raw FROM (SELECT probe_id FROM {probes} WHERE b_gold IS NOT NULL) g LEFT JOIN (SELECT probe_id FROM {probes}) r ON g.probe_id=r.probe_id WHERE r.probe_id IS NULL""")
+plan.sql(
+    "j01_pairing_check", "probes",
+    """SELECT probe_type, CASE WHEN r.probe_id IS NULL THEN 'gold_without_raw' WHEN g.probe_id IS NULL THEN 'raw_without_gold' ELSE 'paired' END AS state, count(*) AS n
+FROM (SELECT probe_id, probe_type FROM {probes} WHERE b_gold IS NOT NULL) g FULL OUTER JOIN (SELECT probe_id, probe_type FROM {probes} WHERE b_raw IS NOT NULL) r USING (probe_id, probe_type) GROUP BY 1, 2""",
+)
 plan.sql("j03_requests_results", "probes attempts", """SELECT p.probe_id, coalesce(a.kind,'pending') AS status FROM (SELECT probe_id FROM {probes} WHERE probe_type='R') p LEFT JOIN (SELECT request_id, max_by(kind, attempt) AS kind FROM {attempts} GROUP BY request_id) a ON p.probe_id=a.request_id""")
 plan.sql("j05_semi", "probes answers", """SELECT count(*) AS n FROM {probes} p WHERE EXISTS (SELECT 1 FROM {answers} a WHERE a.problem_id=p.problem_id AND a.answer IS NOT NULL)""")
 plan.sql("j12_unresolved", "lineitem part", """SELECT CAST(l_partkey+50 AS BIGINT) AS ref, count(*) AS n FROM {lineitem} l WHERE NOT EXISTS (SELECT 1 FROM {part} p WHERE p.p_partkey=l.l_partkey+50) GROUP BY 1""")

@@ -37,7 +37,7 @@ RELATIONS: dict[str, tuple[str, str]] = {
   CASE fault WHEN 7 THEN concat({_MISSING}) WHEN 8 THEN concat({_TWICE}) WHEN 9 THEN concat({_SWAPPED}) ELSE concat({_GOOD}) END AS user_text
 FROM (SELECT p_partkey AS item, p_partkey%10 AS fault, 2+p_size%3 AS n_candidates, concat('A block named ', p_name, ' slides.', chr(10), 'It stops [not a section].') AS statement,
   concat('What is the mass of ', p_brand, '?') AS question,
-  concat('{{"anchors":{{"A1":{{"kind":"visual","ref":"a1"}},"A2":{{"kind":"text","ref":"a2"}}}},"candidates":[', {_CANDIDATES}, ']}}') AS evidence,
+  concat('{{"anchors":{{"A1":{{"kind":"', CASE WHEN p_size>40 THEN 'text' ELSE 'visual' END, '","ref":"a1"}},"A2":{{"kind":"text","ref":"a2"}}}},"candidates":[', {_CANDIDATES}, ']}}') AS evidence,
   concat('Views follow.', chr(10), 'Original image IDs: i1', CASE WHEN p_size%2=0 THEN ', i2' ELSE '' END, CASE WHEN p_partkey%13=0 THEN ' ,i1' ELSE '' END, chr(10), 'End.') AS legend,
   concat('Is E1 heavier than E2 (not E10, xE1 or E1_a)? See E', 1+p_size%4, '.') AS local_question FROM {{part}}) x""",
     ),
