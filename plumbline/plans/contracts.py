@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import strict_json
-from plumbline.operators import campaign, candidates, capture, json_schema, key_walk, revisions, roots
+from plumbline.operators import campaign, candidates, capture, json_schema, key_walk, public_records, revisions, roots
 from plumbline.operators.components import shared_folder
 from plumbline.sources import images, release, shared, tables, workspace
 
@@ -285,6 +285,46 @@ UNION ALL SELECT vw.probe, vw.alias, 'place_differs' FROM vw JOIN w ON w.probe=v
 UNION ALL SELECT probe, target, 'leak' FROM k JOIN orders ON o_orderkey=probe WHERE target='n-'||probe||CASE WHEN o_orderpriority LIKE '5%' THEN '-1' ELSE '-10' END""",
 )
 
+# Public records
+
+
+def _public(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Records (id, instance_id, condition, record) made of parts, of which some break a rule by their size, and the inventory of their images."""
+    p = tables.load(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", F.col("p_size").alias("s"))
+    p = p.withColumn("condition", F.explode(F.when(F.col("s") == 48, F.array(F.lit("gold"))).otherwise(F.array(F.lit("raw"), F.lit("gold")))))
+    s, gold = F.col("s"), F.col("condition") == "gold"
+    box = lambda image: F.concat(F.lit('{"kind":"visual","image_id":"'), image, F.lit('","geometry":{"type":"bbox","bbox_1000":[0,0,9,9]}}'))
+    candidate = lambda alias: F.concat(F.lit('{"alias":"'), alias, F.lit('","locators":[{"kind":"text"}]}'))
+    second = F.when(s == 36, "").otherwise(F.concat(F.lit(","), candidate(F.when(s == 37, "E1").otherwise("E2"))))
+    evidence = F.concat(F.lit('{"anchors":{"A1":'), box(F.when(s == 35, "i9").otherwise("i1")), F.lit('},"candidates":['), candidate(F.lit("E1")), second, F.lit("]}"))
+    one = lambda anchor, said: F.concat(F.lit('{"anchor_id":"'), F.lit(anchor), F.lit('","text":"'), F.lit(said), F.lit('"}'))
+    packet = F.when(gold | (s == 40), F.concat(F.lit("["), F.when(s == 38, one("A9", "x")).when(s == 39, F.concat(one("A1", "x"), F.lit(","), one("A1", "y"))).when(s == 41, one("A1", " ")).otherwise(one("A1", "2 kg")), F.lit("]"))).otherwise("None.")
+    bodies = [F.col("p_type"), F.lit("question"), F.lit("A or B"), evidence, F.lit("legend"), F.when(gold & (s == 47), "another question").otherwise("question"), F.lit('{"owner":"string"}'), packet]
+    user = F.concat_ws("\n", *(F.concat(F.lit(f"[{m}]\n"), b) for m, b in zip(shared.MARKERS, bodies, strict=True)))
+    path = F.concat(F.when(s == 31, "../").otherwise(""), F.lit("images/"), "p_partkey", F.lit(".png"))
+    image = lambda i: F.struct(F.lit(i).alias("asset_id"), path.alias("path"), F.sha2(path, 256).alias("sha256"), F.when(s == 45, 0).otherwise(4).alias("width"), F.when(gold & (s == 46), 5).otherwise(3).alias("height"))
+    given = F.struct(F.struct(F.lit("system").alias("system"), F.when(s == 42, F.replace(user, F.lit("[Original question]"), F.lit(""))).otherwise(user).alias("user")).alias("messages"), F.when(s == 30, F.array(image("i1"), image("i1"))).otherwise(F.array(image("i1"))).alias("attachments"))
+    name = F.col("p_partkey").cast("string")
+    fields = [F.lit("public_v1").alias("schema_version"), F.when(s == 44, "").otherwise(name).alias("instance_id"), name.alias("logical_probe_id"), *(F.lit(n).alias(n) for n in ("task_id", "interface", "language", "split")), F.col("condition"), given.alias("input")]
+    record = F.to_json(F.struct(*fields, F.when(s == 43, 1).alias("extra")))
+    rows = p.select(F.concat("p_partkey", F.lit("-"), "condition").alias("id"), name.alias("instance_id"), "condition", record.alias("record"))
+    files = p.where("s <> 33").select(F.concat(F.lit("public/images/"), "p_partkey", F.lit(".png")).alias("path"), F.sha2(F.when(s == 34, F.lit("other")).otherwise(path), 256).alias("sha256")).distinct()
+    return rows, files
+
+
+_SIDES = "(SELECT p_partkey, p_size AS s, c, p_partkey||'-'||c AS id FROM part, (SELECT unnest(['raw','gold']) AS c) q WHERE p_size<>48 OR c='gold') x"
+plan.add(
+    "h05_record_issues", lambda spark, d: public_records.record_issues(*_public(spark, d)), "part",
+    f"""SELECT id, CASE s WHEN 36 THEN 'evidence /candidates' WHEN 43 THEN 'record /extra' WHEN 44 THEN 'record /instance_id' WHEN 31 THEN 'record ../images/'||p_partkey||'.png' WHEN 33 THEN 'record images/'||p_partkey||'.png' WHEN 34 THEN 'record images/'||p_partkey||'.png'
+  WHEN 45 THEN 'record /input/attachments/0/width' WHEN 41 THEN 'packet /0/text' ELSE 'record' END AS place, CASE s WHEN 30 THEN 'asset_twice' WHEN 31 THEN 'path_unsafe' WHEN 33 THEN 'hash_missing' WHEN 34 THEN 'hash_differs' WHEN 35 THEN 'image_unattached' WHEN 36 THEN 'minItems' WHEN 37 THEN 'alias_twice'
+  WHEN 38 THEN 'anchor_unknown' WHEN 39 THEN 'anchor_twice' WHEN 40 THEN 'packet_in_raw' WHEN 41 THEN 'pattern' WHEN 42 THEN 'sections' WHEN 43 THEN 'additionalProperties' WHEN 44 THEN 'minLength' WHEN 45 THEN 'minimum' END AS code
+FROM {_SIDES} WHERE s IN (30,31,33,34,35,36,37,42,43,44,45) OR (s IN (38,39,41) AND c='gold') OR (s=40 AND c='raw')""",
+)
+plan.add(
+    "h05_pairing_issues", lambda spark, d: public_records.pairing_issues(_public(spark, d)[0]), "part",
+    "SELECT CAST(p_partkey AS VARCHAR) AS id, CASE p_size WHEN 46 THEN 'attachments_differ' WHEN 47 THEN 'user_differs' ELSE 'gold_without_raw' END AS code FROM part WHERE p_size IN (46,47,48)",
+)
+
 # Audit campaigns
 
 
