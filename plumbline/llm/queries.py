@@ -18,8 +18,8 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    said = "</s>[INST] ok [/INST]"
-    probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], turns.schema)
+    said = "'</s>[INST] ok [/INST]'"
+    probe = spark.sql(f"SELECT * FROM VALUES (-1L, 0L, 'user', {said}), (-1L, 1L, 'assistant', {said}) t(conv_id, turn, role, text)")
     return chat_format.digests(chat_format.read_back(chat_format.examples(turns.unionByName(probe))))
 
 
