@@ -47,3 +47,33 @@ def test_awkward_and_empty(spark):
     assert len(rows) == df.count() and all(0 <= r.score <= 1 for r in rows)
     assert {r.score for r in qc.score(df, labels.limit(0)).collect()} == {0.5}
     assert qc.score(df.limit(0), labels).count() == 0
+
+
+def test_features_approximate_the_gaussian_kernel(monkeypatch):
+    """Products of features against exp(-WIDTH^2 d^2 / 2), with the production number of features and with many.
+
+    A product is the mean of n terms, 2 cos cos, whose variance is 1 at most; so a standard error is 1 / sqrt(n) at most.
+    """
+    rng = np.random.default_rng(2)
+    stats = rng.normal(0, 1, (60, len(qc.STATS)))
+    far = ((stats[:, None] - stats[None]) ** 2).sum(2)
+    for n in (qc.FEATURES, 40_000):
+        monkeypatch.setattr(qc, "FEATURES", n)
+        z = qc.Features([0.0] * len(qc.STATS), [1.0] * len(qc.STATS))(stats)
+        error = np.abs(z[:, :-1] @ z[:, :-1].T - np.exp(-(qc.WIDTH**2) * far / 2))
+        assert (z[:, -1] == 1).all() and np.sqrt((error**2).mean()) < n**-0.5 and error.max() < 6 * n**-0.5
+
+
+def test_summed_equations_give_the_direct_fit(spark):
+    """Weights from the tasks' sums by fold against least squares over all rows with the ridge as rows of its own."""
+    rng = np.random.default_rng(3)
+    stats, y, fold = rng.normal(0, 1, (500, len(qc.STATS))), rng.integers(0, 2, 500).astype(float), rng.integers(0, 3, 500)
+    rows = [(int(f), [float(x) for x in s], float(v)) for f, s, v in zip(fold, stats, y, strict=True)]
+    features = qc.Features([0.0] * len(qc.STATS), [1.0] * len(qc.STATS))
+    sums = qc.normal_equations(spark.createDataFrame(rows, "fold long, stats array<double>, y double").repartition(7), features)
+    pull = np.sqrt(np.diag([qc.RIDGE] * qc.FEATURES + [1e-9]))
+    for use in ([0, 1, 2], [0, 2]):
+        z, goal = features(stats[np.isin(fold, use)]), y[np.isin(fold, use)]
+        direct = np.linalg.lstsq(np.vstack([z, pull]), np.concatenate([goal, np.zeros(len(pull))]), rcond=None)[0]
+        assert np.allclose(qc.solve([sums[f] for f in use]), direct, atol=1e-8)
+    assert sum(s[2] for s in sums.values()) == 500
