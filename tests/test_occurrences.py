@@ -48,6 +48,42 @@ def test_nearest_boxes_however_far(spark):
     assert {tuple(r) for r in nearest.nearest(boxes, boxes, nearest.squared).collect()} == want
 
 
+def _all_pairs(rows):
+    """(image, a, b, d2) of all ordered pairs of rows with another idx."""
+    gap = lambda a, b, c, d: max(c - b, a - d, 0)
+    return [(a[0], a[1], b[1], gap(a[3], a[5], b[3], b[5]) ** 2 + gap(a[4], a[6], b[4], b[6]) ** 2) for a in rows for b in rows if a[0] == b[0] and a[1] != b[1]]
+
+
+def test_boxes_within_reach_meet_as_classes_in_many_tasks(spark, monkeypatch):
+    """Piles of equal boxes, larger than the members that stay together, against all pairs; the tasks grow with the classes, however few their bytes."""
+    monkeypatch.setattr(nearest, "MEMBERS", 4)
+    monkeypatch.setattr(nearest, "PIECE", 10)
+    rng = random.Random(5)
+    rows = []
+    for k in range(160):
+        x, y = (10, 10) if k < 30 else (rng.randrange(300), rng.randrange(0, 300, 20))
+        rows.append((f"i{k % 3}", k, f"E{k}", x, y, x + 5, y + 5))
+    boxes = spark.createDataFrame(rows, "image string, idx long, alias string, x0 long, y0 long, x1 long, y1 long")
+    found = nearest.within(boxes, 50)
+    assert sorted(map(tuple, found.collect())) == sorted(p for p in _all_pairs(rows) if p[3] <= 2500)
+    assert found.rdd.getNumPartitions() >= 10
+
+
+def test_nearest_among_copies_compares_classes(spark, monkeypatch):
+    """Piles of equal boxes and an idx that occurs twice: ties count every copy but the anchor's own rows, yet an anchor meets a class once."""
+    met, pairs = [], nearest.near_pairs
+    monkeypatch.setattr(nearest, "near_pairs", lambda *args: met.append(pairs(*args)) or met[-1])
+    rows = [("i", k, f"E{k}", x, 0, x + 5, 5) for k, x in enumerate([0] * 40 + [100] + [300, 300] + [5000])] + [("i", 40, "E40", 300, 0, 305, 5)]
+    boxes = spark.createDataFrame(rows, "image string, idx long, alias string, x0 long, y0 long, x1 long, y1 long")
+    want, d = {}, _all_pairs(list(dict.fromkeys(rows)))
+    for a in {r[1] for r in rows}:
+        least = min(p[3] for p in d if p[1] == a)
+        ties = [p[2] for p in d if p[1] == a and p[3] == least]
+        want[a] = (least, len(ties), min(ties))
+    assert {r.anchor: (r.d, r.ties, r.idx) for r in nearest.nearest(boxes, boxes, nearest.squared).collect()} == want
+    assert met[0].count() < 2 * len(rows)
+
+
 def test_grades(spark):
     rows = [
         ("choice", '{"answer":" B "}', ["B", "b"], 1), ("choice", '{"answer":"BB"}', ["B"], 0), ("choice", '{"answer":["B"]}', ["B"], 0), ("exact", "nothing", ["x"], 0), ("exact", '{"answer":7}', ["7"], 0),
