@@ -290,7 +290,7 @@ UNION ALL SELECT probe, target, 'leak' FROM k JOIN orders ON o_orderkey=probe WH
 
 def _public(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Records (id, instance_id, condition, record) made of parts, of which some break a rule by their size, and the inventory of their images."""
-    p = tables.load(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", F.col("p_size").alias("s"))
+    p = tables.spread(tables.load(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", F.col("p_size").alias("s")))
     p = p.withColumn("condition", F.explode(F.when(F.col("s") == 48, F.array(F.lit("gold"))).otherwise(F.array(F.lit("raw"), F.lit("gold")))))
     s, gold = F.col("s"), F.col("condition") == "gold"
     box = lambda image: F.concat(F.lit('{"kind":"visual","image_id":"'), image, F.lit('","geometry":{"type":"bbox","bbox_1000":[0,0,9,9]}}'))
