@@ -51,6 +51,24 @@ def test_sums_in_several_blocks(spark, monkeypatch, kind):
         assert (r.estimate, r.lower_v, r.upper_v) == pytest.approx((f(whole), low, high), rel=1e-12) and (r.valid, r.undefined, r.status) == (40, 0, "ok")
 
 
+def test_a_replicate_is_drawn_once_however_many_blocks(spark, monkeypatch, tmp_path):
+    """What a replicate costs grows with the clusters, not with clusters times blocks."""
+    monkeypatch.setattr(bootstrap, "BLOCK", 8)
+    log, hashed = str(tmp_path / "draws"), bootstrap.hash_draws
+
+    def counted(seed, n, first, last):
+        with open(log, "a") as out:
+            out.writelines(f"{r}\n" for r in range(first, last))
+        yield from hashed(seed, n, first, last)
+
+    monkeypatch.setitem(bootstrap.DRAWS, "counted", counted)
+    moments = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(50)], "cluster_id long, values array<double>")
+    got = {r.r: r.totals for r in bootstrap.resampled(moments, 30, 7, "counted").collect()}
+    want = {r: [50.0, float(sum(d))] for r, d in enumerate(plain_draws("hash", 50, 30, 7))}
+    assert got == want | {-1: [50.0, float(sum(range(50)))]}
+    assert sorted(map(int, open(log))) == list(range(30))
+
+
 def test_a_statistic_that_is_no_function_of_sums(spark, monkeypatch):
     monkeypatch.setattr(bootstrap, "SLICE", 6)
     rng = random.Random(8)
