@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUT = "request_id long, status string, reason string, attempt_count long"
-STATE = "attempts long, done int, dead int, last int, last_kind string"
 MAX_ATTEMPTS = 3
 
 
@@ -58,30 +57,19 @@ def windowed_counts(attempts: DataFrame, time: str = "ts", width: str = "1 hour"
     return attempts.withWatermark(time, late).groupBy(F.window(time, width), "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _fold(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    attempts, done, dead, last, last_kind = state.get if state.exists else (0, -1, -1, -1, None)
-    for frame in frames:
-        frame = frame[frame["attempt"] < MAX_ATTEMPTS]
-        attempts += len(frame)
-        for number, kind in zip(frame["attempt"], frame["kind"], strict=True):
-            if kind == "completed":
-                done = int(number) if done < 0 else min(done, int(number))
-            elif kind == "nonretryable":
-                dead = int(number) if dead < 0 else min(dead, int(number))
-            if number > last:
-                last, last_kind = int(number), kind
-    state.update((attempts, done, dead, last, last_kind))
-    if done >= 0 and (dead < 0 or done < dead):
-        status, reason = "completed", None
-    else:
-        status = "infrastructure_missing"
-        reason = "final_error" if dead >= 0 else "interrupted_request_unknown_response" if last_kind == "started" else "retries_exhausted"
-    yield pd.DataFrame({"request_id": [key[0]], "status": [status], "reason": [reason], "attempt_count": [attempts]})
-
-
 def fold(attempts: DataFrame) -> DataFrame:
-    """Latest status per request; every trigger gives the requests that changed. For update mode."""
-    return attempts.groupBy("request_id").applyInPandasWithState(_fold, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
+    """Latest status per request; every trigger gives the requests that changed. For update mode.
+
+    Counts, least attempts and the last one are aggregates that Spark keeps as state; of equal attempts the greatest kind is the last.
+    """
+    counted = F.col("attempt") < MAX_ATTEMPTS
+    first = lambda kind: F.min(F.when(counted & (F.col("kind") == kind), F.col("attempt")))
+    x = attempts.groupBy("request_id").agg(
+        F.count(F.when(counted, 1)).alias("attempt_count"), first("completed").alias("done"), first("nonretryable").alias("dead"), F.max(F.when(counted, F.struct("attempt", "kind"))).alias("last")
+    )
+    completed = F.col("done").isNotNull() & (F.col("dead").isNull() | (F.col("done") < F.col("dead")))
+    reason = F.when(completed, None).when(F.col("dead").isNotNull(), "final_error").when(F.col("last.kind") == "started", "interrupted_request_unknown_response").otherwise("retries_exhausted")
+    return x.select("request_id", F.when(completed, "completed").otherwise("infrastructure_missing").alias("status"), reason.alias("reason"), "attempt_count")
 
 
 def run_to_end(stream: DataFrame, sink: Callable[[DataFrame, int], None], mode: str, checkpoint: str) -> None:

@@ -77,3 +77,13 @@ def test_first_answers_are_never_changed(spark, tmp_path):
         journal.run_to_end(stream(), sink, "append", str(tmp_path / "ckpt"))
     assert {r.task: r.seq for r in journal.latest(spark, out, schema, "task").collect()} == want
     assert spark.read.parquet(out).count() == len(want)
+
+
+def test_the_fold_runs_no_python_per_request(spark):
+    """A call per request cost more than all else; equal attempts end the same in any order."""
+    rows = [(1, 0, "started"), (1, 1, "completed"), (2, 0, "retryable"), (2, 0, "started"), (3, 3, "completed"), (4, 1, "nonretryable"), (4, 2, "completed")]
+    df = spark.createDataFrame(rows, "request_id long, attempt int, kind string")
+    folded = journal.fold(df)
+    assert "Python" not in folded._jdf.queryExecution().toString() and "Pandas" not in folded._jdf.queryExecution().toString()
+    want = {(1, "completed", None, 2), (2, "infrastructure_missing", "interrupted_request_unknown_response", 2), (3, "infrastructure_missing", "retries_exhausted", 0), (4, "infrastructure_missing", "final_error", 2)}
+    assert {tuple(r) for r in folded.collect()} == want
