@@ -1,8 +1,10 @@
 """What a task holds doesn't grow with the input."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import public_records
+from plumbline.operators import campaign, public_records
+from plumbline.plans import contracts
 from plumbline.sources import bundle, shared, tables
 
 SMALL = "/root/testdata/sf0.001"
@@ -35,3 +37,15 @@ def test_published_files_have_a_bounded_number_of_records(spark, tmp_path, monke
     bundle.publish(spark.range(95).coalesce(1), root := f"file://{tmp_path}/out")
     assert bundle.inventory(spark, root).where("path LIKE '%.json'").count() == 10
     assert spark.read.json(root).count() == 95
+
+
+def test_a_campaign_reads_its_probes_from_one_copy(spark, monkeypatch):
+    """Every step of both rounds would number the line items anew and join them with the orders."""
+
+    def stop(catalog, tags, *_):
+        read = catalog.inputFiles() + tags.inputFiles()
+        raise InterruptedError(any("lineitem" in f for f in read))
+
+    monkeypatch.setattr(campaign, "plan_round", stop)
+    with pytest.raises(InterruptedError, match="False"):
+        contracts.m11_campaign(spark, SMALL)
