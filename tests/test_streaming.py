@@ -87,3 +87,22 @@ def test_the_fold_runs_no_python_per_request(spark):
     assert "Python" not in folded._jdf.queryExecution().toString() and "Pandas" not in folded._jdf.queryExecution().toString()
     want = {(1, "completed", None, 2), (2, "infrastructure_missing", "interrupted_request_unknown_response", 2), (3, "infrastructure_missing", "retries_exhausted", 0), (4, "infrastructure_missing", "final_error", 2)}
     assert {tuple(r) for r in folded.collect()} == want
+
+
+def test_first_answers_need_no_python_call_per_key(spark, tmp_path, monkeypatch):
+    """A task takes its rows by Arrow batches, however often it must keep the firsts only; null keys and orders, ties and columns beside them."""
+    monkeypatch.setattr(journal, "HELD", 3)
+    schema = "place long, o int, text string, more array<int>"
+    rows = [(k % 7 or None, None if k % 5 == 0 else k * 13 % 11, f"t{k * 29 % 31}", [k]) for k in range(60)] + [(9, None, "b", [1]), (9, None, "a", [2])]
+    for k, part in enumerate((rows, [(4, -1, "late", []), (8, 3, "new", [])])):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = journal.first_in_order(journal.events_stream(spark, str(tmp_path / "in"), schema), "place", "o")
+        assert "FlatMapGroupsInPandasWithState" not in stream._jdf.queryExecution().logical().toString()
+        journal.run_to_end(stream, journal.numbered_sink(str(tmp_path / "out")), "append", str(tmp_path / "ckpt"))
+    want = {}
+    for r in rows + [(8, 3, "new", [])]:
+        rank = lambda x: (x[1] is None, x[1] or 0, x[2])
+        if r[0] not in want or rank(r) < rank(want[r[0]]):
+            want[r[0]] = r
+    got = [tuple(r) for r in spark.read.schema(schema).parquet(str(tmp_path / "out" / "batch=*")).collect()]
+    assert len(got) == len(want) and {r[0]: r for r in got} == want
