@@ -159,18 +159,36 @@ OFFSETS = np.array([k for k in range(-REACH, REACH + 1) if k])
 def windows(tokens: np.ndarray, at: np.ndarray, edge: int = EDGE) -> np.ndarray:
     """The tokens on both sides of these positions; ``edge`` beyond the ends."""
     padded = np.concatenate([np.full(REACH, edge), tokens, np.full(REACH, edge)])
-    return padded[at[:, None] + REACH + OFFSETS[None, :]]
+    return padded.take(at[:, None] + REACH + OFFSETS[None, :])
 
 
 def logits_of(w: Weights, context: np.ndarray, target: np.ndarray):
     """Inputs, hidden layer and the logits of all digits (n, DIGITS * side) for masked tokens of these classes."""
-    x = w["embed"][context].reshape(len(context), -1)
+    x = w["embed"].take(context.reshape(-1), axis=0).reshape(len(context), -1)
     h = x @ w["mix"]
     h += w["bias"]
+    return x, h, _logits(w, h, target)
+
+
+def _logits(w: Weights, h: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """The logits from the hidden layer's inputs, which become its outputs."""
     np.maximum(h, 0, out=h)
     logits = h @ w["out"]
-    logits += w[FIXED][target // side_in(w)]
-    return x, h, logits
+    logits += w[FIXED].take(target // side_in(w), axis=0)
+    return logits
+
+
+def places_of(target: np.ndarray, side: int) -> np.ndarray:
+    """(n, DIGITS): where the logits of these classes' digits stand in the flat logits of n rows."""
+    rows = np.arange(0, len(target) * DIGITS * side, DIGITS * side)
+    return np.stack([rows + k * side + own for k, own in enumerate(digits_of(target, side))], 1)
+
+
+def mixed(w: Weights) -> list[np.ndarray]:
+    """What each class adds to the hidden layer, by its place in the window: 1 KB a class, for weights that change no more."""
+    parts = [w["embed"] @ w["mix"][k * WIDTH : (k + 1) * WIDTH] for k in range(2 * REACH)]
+    parts[0] += w["bias"]
+    return parts
 
 
 #: Logits within this range have powers of e that single precision holds and sums.
@@ -199,23 +217,25 @@ def _members(side: int) -> np.ndarray:
     return np.kron(np.eye(DIGITS), np.ones((side, 1))).astype(np.float32)
 
 
-def log_probability(w: Weights, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Log-probabilities of masked tokens."""
-    side, row = side_in(w), np.arange(len(target))
-    _, _, logits = logits_of(w, context, target)
-    chosen = sum(logits[row, k * side + own] for k, own in enumerate(digits_of(target, side)))
+def log_probability(w: Weights, context: np.ndarray, target: np.ndarray, parts: list[np.ndarray] | None = None) -> np.ndarray:
+    """Log-probabilities of masked tokens; ``parts`` are ``mixed(w)``, where they are known already."""
+    side, parts = side_in(w), parts or mixed(w)
+    h = parts[0].take(context[:, 0], axis=0)
+    for k in range(1, 2 * REACH):
+        h += parts[k].take(context[:, k], axis=0)
+    logits = _logits(w, h, target)
+    chosen = logits.reshape(-1).take(places_of(target, side)).sum(1)
     _, tops, sums = exponentials(logits, side)
     return chosen - (tops + np.log(sums)).sum(1)
 
 
 def step(w: Weights, context: np.ndarray, target: np.ndarray, rate: float) -> None:
     """One step of gradient descent on the mean negative log-probability, in place."""
-    n, row, side = len(target), np.arange(len(target)), side_in(w)
+    n, side = len(target), side_in(w)
     x, h, slope = logits_of(w, context, target)
     _, _, sums = exponentials(slope, side)
     slope *= (1 / (n * sums)) @ _members(side).T
-    for k, own in enumerate(digits_of(target, side)):
-        slope[row, k * side + own] -= 1 / n
+    slope.reshape(-1)[places_of(target, side).reshape(-1)] -= 1 / n
     back = slope @ w["out"].T
     back *= h > 0
     dx = (back @ w["mix"].T).reshape(n * 2 * REACH, WIDTH)
@@ -224,10 +244,16 @@ def step(w: Weights, context: np.ndarray, target: np.ndarray, rate: float) -> No
     w["bias"] -= rate * back.sum(0)
     # A class may be among the inputs many times: every one adds its slope.
     dx *= -rate
-    cells = context.reshape(-1, 1) * WIDTH + np.arange(WIDTH)
+    cells = _cells(len(w["embed"])).take(context.reshape(-1), axis=0)
     np.add.at(w["embed"].reshape(-1), cells.reshape(-1), dx.reshape(-1))
 
 
+@functools.cache
+def _cells(classes: int) -> np.ndarray:
+    """Where the embeddings of these classes stand in their flat array."""
+    return np.arange(classes * WIDTH).reshape(-1, WIDTH)
+
+
 BLOCKS, BLOCK = "block long, seen long, part binary", 4096
 
 
@@ -281,7 +307,7 @@ def train(rows: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE, side: int
                 order = np.random.default_rng(seen).permutation(len(target))
                 for a in range(0, len(order), BATCH):
                     part = order[a : a + BATCH]
-                    step(w, context[part], target[part], RATE)
+                    step(w, context.take(part, axis=0), target.take(part), RATE)
                 seen += len(target)
                 held, count = [], 0
 
@@ -375,6 +401,8 @@ def score(docs: DataFrame, weights: Weights | None = None, id_col: str = "doc_id
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_thread()
         known, share = frequent.value
+        w = sent.value
+        parts = mixed(w)
         for batch in batches:
             sizes: list[int] = []
             sums: list[float] = []
@@ -387,7 +415,7 @@ def score(docs: DataFrame, weights: Weights | None = None, id_col: str = "doc_id
                 there = known[at] == words if len(known) else np.zeros(len(words), bool)
                 inside = np.bincount(text[there], share[at[there]], len(own)) if there.any() else np.zeros(len(own))
                 sizes += own.tolist()
-                sums += (inside + log_sums(sent.value, np.split(words % side**DIGITS, np.cumsum(own)[:-1]))).tolist()
+                sums += (inside + log_sums(w, np.split(words % side**DIGITS, np.cumsum(own)[:-1]), parts)).tolist()
                 rare.append(_numbers(text[~there], words[~there], len(own)))
             columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), pa.concat_arrays(rare or [_numbers(*np.zeros((2, 0), int), 0)])]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "sum", "rare"])
@@ -401,8 +429,8 @@ def score(docs: DataFrame, weights: Weights | None = None, id_col: str = "doc_id
     return out.select("*", F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens")).otherwise(0.0).alias("pll_per_token"))
 
 
-def log_sums(w: Weights, texts: list[np.ndarray]) -> np.ndarray:
-    """Summed log-probabilities of each text's classes; REACH edges between texts keep them apart."""
+def log_sums(w: Weights, texts: list[np.ndarray], parts: list[np.ndarray] | None = None) -> np.ndarray:
+    """Summed log-probabilities of each text's classes; REACH edges between texts keep them apart. ``parts`` are ``mixed(w)``."""
     edge = side_in(w) ** DIGITS
     sizes = [len(x) for x in texts]
     tokens, text = np.concatenate([*texts, np.zeros(0, np.int64)]).astype(np.int64), np.repeat(np.arange(len(texts)), sizes)
@@ -415,5 +443,6 @@ def log_sums(w: Weights, texts: list[np.ndarray]) -> np.ndarray:
     spare = -len(tokens) % TILE
     near = np.concatenate([windows(apart, places, edge), np.full((spare, 2 * REACH), edge)])
     goal = np.concatenate([tokens, np.zeros(spare, np.int64)])
-    each = [log_probability(w, near[a : a + CHUNK], goal[a : a + CHUNK]) for a in range(0, len(goal), CHUNK)]
+    parts = parts or mixed(w)
+    each = [log_probability(w, near[a : a + CHUNK], goal[a : a + CHUNK], parts) for a in range(0, len(goal), CHUNK)]
     return np.bincount(text, np.concatenate(each)[: len(tokens)], len(texts))

@@ -54,6 +54,22 @@ def test_sums_match_the_definition():
     assert np.allclose(lm.log_sums(w, texts), [slow(w, t) for t in texts], rtol=1e-4)
 
 
+def test_scoring_mixes_a_class_once_for_all_its_positions():
+    """What classes add to the hidden layer comes from a table; it is what the network makes of the window, and the same sums follow."""
+    w, rng = some_weights(), np.random.default_rng(4)
+    context, target = rng.integers(0, lm.EDGE + 1, (70, 2 * lm.REACH)), rng.integers(0, lm.EDGE, 70)
+    parts = lm.mixed(w)
+    assert [p.shape for p in parts] == [(lm.EDGE + 1, lm.HIDDEN)] * 2 * lm.REACH
+    h = np.maximum(sum(p[context[:, k]] for k, p in enumerate(parts)), 0)
+    _, want, logits = lm.logits_of(w, context, target)
+    assert np.allclose(h, want, atol=1e-5)
+    picked = logits.reshape(-1)[lm.places_of(target, 16)]
+    assert all(picked[i, k] == logits[i, 16 * k + d] for i, t in enumerate(target) for k, d in enumerate((t // 256, t // 16 % 16, t % 16)))
+    assert np.array_equal(lm.log_probability(w, context, target, parts), lm.log_probability(w, context, target))
+    w.pop("mix")  # not used any more once the table is there
+    assert np.isfinite(lm.log_sums(w, [target], parts)).all()
+
+
 def test_gradients_match_differences():
     w, rng = {k: v.astype(np.float64) for k, v in some_weights().items()}, np.random.default_rng(3)
     context, target = rng.integers(0, lm.EDGE + 1, (5, 2 * lm.REACH)), rng.integers(0, lm.EDGE, 5)
