@@ -1,8 +1,11 @@
 """What a task holds doesn't grow with the input."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline import catalog
 from plumbline.operators import campaign, public_records
 from plumbline.plans import contracts
 from plumbline.sources import bundle, shared, tables
@@ -25,6 +28,17 @@ def test_line_items_go_in_tasks_by_their_number(spark, monkeypatch):
     assert tables.probes(spark, SMALL).groupBy("probe_type", "problem_id").count().rdd.getNumPartitions() == -(-n // 500)
 
 
+@pytest.mark.parametrize("name", ["a17_control_comparisons", "w01_leaderboard", "a16_by_k_candidates", "a12_transitions", "a18_model_contrasts"])
+def test_groups_by_problem_keep_the_dealing_of_line_items(spark, monkeypatch, name):
+    """Every exchange by order has as many tasks as the line items make, and groups by problem add none of their own."""
+    monkeypatch.setattr(tables, "ITEM_ROWS", 500)
+    n = tables.load(spark, SMALL, "lineitem").count()
+    plan = catalog.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"Exchange hashpartitioning\(l_orderkey#\d+L?, (\d+)\)", plan)
+    assert dealt and set(dealt) == {str(-(-n // 500))}
+    assert not re.search(r"Exchange hashpartitioning\([^)]*(problem_id|probe_id)", plan)
+
+
 def test_long_texts_are_made_in_tasks_by_rows(spark, monkeypatch):
     monkeypatch.setattr(tables, "WIDE_ROWS", 50)
     n = tables.load(spark, SMALL, "part").count()
