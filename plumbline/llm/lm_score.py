@@ -97,7 +97,6 @@ BYTES = np.random.default_rng(SEED).integers(1, 1 << 63, 256, np.uint64)
 BYTES[ord("A") : ord("Z") + 1] = BYTES[ord("a") : ord("z") + 1]
 BASE, SPAN = 0x9E3779B97F4A7C1B, 1 << 16
 POWERS, INVERSES = _powers(BASE, SPAN), _powers(pow(BASE, -1, 1 << 64), SPAN)
-BLANK = np.isin(np.arange(256), np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8))
 
 
 def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -110,7 +109,7 @@ def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
         length = int(ends[last - 1] - at)
         powers = POWERS if length <= SPAN else _powers(BASE, length)  # one very long word
         sums = np.zeros(length + 1, np.uint64)
-        np.cumsum(BYTES[data[at : at + length]] * powers[:length], out=sums[1:])
+        np.cumsum(BYTES.take(data[at : at + length]) * powers[:length], out=sums[1:])
         a, b = starts[first:last] - at, ends[first:last] - at
         out[first:last] = (sums[b] - sums[a]) * INVERSES[a]
         first = last
@@ -131,7 +130,7 @@ def words_in(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
     data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
-    word = ~BLANK[data]
+    word = (data != ord(" ")) & (data - np.uint8(ord("\t")) > ord("\r") - ord("\t"))
     cut = np.zeros(len(data) + 1, bool)  # before this byte a text or a blank ends, or a blank begins
     cut[1:-1] = word[1:] != word[:-1]
     cut[offsets] = True
@@ -159,7 +158,10 @@ OFFSETS = np.array([k for k in range(-REACH, REACH + 1) if k])
 def windows(tokens: np.ndarray, at: np.ndarray, edge: int = EDGE) -> np.ndarray:
     """The tokens on both sides of these positions; ``edge`` beyond the ends."""
     padded = np.concatenate([np.full(REACH, edge), tokens, np.full(REACH, edge)])
-    return padded.take(at[:, None] + REACH + OFFSETS[None, :])
+    out = np.empty((len(at), 2 * REACH), np.int64)
+    for k, first in enumerate((REACH + OFFSETS).tolist()):
+        out[:, k] = padded[first:].take(at)
+    return out
 
 
 def logits_of(w: Weights, context: np.ndarray, target: np.ndarray):
@@ -172,16 +174,27 @@ def logits_of(w: Weights, context: np.ndarray, target: np.ndarray):
 
 def _logits(w: Weights, h: np.ndarray, target: np.ndarray) -> np.ndarray:
     """The logits from the hidden layer's inputs, which become its outputs."""
-    np.maximum(h, 0, out=h)
+    np.maximum(h, _zeros(h.shape, h.dtype), out=h)
     logits = h @ w["out"]
     logits += w[FIXED].take(target // side_in(w), axis=0)
     return logits
 
 
+@functools.cache
+def _zeros(shape: tuple[int, ...], kind: np.dtype) -> np.ndarray:
+    """Numpy compares with these faster than with one zero."""
+    return np.zeros(shape, kind)
+
+
 def places_of(target: np.ndarray, side: int) -> np.ndarray:
     """(n, DIGITS): where the logits of these classes' digits stand in the flat logits of n rows."""
-    rows = np.arange(0, len(target) * DIGITS * side, DIGITS * side)
-    return np.stack([rows + k * side + own for k, own in enumerate(digits_of(target, side))], 1)
+    return _columns(side).take(target, axis=0) + np.arange(0, len(target) * DIGITS * side, DIGITS * side)[:, None]
+
+
+@functools.cache
+def _columns(side: int) -> np.ndarray:
+    """(side ** DIGITS, DIGITS): where each class's digits stand in a row of logits."""
+    return np.stack([k * side + own for k, own in enumerate(digits_of(np.arange(side**DIGITS), side))], 1)
 
 
 def mixed(w: Weights) -> list[np.ndarray]:
@@ -191,24 +204,27 @@ def mixed(w: Weights) -> list[np.ndarray]:
     return parts
 
 
-#: Logits within this range have powers of e that single precision holds and sums.
-PLAIN = 60.0
+#: A digit's powers of e are as single precision holds them if their sum and its inverse are at most this.
+MOST = math.exp(60)
 
 
 def exponentials(logits: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """In place the powers of e of the logits, less ``tops`` (n, DIGITS); then ``tops``, and each digit's sums (n, DIGITS).
+    """The powers of e of the logits, less ``tops`` (n, DIGITS); then ``tops``, and each digit's sums (n, DIGITS).
 
-    Rows with a logit beyond ``PLAIN`` have their digits' greatest ones taken off first, the others nothing; so what a row
+    Rows with a sum beyond ``MOST`` have their digits' greatest logits taken off first, the others nothing; so what a row
     comes to doesn't depend on the rows beside it.
     """
     tops = np.zeros((len(logits), DIGITS), np.float32)
-    if logits.size and not (logits.max() <= PLAIN and logits.min() >= -PLAIN):
-        far = ~(np.abs(logits).max(1) <= PLAIN)
+    with np.errstate(over="ignore", invalid="ignore"):
+        each = np.exp(logits)
+        sums = each @ _members(side)
+    if sums.size and not (sums.min() >= 1 / MOST and sums.max() <= MOST):
+        far = ~((sums >= 1 / MOST) & (sums <= MOST)).all(1)
         digits = logits[far].reshape(-1, DIGITS, side)
         tops[far] = digits.max(2)
-        logits[far] = (digits - tops[far][:, :, None]).reshape(-1, DIGITS * side)
-    np.exp(logits, out=logits)
-    return logits, tops, logits @ _members(side)
+        each[far] = np.exp(digits - tops[far][:, :, None]).reshape(-1, DIGITS * side)
+        sums = each @ _members(side)
+    return each, tops, sums
 
 
 @functools.cache
@@ -232,26 +248,29 @@ def log_probability(w: Weights, context: np.ndarray, target: np.ndarray, parts:
 def step(w: Weights, context: np.ndarray, target: np.ndarray, rate: float) -> None:
     """One step of gradient descent on the mean negative log-probability, in place."""
     n, side = len(target), side_in(w)
-    x, h, slope = logits_of(w, context, target)
-    _, _, sums = exponentials(slope, side)
-    slope *= (1 / (n * sums)) @ _members(side).T
-    slope.reshape(-1)[places_of(target, side).reshape(-1)] -= 1 / n
+    x, h, logits = logits_of(w, context, target)
+    slope, _, sums = exponentials(logits, side)
+    digits = slope.reshape(n, DIGITS, side)
+    digits *= (rate / (n * sums))[:, :, None]  # every slope below has the rate in it
+    slope.reshape(-1)[places_of(target, side).reshape(-1)] -= rate / n
     back = slope @ w["out"].T
     back *= h > 0
-    dx = (back @ w["mix"].T).reshape(n * 2 * REACH, WIDTH)
-    w["out"] -= rate * (h.T @ slope)
-    w["mix"] -= rate * (x.T @ back)
-    w["bias"] -= rate * back.sum(0)
-    # A class may be among the inputs many times: every one adds its slope.
-    dx *= -rate
-    cells = _cells(len(w["embed"])).take(context.reshape(-1), axis=0)
-    np.add.at(w["embed"].reshape(-1), cells.reshape(-1), dx.reshape(-1))
+    dx = back @ w["mix"].T
+    w["out"] -= (slope.T @ h).T
+    w["mix"] -= x.T @ back
+    w["bias"] -= np.ones(n, back.dtype) @ back
+    # A class may be among the inputs many times: every one takes off its slope. Two numbers go as one complex number.
+    pair = np.result_type(dx.dtype, np.complex64)
+    cells = np.repeat(context.reshape(-1) * (WIDTH // 2), WIDTH // 2)
+    cells += _tiled(context.size)
+    np.negative(dx, out=dx)
+    np.add.at(w["embed"].reshape(-1).view(pair), cells, dx.reshape(-1).view(pair))
 
 
 @functools.cache
-def _cells(classes: int) -> np.ndarray:
-    """Where the embeddings of these classes stand in their flat array."""
-    return np.arange(classes * WIDTH).reshape(-1, WIDTH)
+def _tiled(n: int) -> np.ndarray:
+    """The places of an embedding's pairs of numbers, n times over."""
+    return np.tile(np.arange(WIDTH // 2), n)
 
 
 BLOCKS, BLOCK = "block long, seen long, part binary", 4096
@@ -305,9 +324,9 @@ def train(rows: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE, side: int
                 nonlocal held, count, seen
                 context, target = np.concatenate([c for c, _ in held]), np.concatenate([t for _, t in held])
                 order = np.random.default_rng(seen).permutation(len(target))
+                context, target = context.take(order, axis=0), target.take(order)
                 for a in range(0, len(order), BATCH):
-                    part = order[a : a + BATCH]
-                    step(w, context.take(part, axis=0), target.take(part), RATE)
+                    step(w, context[a : a + BATCH], target[a : a + BATCH], RATE)
                 seen += len(target)
                 held, count = [], 0
 
@@ -370,13 +389,12 @@ def _shares(counts: DataFrame, side: int) -> DataFrame:
     return materialise(shares, "lm-shares")
 
 
-def _numbers(text: np.ndarray, words: np.ndarray, n_texts: int) -> pa.Array:
-    """Each text's words with their number in it, as lists of structs."""
-    order = np.lexsort((words, text))
-    text, words = text[order], words[order]
-    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(words)), bool), (words[1:] != words[:-1]) | (text[1:] != text[:-1])]))
-    entries = pa.StructArray.from_arrays([pa.array(words[first], pa.int64()), pa.array(np.diff(np.append(first, len(words))), pa.int64())], ["word", "times"])
-    return pa.ListArray.from_arrays(pa.array(np.searchsorted(text[first], np.arange(n_texts + 1)), pa.int32()), entries)
+def _numbers(text: np.ndarray, kind: np.ndarray, words: np.ndarray, n_texts: int) -> pa.Array:
+    """Each text's words with their number in it, as lists of structs; ``kind`` tells where each stands in ``words``."""
+    both, times = np.unique(text * max(1, len(words)) + kind, return_counts=True)
+    text, kind = np.divmod(both, max(1, len(words)))
+    entries = pa.StructArray.from_arrays([pa.array(words[kind], pa.int64()), pa.array(times, pa.int64())], ["word", "times"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(n_texts + 1)), pa.int32()), entries)
 
 
 SCORED = "doc_id long, n_tokens long, sum double, rare array<struct<word:long,times:long>>"
@@ -411,13 +429,16 @@ def score(docs: DataFrame, weights: Weights | None = None, id_col: str = "doc_id
             for part in parts_of(batch.column(1)):
                 words, own = words_in(part)
                 text = np.repeat(np.arange(len(own)), own)
-                at = np.minimum(np.searchsorted(known, words), max(0, len(known) - 1))
-                there = known[at] == words if len(known) else np.zeros(len(words), bool)
-                inside = np.bincount(text[there], share[at[there]], len(own)) if there.any() else np.zeros(len(own))
+                # A word is looked up once, in ascending order.
+                each, kind = np.unique(words, return_inverse=True)
+                at = np.minimum(np.searchsorted(known, each), max(0, len(known) - 1))
+                found = known[at] == each if len(known) else np.zeros(len(each), bool)
+                inside = np.bincount(text, np.where(found, share[at], 0.0)[kind], len(own)) if found.any() else np.zeros(len(own))
+                rest = np.flatnonzero(~found[kind])
                 sizes += own.tolist()
                 sums += (inside + log_sums(w, np.split(words % side**DIGITS, np.cumsum(own)[:-1]), parts)).tolist()
-                rare.append(_numbers(text[~there], words[~there], len(own)))
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), pa.concat_arrays(rare or [_numbers(*np.zeros((2, 0), int), 0)])]
+                rare.append(_numbers(text[rest], kind[rest], each, len(own)))
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), pa.concat_arrays(rare or [_numbers(*np.zeros((3, 0), int), 0)])]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "sum", "rare"])
 
     # Numbered and written once, so that rows find their rare words' shares again; equal texts are rows of their own.

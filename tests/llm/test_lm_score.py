@@ -1,3 +1,6 @@
+import tracemalloc
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 
@@ -91,6 +94,28 @@ def test_gradients_match_differences():
             assert abs((ends[0] - ends[1]) / 2e-5 - slope[i]) < 1e-4
 
 
+def test_a_step_keeps_no_table_of_places_by_class():
+    """Looking places up in a table of every class's numbers cost more than working them out, and twice the weights' memory."""
+    w, rng = lm.fresh_weights(40), np.random.default_rng(6)
+    context, target = rng.integers(0, 40**3 + 1, (64, 2 * lm.REACH)), rng.integers(0, 40**3, 64)
+    tracemalloc.start()
+    lm.step(w, context, target, 1.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * w["embed"].size
+
+
+def test_rare_words_are_counted_text_by_text():
+    """Against a plain count; texts without words have empty lists."""
+    rng = np.random.default_rng(8)
+    words = np.sort(rng.integers(0, 1 << 62, 20))
+    text, kind = np.sort(rng.choice([0, 2, 3, 6], 300)), rng.integers(0, 20, 300)
+    got = lm._numbers(text, kind, words, 8).to_pylist()
+    for i, entries in enumerate(got):
+        assert {e["word"]: e["times"] for e in entries} == Counter(words[kind[text == i]].tolist()) and len(entries) == len(set(kind[text == i]))
+    assert len(got) == 8 and lm._numbers(*np.zeros((3, 0), int), 2).to_pylist() == [[], []]
+
+
 def test_large_logits_do_no_harm():
     """Rows far beyond what powers of e can hold, beside ordinary ones, which come to the same as alone."""
     rng = np.random.default_rng(5)
