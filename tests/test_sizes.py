@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline import catalog
-from plumbline.operators import campaign, public_records
+from plumbline.operators import campaign, pools, public_records
 from plumbline.plans import contracts
 from plumbline.sources import bundle, shared, tables
 
@@ -39,6 +39,20 @@ def test_groups_by_problem_keep_the_dealing_of_line_items(spark, monkeypatch, na
     assert not re.search(r"Exchange hashpartitioning\([^)]*(problem_id|probe_id)", plan)
 
 
+@pytest.mark.parametrize("name", ["k07_comparison_table", "v18_reaudit"])
+def test_reports_on_means_keep_the_dealing_of_line_items(spark, monkeypatch, name):
+    """The means that a report writes or checks, before it does: groups by problem stay in the tasks of their line items."""
+    means, type_means = [], pools.type_means
+    monkeypatch.setattr(tables, "ITEM_ROWS", 500, raising=False)
+    monkeypatch.setattr(pools, "type_means", lambda *a: means.append(type_means(*a)) or means[-1])
+    n = tables.load(spark, SMALL, "lineitem").count()
+    catalog.queries()[name](spark, SMALL)
+    assert len(means) == 1
+    plan = means[0]._jdf.queryExecution().executedPlan().toString()
+    assert set(re.findall(r"Exchange hashpartitioning\(l_orderkey#\d+L?, (\d+)\)", plan)) == {str(-(-n // 500))}
+    assert not re.search(r"Exchange hashpartitioning\([^)]*(problem_id|probe_id)", plan)
+
+
 def test_long_texts_are_made_in_tasks_by_rows(spark, monkeypatch):
     monkeypatch.setattr(tables, "WIDE_ROWS", 50)
     n = tables.load(spark, SMALL, "part").count()
