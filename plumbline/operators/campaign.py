@@ -53,12 +53,12 @@ def plan_round(catalog: DataFrame, tags: DataFrame, nonce: str, number: int, pol
     if not 1 <= number <= ROUNDS:
         raise ValueError(f"{ROUNDS} rounds at most")
     seed, mother = f"{nonce}:{number}", F.col("mother")
-    every = catalog.select("mother").distinct()
+    every = written(catalog.select("mother").distinct(), "audit-every")
     sample = written(every.orderBy(_hash(seed, "draw", mother), "mother").limit(policy.sample), "audit-sample")
     twice = written(sample.orderBy(_hash(seed, "second", mother), "mother").limit(policy.secondary), "audit-second")
-    tags = tags.join(every, "mother", "left_semi")
     seen = tags.join(F.broadcast(sample), "mother", "left_semi").select("tag").distinct()
-    missed = written(tags.join(seen, "tag", "left_anti").select(mother.alias("item"), "tag"), "audit-risks")
+    missed = tags.join(F.broadcast(seen), "tag", "left_anti").join(every, "mother", "left_semi")  # what the sample shows goes first: that is most
+    missed = written(missed.select(mother.alias("item"), "tag"), "audit-risks")
     extra = greedy_cover(missed, policy.risk, lambda m: _hash(seed, "risk", m)).select(F.col("item").alias("mother"))
     covered = missed.join(F.broadcast(extra.withColumnRenamed("mother", "item")), "item", "left_semi").select("tag").distinct()
     mothers = sample.select("mother", F.lit("sample").alias("part")).unionByName(extra.select("mother", F.lit("risk").alias("part")))

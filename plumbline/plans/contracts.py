@@ -333,7 +333,7 @@ def m11_campaign(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = written(tables.probes(spark, sf_dir).select("problem_id", "probe_id", "probe_type", "interface", "k_candidates", "b_raw", "b_gold", "c_raw"), "campaign")  # read by every step
     catalog = p.select(F.col("problem_id").alias("mother"), F.col("probe_id").alias("item"))
     tags = p.select(F.col("problem_id").alias("mother"), F.explode(F.array(F.concat(F.lit("type:"), "probe_type"), F.concat(F.lit("view:"), "interface"), F.concat(F.lit("size:"), "k_candidates"))).alias("tag"))
-    wrong, place = (F.col("b_raw") == 0) & (F.col("b_gold") == 0), F.col("probe_id").cast("int")
+    wrong, place = (F.col("b_raw") == 0) & (F.col("b_gold") == 0), F.col("probe_id")
     looks = {"primary": wrong & (F.col("c_raw") == 0) & (F.col("k_candidates") > 7), "secondary": wrong & (F.col("c_raw") == 0) & (F.col("k_candidates") > 6)}
 
     def reviews(of: campaign.Round) -> DataFrame:

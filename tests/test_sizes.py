@@ -77,3 +77,13 @@ def test_a_campaign_reads_its_probes_from_one_copy(spark, monkeypatch):
     monkeypatch.setattr(campaign, "plan_round", stop)
     with pytest.raises(InterruptedError, match="False"):
         contracts.m11_campaign(spark, SMALL)
+
+
+def test_a_campaign_takes_probes_of_large_numbers(spark, tmp_path):
+    """Order numbers whose probes' numbers are beyond 32 bits; they give a reviewer's sequence."""
+    for name, key in (("lineitem", "l_orderkey"), ("orders", "o_orderkey")):
+        tables.load(spark, SMALL, name).withColumn(key, F.col(key) + 50_000_000).write.parquet(f"{tmp_path}/{name}.parquet")
+    problems = tables.load(spark, SMALL, "lineitem").select("l_orderkey").distinct().count()
+    first, second = contracts.m11_campaign(spark, str(tmp_path)).collect()
+    assert (first.candidates, first.sampled, first.pending_primary, first.pending_secondary) == (problems, 100, 0, 0)
+    assert (second.candidates, second.sampled, second.pending_primary, second.pending_secondary) == (problems - first.removed, 100, 0, 0)
