@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from plumbline.functions import grading
 from plumbline.operators import nearest, occurrences
 from plumbline.functions.strict_json import quantity_equal
+from plumbline.plans import records
+from plumbline.sources import tables
 
 
 def plain(text, quote):
@@ -69,6 +71,31 @@ def test_boxes_within_reach_meet_as_classes_in_many_tasks(spark, monkeypatch):
     assert found.rdd.getNumPartitions() >= 10
 
 
+def test_every_pair_of_an_image_meets_in_blocks(spark, monkeypatch):
+    """However far apart: piles of equal boxes, an idx that occurs twice, and images of one box, in many pieces and tasks."""
+    monkeypatch.setattr(nearest, "MEMBERS", 4)
+    monkeypatch.setattr(nearest, "PIECE", 10)
+    monkeypatch.setattr(nearest, "BLOCKS", 2)
+    rng = random.Random(6)
+    rows = []
+    for k in range(160):
+        x, y = (10, 10) if k < 30 else (rng.randrange(10**6), rng.randrange(300))
+        rows.append((f"i{k % 3}" if k < 150 else f"alone{k}", k, f"E{k}", x, y, x + 5, y + 5))
+    rows += [rows[0], (*rows[1][:3], 7, 7, 9, 9)]
+    boxes = spark.createDataFrame(rows, "image string, idx long, alias string, x0 long, y0 long, x1 long, y1 long")
+    found = nearest.within(boxes)
+    assert sorted(map(tuple, found.collect())) == sorted(_all_pairs(rows))
+    assert found.rdd.getNumPartitions() > sum(r[0] == "i0" for r in rows) ** 2 * 3 // 250
+
+
+def test_distances_of_boxes_have_no_limit(spark):
+    """The query gives each box with every other of its image."""
+    boxes = tables.boxes(spark, "/root/testdata/sf0.001")
+    found = records.f30_bbox_distance(spark, "/root/testdata/sf0.001")
+    assert found.count() == boxes.groupBy("image").count().selectExpr("sum(count * (count - 1)) AS n").first().n
+    assert found.where("d2 > 2500").count() > 0
+
+
 def test_nearest_among_copies_compares_classes(spark, monkeypatch):
     """Piles of equal boxes and an idx that occurs twice: ties count every copy but the anchor's own rows, yet an anchor meets a class once."""
     met, pairs = [], nearest.near_pairs
